@@ -1,0 +1,10 @@
+"""Queries over the given tables, grouped by theme."""
+
+import importlib
+
+MODULES = ["detection", "duplication"]
+
+
+def load_modules() -> None:
+    for name in MODULES:
+        importlib.import_module(f"wardline.plans.{name}")

@@ -47,9 +47,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's own size estimate of the plan; nothing is executed."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Hint a broadcast only when the size estimate proves it fits, else leave the choice to AQE."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame, bytes_per_task: int = 128 * 1024 * 1024) -> DataFrame:
+    """Give a CPU-heavy scan one task per core when the input is too small to split into that many.
+
+    A large input already has more splits than cores and is returned as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if estimated_bytes(df) < cores * bytes_per_task else df
