@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["detection", "duplication"]
+MODULES = ["detection", "duplication", "scope", "activity", "lanes"]
 
 
 def load_modules() -> None:
