@@ -25,6 +25,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def valid_json(text: Column) -> Column:
+    """True when a text is exactly one JSON value.
+
+    The JSON functions stop at the end of the first value; wrapping the text in an array and
+    in an object leaves no room for anything after it.
+    """
+    in_array = F.concat(F.lit("["), text, F.lit("]"))
+    in_object = F.concat(F.lit('{"a":'), text, F.lit("}"))
+    whole = F.try_parse_json(in_array).isNotNull() & F.try_parse_json(in_object).isNotNull()
+    return F.coalesce(whole & (F.json_array_length(in_array) == 1), F.lit(False))
+
+
 def empty_array(ddl: str) -> Column:
     return F.from_json(F.lit("[]"), f"array<{ddl}>")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import fixed_values as V
-from wardline.functions.text import auth_id, col, empty_array, fingerprint, last_at_or_below, let, match_spans, place_matches, segment_starts
+from wardline.functions.text import auth_id, col, empty_array, fingerprint, last_at_or_below, let, match_spans, place_matches, segment_starts, valid_json
 
 HIT = (
     "struct<kind:string,pattern_id:string,label:string,view:string,raw:string,"
@@ -29,7 +29,7 @@ def _jwt_header_ok(raw: Column) -> Column:
     header = F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
     keys = F.json_object_keys(header)
     named = F.array_contains(keys, "alg") | F.array_contains(keys, "typ")
-    return F.coalesce(named & F.try_parse_json(header).isNotNull() & header.rlike(r"\}\s*\z"), F.lit(False))
+    return F.coalesce(named & valid_json(header), F.lit(False))
 
 
 def _db_url_ok(pattern: str, raw: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import fixed_values as V
 from wardline.functions.paths import first_glob, is_own_artifact, is_regenerated, is_unsafe_path, normalize_path
-from wardline.functions.text import let
+from wardline.functions.text import let, valid_json
 from wardline.session import broadcast_if_small
 
 # --- inputs ---------------------------------------------------------------------------------
@@ -122,7 +122,7 @@ def contract_valid(text: Column) -> Column:
     baseline = F.lower(F.trim(string("baselineCommit")))
     forbidden = F.get(F.filter(F.array(*[F.lit(k) for k in V.FORBIDDEN_CONTRACT_KEYS]), lambda k: F.array_contains(keys, k)), F.lit(0))
     error = F.coalesce(
-        F.when(doc.isNull(), "intent contract is not valid JSON"),
+        F.when(~valid_json(clean), "intent contract is not valid JSON"),
         F.when(keys.isNull(), "intent contract root must be a JSON object"),
         F.when(~F.coalesce(whole("schemaVersion"), F.lit(False)), "intent contract requires integer schemaVersion"),
         F.when(number("schemaVersion") != 1, F.concat(F.lit("unsupported intent schemaVersion "), number("schemaVersion").cast("bigint").cast("string"), F.lit(" (supported: 1)"))),

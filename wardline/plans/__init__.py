@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["detection", "duplication", "scope", "activity", "lanes"]
+MODULES = ["detection", "duplication", "scope", "activity", "lanes", "reports", "maps"]
 
 
 def load_modules() -> None:
