@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["detection", "duplication", "scope", "activity", "lanes", "reports", "maps"]
+MODULES = ["detection", "duplication", "scope", "activity", "lanes", "reports", "maps", "streams"]
 
 
 def load_modules() -> None:
