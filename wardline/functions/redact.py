@@ -19,7 +19,7 @@ def redact_credentials(text: Column) -> Column:
 def redact_all(text: Column) -> Column:
     """Outbound text: wide shapes first, then every catalogue detector without its validator."""
     rules = [(p, "[REDACTED]") for p in V.OUTBOUND_REDACTIONS]
-    rules += [(pattern, "[REDACTED]") for _, _, _, pattern in V.SECRET_DETECTORS]
+    rules += [(pattern, "[REDACTED]", anchors) for _, _, anchors, pattern in V.SECRET_DETECTORS]
     return replace_all(F.coalesce(text, F.lit("")), rules)
 
 

@@ -116,9 +116,26 @@ def segment_starts(text: Column, separators: str) -> Column:
     )
 
 
-def replace_all(text: Column, rules: list[tuple[str, str]]) -> Column:
-    for pattern, replacement in rules:
-        text = F.regexp_replace(text, pattern, replacement)
+def contains_any(text: Column, anchors: list[str]) -> Column:
+    """True when one of the literal texts occurs; an ``i:`` prefix ignores case."""
+    found = F.lit(False)
+    for anchor in anchors:
+        plain = F.contains(F.lower(text), F.lit(anchor[2:])) if anchor.startswith("i:") else F.contains(text, F.lit(anchor))
+        found = found | plain
+    return found
+
+
+def replace_all(text: Column, rules: list[tuple]) -> Column:
+    """Replacements in order. A rule with anchors runs its pattern only where one of them occurs."""
+
+    def step(current: Column, rule: tuple) -> Column:
+        pattern, replacement, *anchors = rule
+        if not anchors:
+            return F.regexp_replace(current, pattern, replacement)
+        return let(current, lambda t: F.when(contains_any(t, anchors[0]), F.regexp_replace(t, pattern, replacement)).otherwise(t))
+
+    for rule in rules:
+        text = step(text, rule)
     return text
 
 

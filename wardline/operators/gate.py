@@ -10,6 +10,7 @@ from wardline.functions.text import auth_id, fingerprint, let
 from wardline.operators.detect import denylist_hits, pii_hits, secret_hits
 from wardline.operators.findings import collapse_views
 from wardline.operators.policy import builtin_reason
+from wardline.session import bind
 
 
 def mask(hit: Column) -> Column:
@@ -106,7 +107,7 @@ def gate(df: DataFrame, text: str, redact: bool = False, denylist: list[str] | N
     """Add the gate's decision to each payload row: action, hits, hash of the redaction map, bytes,
     digest and, when asked for, the redacted text. Works on batch and streaming frames alike."""
     body = F.coalesce(F.col(text), F.lit(""))
-    scanned = df.select("*", payload_hits(body, denylist).alias("_all"))
+    scanned = bind(df, "_all", payload_hits(body, denylist))
     kept = F.filter("_all", lambda h: ~h["allowed"])
     split = scanned.select(
         *df.columns, kept.alias("hits"), F.size(F.filter("_all", lambda h: h["allowed"])).alias("allowed_hits")

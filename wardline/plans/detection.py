@@ -329,7 +329,7 @@ def redact_paths_user_query(t):
         F.lit("see /home/"), F.col("lang"), F.lit("/work dir/"), F.col("doc_id"), F.lit(".txt and C:\\Users\\bob\\notes\\"), F.col("doc_id"),
         F.lit(".md or $HOME/x %UserProfile% \n/Users/bob/a b/c end "), F.col("text"),
     )
-    return t.documents.select("doc_id", redact_paths_user(text, username="bob").alias("redacted"))
+    return spread(t.documents).select("doc_id", redact_paths_user(text, username="bob").alias("redacted"))
 
 
 @query(
@@ -342,7 +342,7 @@ def redact_token_query(t):
         F.lit("auth Bearer "), F.sha2(F.col("conv_id").cast("string"), 256), F.lit(" gho_"), F.sha2(F.col("turn").cast("string"), 256),
         F.lit(" my-own-token-1 "), F.col("text"),
     )
-    return t.conversations.select("conv_id", "turn", redact_token(text, "my-own-token-1").alias("redacted"))
+    return spread(t.conversations).select("conv_id", "turn", redact_token(text, "my-own-token-1").alias("redacted"))
 
 
 _RED6_SQL = [
@@ -367,7 +367,7 @@ _RED6_SQL = [
     "select page_id, " + _chain(_chain("html", _RED6_SQL), _RED2_SQL).replace("'chr10'", "chr(10)").replace("'chr10chr10'", "chr(10)||chr(10)") + " as clean from pages",
 )
 def sanitize_markdown_query(t):
-    return t.pages.select("page_id", sanitize_markdown(F.col("html")).alias("clean"))
+    return spread(t.pages).select("page_id", sanitize_markdown(F.col("html")).alias("clean"))
 
 
 @query(

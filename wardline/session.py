@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -62,3 +62,12 @@ def spread(df: DataFrame, bytes_per_task: int = 128 * 1024 * 1024) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if estimated_bytes(df) < cores * bytes_per_task else df
+
+
+def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add an expensive column that is computed exactly once per row.
+
+    A later filter on a plain projection is pushed below it and evaluates the expression a second
+    time; nothing is pushed through a generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
