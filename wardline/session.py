@@ -47,7 +47,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's own size estimate of the plan; nothing is executed."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    try:
+        return int(str(stats.sizeInBytes()))
+    except ValueError:  # estimates multiply along joins and may have thousands of digits
+        return 1 << 62
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
