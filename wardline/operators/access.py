@@ -233,7 +233,7 @@ def resolve_identities(rows: DataFrame, group: list[str]) -> tuple[DataFrame, Da
     )
     node = lambda name, segment: F.concat(name, F.lit("#"), segment.cast("string"))
     placed = placed.withColumn("_seg", (F.col("_before") + F.col("_cut").cast("int")).cast("bigint"))
-    placed = placed.withColumn("_node", node(F.col("name"), F.col("_seg"))).drop("_cut", "_chunk", "_before")
+    placed = cut_lineage(placed.withColumn("_node", node(F.col("name"), F.col("_seg"))).drop("_cut", "_chunk", "_before"))
     born = placed.where("role = 'ensure'").select(*group, "_node").distinct()
 
     arrivals = placed.where("role = 'in'").select(*group, "seq", "peer", "_node", node(F.col("name"), F.col("_seg") - 1).alias("_own"))
@@ -271,7 +271,7 @@ def resolve_identities(rows: DataFrame, group: list[str]) -> tuple[DataFrame, Da
             break
     carried = state.select(*group, "_node", (F.col("_s") | F.col("_o")).alias("arrived"))
     placed = placed.join(parents, [*group, "_node"], "left").withColumn("entity", F.coalesce("_root", "_node")).drop("_root")
-    placed = placed.join(carried, [*group, "_node"], "left").withColumn("arrived", F.coalesce("arrived", F.lit(False)))
+    placed = cut_lineage(placed.join(carried, [*group, "_node"], "left").withColumn("arrived", F.coalesce("arrived", F.lit(False))))
     existing = born.unionByName(state.where("_e").select(*group, "_node")).distinct()
     existing = existing.join(parents, [*group, "_node"], "left").withColumn("entity", F.coalesce("_root", "_node")).drop("_root")
     return placed.drop("_node", "_seg"), _alive(placed, existing, group)
@@ -388,11 +388,12 @@ def policy_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         "policy": F.when(created, e["policy"]).when(F.col("role") == "in", e["rename_to"]), "path": F.when(F.col("role") != "out", e["path"]), "line": F.when(F.col("role") != "out", e["line"]),
     }
     # an arriving policy belongs to the lifetime it brings; the row it leaves from belongs to the empty rest
-    own = second.where("role = 'ensure' or (role = 'in' and arrived)").select(*group, "seq", "name", "_chunk", "e", "role", *[v.alias(n) for n, v in values.items()])
+    own = second.where("role = 'ensure' or (role = 'in' and arrived)").select(*group, "seq", "name", "_chunk", *[v.alias(n) for n, v in values.items()])
+    own = cut_lineage(own)
     defaults = {"for_cmd": F.lit("ALL"), "roles": F.array(F.lit("public")), "using_true": F.lit(False), "check_true": F.lit(False), "has_check": F.lit(False), "using_ok": F.lit(True), "check_ok": F.lit(True)}
-    before = running(own.drop("role"), group, ["seq"], "_chunk", {f"b_{n}": ("last", n) for n in defaults})
+    before = running(own, group, ["seq"], "_chunk", {f"b_{n}": ("last", n) for n in defaults})
     after = F.struct(*[F.coalesce(n, f"b_{n}", d).alias(n) for n, d in defaults.items()])
-    timeline = before.withColumn("after", after).withColumn("solid", (~open_write(F.col("after"))).cast("int"))
+    timeline = cut_lineage(before.withColumn("after", after).withColumn("solid", (~open_write(F.col("after"))).cast("int")))
     previous = running(timeline, group, ["seq"], "_chunk", {"_was": ("lag", "solid")})
     changes = previous.select("repo", "table_entity", "seq", (F.col("solid") - F.coalesce("_was", F.lit(0))).alias("delta"))
     # a lifetime that ends, by a drop or by being overwritten, takes its policy away
@@ -405,9 +406,10 @@ def policy_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     steps = changes.unionByName(ends).withColumn("rls", F.lit(None).cast("boolean")).unionByName(switches).groupBy("repo", "table_entity", "seq").agg(
         F.sum("delta").alias("delta"), F.max("rls").alias("rls")
     )
-    course = running(steps.withColumn("_chunk", chunk_of(F.col("seq"))), ["repo", "table_entity"], ["seq"], "_chunk", {"_sum": ("sum", "delta"), "_rls": ("last", "rls")})
+    steps = cut_lineage(steps.withColumn("_chunk", chunk_of(F.col("seq"))))
+    course = running(steps, ["repo", "table_entity"], ["seq"], "_chunk", {"_sum": ("sum", "delta"), "_rls": ("last", "rls")})
     secure = (F.col("_sum") + F.col("delta") > 0) & F.coalesce("rls", "_rls", F.lit(False))
-    secured = course.where(secure).groupBy("repo", "table_entity").agg(F.min("seq").alias("secure_seq"))
+    secured = cut_lineage(course.where(secure).groupBy("repo", "table_entity").agg(F.min("seq").alias("secure_seq")))
 
     unchecked = (e["kind"] == "not_checkable") | (altered & (~F.coalesce(e["using_ok"], F.lit(True)) | ~F.coalesce(e["check_ok"], F.lit(True))))
     place = F.struct("seq", e["path"].alias("path"), e["line"].alias("line"))
@@ -431,7 +433,7 @@ def policy_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         "repo", F.col("name").alias("table"), "table_entity", rls.alias("rls"), F.coalesce("rls_at", "created_at").alias("rls_location"),
         F.col("rls_at").isNotNull().alias("rls_explicit"), "secure_seq", "own_gap", "early_gap",
     )
-    tables = _ambient(tables, events)
+    tables = cut_lineage(_ambient(cut_lineage(tables), events))
     final = timeline.groupBy(*group).agg(
         F.max_by("after", "seq").alias("a"), F.max_by("path", "seq").alias("path"), F.max_by("line", "seq").alias("line"),
         F.max_by("policy", F.when(F.col("policy").isNotNull(), F.col("seq"))).alias("policy"),
@@ -450,6 +452,7 @@ def _endings(second: DataFrame, kept: DataFrame, group: list[str]) -> DataFrame:
     rows = gone.select("repo", "table_entity", "name", F.col("last_seq").alias("seq"), "entity", F.lit(None).cast("bigint").alias("cut_seq")).unionByName(
         cuts.select("repo", "table_entity", "name", "seq", "entity", F.col("seq").alias("cut_seq"))
     )
+    rows = cut_lineage(rows)
     # newest first, a lifetime before the cut of its own seq: the last cut seen is the next one in time
     back = rows.select("*", (-F.col("seq")).alias("_back"), F.col("cut_seq").isNotNull().cast("int").alias("_is_cut"), (-chunk_of(F.col("seq"))).alias("_chunk"))
     found = running(back, ["repo", "table_entity", "name"], ["_back", "_is_cut"], "_chunk", {"end_seq": ("last", "cut_seq")})

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +33,21 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder (``spark.checkpoint.dir``).
+    """Write a step to a table in the cluster's shared folder (``spark.checkpoint.dir``) and read it back.
 
-    The folder is read from the session; only where none is set (tests) a
-    temporary one is chosen.
+    The plan starts anew from files that survive the loss of executors, and their real size replaces an
+    estimate that would multiply along joins. Only where no folder is set (tests) a temporary one is used.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _fallback_dir()
+    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@functools.cache
+def _fallback_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-steps-", dir="/tmp")
 
 
 def estimated_bytes(df: DataFrame) -> int:
