@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["detection", "duplication", "scope", "activity", "lanes", "reports", "maps", "streams"]
+MODULES = ["detection", "duplication", "scope", "activity", "lanes", "reports", "maps", "access", "streams"]
 
 
 def load_modules() -> None:
