@@ -1,4 +1,4 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one warm-up, then the median of three runs each.
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one warm-up, then the median of $BENCH_REPEATS runs each (2).
 
 Prints one JSON line. Every query is run whole into the noop sink, so all rows are computed.
 """
@@ -29,7 +29,7 @@ def main() -> None:
     spark = build_session(cores, shuffle_partitions=int(cores) if cores.isdigit() else 8, app="wardline-bench")
     spark.sparkContext.setLogLevel("ERROR")
     registry, tables = load_all(), Tables(spark, folder)
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     seconds = {}
     for name in sys.argv[1:] or HEADLINE:
         runs = []
