@@ -8,24 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm import sql
 from wardline.llm.lengths import length_histogram, suffix_sums
+from wardline.llm.rlz import substring_digest
 from wardline.llm.rules import quality_verdicts
+from wardline.llm.suffix import repeated_bytes_digest
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_digest(_table(spark, folder, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_verdicts(_table(spark, folder, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_bytes_digest(_table(spark, folder, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_sums(length_histogram(_table(spark, folder, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op6_quality_rules, op10_token_counts)
+    for f in (op2_substring_dedup, op6_quality_rules, op9_suffix_dedup, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": sql.QUALITY_RULES}
