@@ -32,21 +32,36 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Only a local session may go without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _local_folder()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a step to a table in the cluster's shared folder (``spark.checkpoint.dir``) and read it back.
+    """Write a step to a table in the cluster's shared folder and read it back.
 
     The plan starts anew from files that survive the loss of executors, and their real size replaces an
-    estimate that would multiply along joins. Only where no folder is set (tests) a temporary one is used.
+    estimate that would multiply along joins. The step is deleted when the application ends.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _fallback_dir()
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+
+
 @functools.cache
-def _fallback_dir() -> str:
+def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-steps-", dir="/tmp")
 
 
