@@ -11,6 +11,7 @@ from wardline.llm.lengths import length_histogram, suffix_sums
 from wardline.llm.rlz import substring_digest
 from wardline.llm.rules import quality_verdicts
 from wardline.llm.suffix import repeated_bytes_digest
+from wardline.llm.warc import round_trip
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_digest(_table(spark, folder, "documents"))
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip(_table(spark, folder, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_verdicts(_table(spark, folder, "documents"))
 
@@ -35,7 +40,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_substring_dedup, op6_quality_rules, op9_suffix_dedup, op10_token_counts)
+    for f in (op2_substring_dedup, op5_warc, op6_quality_rules, op9_suffix_dedup, op10_token_counts)
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": sql.QUALITY_RULES}
+ORACLE_SQL: dict[str, str] = {"op5_warc": sql.WARC, "op6_quality_rules": sql.QUALITY_RULES}

@@ -31,3 +31,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND coalesce(word_chars * 1000 // nullif(n_words, 0) >= word_length_low, true) AS kept
 FROM f LEFT JOIN t ON f.lang IS NOT DISTINCT FROM t.lang AND f.source IS NOT DISTINCT FROM t.source
 """
+
+#: Base32 of SHA-1: the digest's 160 bits as 32 groups of five.
+WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS hex FROM p),
+t AS (SELECT *, array_to_string(list_transform(range(0, 40), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (position(substr(hex, CAST(i + 1 AS BIGINT), 1) IN '0123456789abcdef') - 1) + 1, 4)), '') AS bits FROM d),
+o AS (SELECT *, min(page_id) OVER (PARTITION BY hex, n) AS first,
+      array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(0, 5), lambda j: CASE WHEN substr(bits, CAST(5 * k + j + 1 AS BIGINT), 1) = '1' THEN CAST(pow(2, 4 - j) AS BIGINT) ELSE 0 END)) AS BIGINT), 1)), '') AS payload_digest FROM t)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM o
+"""
