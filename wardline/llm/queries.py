@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm import sql
+from wardline.llm.gam import scored, train
 from wardline.llm.lengths import length_histogram, suffix_sums
 from wardline.llm.rlz import substring_digest
 from wardline.llm.rules import quality_verdicts
@@ -18,6 +19,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return scored(docs, train(docs, _table(spark, folder, "labels")))
+
+
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_digest(_table(spark, folder, "documents"))
 
@@ -40,7 +46,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_substring_dedup, op5_warc, op6_quality_rules, op9_suffix_dedup, op10_token_counts)
+    for f in (op1_quality_classifier, op2_substring_dedup, op5_warc, op6_quality_rules, op9_suffix_dedup, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_warc": sql.WARC, "op6_quality_rules": sql.QUALITY_RULES}
