@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm import sql
+from wardline.llm.dart import near_duplicates
 from wardline.llm.gam import scored, train
 from wardline.llm.lengths import length_histogram, suffix_sums
 from wardline.llm.rlz import substring_digest
@@ -36,6 +37,10 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_verdicts(_table(spark, folder, "documents"))
 
 
+def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_bytes_digest(_table(spark, folder, "documents"))
 
@@ -46,7 +51,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_substring_dedup, op5_warc, op6_quality_rules, op9_suffix_dedup, op10_token_counts)
+    for f in (op1_quality_classifier, op2_substring_dedup, op5_warc, op6_quality_rules, op7_minhash, op9_suffix_dedup, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_warc": sql.WARC, "op6_quality_rules": sql.QUALITY_RULES}
