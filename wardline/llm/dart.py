@@ -61,7 +61,7 @@ def _throw(cells: np.ndarray, low: float, width: float, mean: float, k: int, ear
         hit = cells[cells < bound]
         if not len(hit):
             return
-        dart = mixed(hit + U(n + 1) * U(0xD1B54A32D192ED03))
+        dart = mixed(hit + U((n + 1) * 0xD1B54A32D192ED03 % 2**64))
         rank = low + width * ((mixed(dart ^ U(0x5851F42D4C957F2D)) >> U(11)).astype(np.float64) * 2.0**-53)
         place = (dart % U(k)).astype(np.int64)
         order = np.lexsort((dart, rank))[::-1]
