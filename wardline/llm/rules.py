@@ -98,12 +98,11 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     columns = [pick(m, "high") for m in LEAST_SPREAD] + [pick(m, "low") for m in LEAST_SPREAD if m in BELOW]
     per = fences.groupBy("g").agg(F.max("total").alias("total"), *columns)
     names = [c for c in per.columns if c not in ("g", "total")]
-    own = per.where("g.k = 0").select("g.lang", "g.source", "total", *[F.col(c).alias(f"own_{c}") for c in names])
-    by_lang = per.where("g.k = 1").select(F.col("g.lang").alias("lang1"), F.col("total").alias("total1"), *[F.col(c).alias(f"lang_{c}") for c in names])
-    whole = per.where("g.k = 2").select(*[F.col(c).alias(f"all_{c}") for c in names])
-    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("lang1"))).join(F.broadcast(whole))  # one row
-    choose = lambda c: F.when(F.col("total") >= MIN_GROUP, F.col(f"own_{c}")).when(F.col("total1") >= MIN_GROUP, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
-    return joined.select("lang", "source", *[choose(c).alias(c) for c in names])
+    groups = sketch.select("lang", "source").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    wide = groups.select("lang", "source", levels.alias("g")).join(per, "g")
+    usable = F.when((F.col("total") >= MIN_GROUP) | (F.col("g.k") == 2), F.col("g.k"))
+    chosen = wide.groupBy("lang", "source").agg(F.min_by(F.struct(*names), usable).alias("limits"))
+    return chosen.select("lang", "source", "limits.*")
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
