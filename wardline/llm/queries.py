@@ -11,6 +11,7 @@ from wardline.llm.dart import near_duplicates
 from wardline.llm.decontam import contaminated
 from wardline.llm.gam import scored, train
 from wardline.llm.lengths import length_histogram, suffix_sums
+from wardline.llm.packing import pack
 from wardline.llm.rlz import substring_digest
 from wardline.llm.rules import quality_verdicts
 from wardline.llm.suffix import repeated_bytes_digest
@@ -30,6 +31,10 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_digest(_table(spark, folder, "documents"))
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(_table(spark, folder, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -56,7 +61,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_substring_dedup, op4_decontamination, op5_warc, op6_quality_rules, op7_minhash, op9_suffix_dedup, op10_token_counts)
+    for f in (op1_quality_classifier, op2_substring_dedup, op3_packing, op4_decontamination, op5_warc, op6_quality_rules, op7_minhash, op9_suffix_dedup, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_warc": sql.WARC, "op6_quality_rules": sql.QUALITY_RULES}
