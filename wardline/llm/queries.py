@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wardline.llm import sql
 from wardline.llm.dart import near_duplicates
 from wardline.llm.decontam import contaminated
+from wardline.llm.extract import fitted, main_text
 from wardline.llm.gam import scored, train
 from wardline.llm.lengths import length_histogram, suffix_sums
 from wardline.llm.packing import pack
@@ -51,6 +52,11 @@ def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    return main_text(pages, fitted(pages))
+
+
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_bytes_digest(_table(spark, folder, "documents"))
 
@@ -61,7 +67,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_substring_dedup, op3_packing, op4_decontamination, op5_warc, op6_quality_rules, op7_minhash, op9_suffix_dedup, op10_token_counts)
+    for f in (op1_quality_classifier, op2_substring_dedup, op3_packing, op4_decontamination, op5_warc, op6_quality_rules, op7_minhash, op8_html_extraction, op9_suffix_dedup, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_warc": sql.WARC, "op6_quality_rules": sql.QUALITY_RULES}
