@@ -61,9 +61,10 @@ def mask_literals(sql: Column) -> Column:
 
 
 def _literal_true(statement: Column, clause: str) -> Column:
-    value = r"\s*true(?:::bool(?:ean)?)?\s*"
-    nested = "|".join(r"(?:\(\s*){%d}" % n + value + r"(?:\)\s*){%d}" % n for n in range(1, 5))
-    return statement.rlike(r"(?i)" + _W + clause + r"\s*(?:" + nested + ")")
+    """The clause is nothing but ``true`` in parentheses, however deep: all that open before it close right after it."""
+    pattern = r"(?i)" + _W + clause + r"\s*+(\([\s(]*+)true(?:::bool(?:ean)?)?([\s)]*+)"
+    opened, closed = (F.length(F.regexp_replace(F.regexp_extract(statement, pattern, g), r"\s", "")) for g in (1, 2))
+    return (opened > 0) & (closed >= opened)
 
 
 def _balanced(statement: Column, clause: str) -> Column:

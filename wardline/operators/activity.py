@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.functions import fixed_values as V
 from wardline.functions.text import iso_week_id, traffic_day, tsv_field, utc_day
@@ -219,25 +220,30 @@ def recorded_days(ledger: DataFrame) -> DataFrame:
 
 
 def new_ledger_rows(rows: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Rows not yet recorded on their measurement day; running the same observation again adds nothing."""
-    known = recorded_days(ledger)
-    dated = rows.withColumn("measured_day", utc_day(F.col("measured_at_utc")))
-    return dated.join(known, ["repo", "measured_day", "day"], "left_anti").drop("measured_day").select(*rows.columns)
+    """The first row of each (repo, measurement day, traffic day) that is not recorded yet; the same observation again adds nothing."""
+    rest = [c for c in rows.columns if c != "measured_at_utc"]
+    first = F.min(F.struct("measured_at_utc", *rest)).alias("first")
+    dated = rows.groupBy("repo", utc_day(F.col("measured_at_utc")).alias("measured_day"), "day").agg(first)
+    return dated.join(recorded_days(ledger), ["repo", "measured_day", "day"], "left_anti").select(*[F.col(f"first.{c}") for c in rows.columns])
 
 
 def append_ledger(rows: DataFrame, path: str, complete: bool = True) -> None:
-    """Append what is new to a Parquet ledger; nothing at all unless the whole observation succeeded."""
+    """Append what is new to a Parquet ledger, which has a folder per measurement day; only the days of ``rows`` are read.
+
+    Nothing is appended unless the whole observation succeeded.
+    """
     if not complete:
         return
     spark = rows.sparkSession
-    try:
-        existing = spark.read.schema(rows.schema).parquet(path)
-        fresh = new_ledger_rows(rows, existing)
-    except Exception as error:  # the ledger does not exist yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        fresh = rows
-    fresh.write.mode("append").parquet(path)
+    day = utc_day(F.col("measured_at_utc")).alias("measured_on")
+    bounds = rows.select(day).agg(F.min("measured_on"), F.max("measured_on")).first()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) and bounds[0] is not None:
+        written = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("measured_on", T.StringType())])).parquet(path)
+        existing = written.where(F.col("measured_on").between(*bounds)).drop("measured_on")
+    else:
+        existing = rows.limit(0)
+    new_ledger_rows(rows, existing).withColumn("measured_on", utc_day(F.col("measured_at_utc"))).write.mode("append").partitionBy("measured_on").parquet(path)
 
 
 def ledger_lines(rows: DataFrame) -> DataFrame:

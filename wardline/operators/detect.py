@@ -135,8 +135,8 @@ def fold_unicode(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), text).otherwise(folded)
 
 
-def base64_blobs(text: Column, max_blobs: int | None = V.MAX_BASE64_BLOBS) -> Column:
-    """Decodable text blobs as array<struct<raw, start, decoded>>; the cap counts accepted blobs."""
+def base64_blobs(text: Column) -> Column:
+    """Every decodable blob as array<struct<raw, start, decoded>>; each byte is read as one character, so binary data is searched, too."""
     decoded = F.transform(
         match_spans(text, V.BASE64_BLOB),
         lambda s: F.struct(
@@ -145,18 +145,11 @@ def base64_blobs(text: Column, max_blobs: int | None = V.MAX_BASE64_BLOBS) -> Co
             F.try_to_binary(s["raw"], F.lit("base64")).alias("bytes"),
         ),
     )
-    accepted = F.filter(
-        decoded,
-        lambda b: b["bytes"].isNotNull()
-        & F.octet_length(b["bytes"]).between(1, V.MAX_BASE64_BYTES)
-        & ~F.contains(F.substring(b["bytes"], 1, V.BINARY_PROBE_BYTES), F.lit(b"\x00")),
-    )
-    if max_blobs is not None:
-        accepted = F.slice(accepted, F.lit(1), F.lit(max_blobs))
+    accepted = F.filter(decoded, lambda b: F.octet_length(b["bytes"]) >= 1)
     blobs = F.transform(
         accepted,
         lambda b: F.struct(
-            b["raw"].alias("raw"), b["start"].alias("start"), F.make_valid_utf8(b["bytes"].cast("string")).alias("decoded")
+            b["raw"].alias("raw"), b["start"].alias("start"), F.decode(b["bytes"], "ISO-8859-1").alias("decoded")
         ),
     )
     return F.when(text.rlike("(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{26}"), blobs).otherwise(

@@ -40,20 +40,24 @@ def payload_hits(text: Column, denylist: list[str] | None = None) -> Column:
 
 
 def redact_spans(text: Column, blocking: Column) -> Column:
-    """Replace blocking spans by their masks, right to left, skipping a span that overlaps one already used."""
+    """Replace blocking spans by their masks, right to left; spans that overlap become one, under the mask of the one that starts first."""
 
     def rebuild(spans: Column) -> Column:
         # spans are sorted by start, then end, descending; overlap is only possible with the last kept one
         clash = F.exists(
             F.transform(spans, lambda s, i: (i > 0) & (s["end"] > F.get(spans, i - 1)["start"])), lambda x: F.coalesce(x, F.lit(False))
         )
-        greedy = F.aggregate(
+        last = lambda kept: F.element_at(F.concat(kept, F.array(kept_or_first)), F.greatest(F.size(kept), F.lit(1)))
+        kept_or_first = F.get(spans, F.lit(0))
+        merged = F.aggregate(
             spans,
             F.slice(spans, F.lit(1), F.lit(0)),
-            lambda kept, s: F.when(
-                (F.size(kept) == 0) | (s["end"] <= F.element_at(F.concat(kept, F.array(s)), F.greatest(F.size(kept), F.lit(1)))["start"]),
-                F.concat(kept, F.array(s)),
-            ).otherwise(kept),
+            lambda kept, s: F.when((F.size(kept) == 0) | (s["end"] <= last(kept)["start"]), F.concat(kept, F.array(s))).otherwise(
+                F.concat(
+                    F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))),
+                    F.array(F.struct(s["start"].alias("start"), F.greatest(s["end"], last(kept)["end"]).alias("end"), s["mask"].alias("mask"))),
+                )
+            ),
         )
 
         def pieces(kept: Column) -> Column:
@@ -76,7 +80,7 @@ def redact_spans(text: Column, blocking: Column) -> Column:
 
             return F.when(F.size(kept) > 0, let(ordered, stitched)).otherwise(text)
 
-        return let(F.when(clash, greedy).otherwise(spans), pieces)
+        return let(F.when(clash, merged).otherwise(spans), pieces)
 
     spans = F.transform(
         blocking,

@@ -352,11 +352,11 @@ _RED6_SQL = [
     (r"\n{3,}", "chr10chr10", ""),
     (r"-->", "—>", ""),
     (r"<!--", "<ǃ--", ""),
-    (r"</?[a-zA-Z][^>]*>", "", ""),
-    (r"!\[([^\]]*)\]\([^)]*\)", r"\1", ""),
-    (r"!\[([^\]]*)\]\[[^\]]*\]", r"\1", ""),
-    (r"(?m:^[ \t]*\[[^\]]+\]:[ \t]*\S[^\n]*$)", "", ""),
-    (r"\[([^\]]+)\]\([^)]*\)", r"\1", ""),
+    (r"</?[a-zA-Z][^<>]*>", "", ""),
+    (r"!\[([^\[\]]*)\]\([^()]*\)", r"\1", ""),
+    (r"!\[([^\[\]]*)\]\[[^\[\]]*\]", r"\1", ""),
+    (r"(?m:^[ \t]*\[[^\[\]]+\]:[ \t]*\S[^\n]*$)", "", ""),
+    (r"\[([^\[\]]+)\]\([^()]*\)", r"\1", ""),
     (r"\b(?:javascript|data|vbscript):[^\s)]+", "[uri omitted]", "i"),
     (r"(^|[^A-Za-z0-9_])@([A-Za-z0-9-]{1,39})\b", r"\1＠\2", ""),
 ]

@@ -279,7 +279,7 @@ def bounded_content(t):
 
 @query(
     "decode_content", "SRC3",
-    "select doc_id, case when doc_id % 5 <> 3 then text end as text, false as is_partial, doc_id % 5 = 3 as is_binary from documents",
+    "select doc_id, case when doc_id % 5 = 3 then 'ab' || chr(0) || text else text end as text, false as is_partial, doc_id % 5 = 3 as is_binary from documents",
 )
 def decode_content(t):
     i = F.col("doc_id") % 5

@@ -28,9 +28,9 @@ def candidate_files(tracked: DataFrame, untracked: DataFrame) -> DataFrame:
 # --- content -------------------------------------------------------------------------------------
 
 
-def bounded(content: Column, max_bytes: int = V.MAX_FILE_BYTES, chunk: int = V.PARTIAL_CHUNK_BYTES) -> Column:
-    """struct<head, tail, is_partial>: the whole content, or its two ends when it is too large."""
-    big = F.octet_length(content) > max_bytes
+def bounded(content: Column, max_bytes: int | None = None, chunk: int = V.PARTIAL_CHUNK_BYTES) -> Column:
+    """struct<head, tail, is_partial>: the whole content or, where a bound is asked for, the two ends of what exceeds it."""
+    big = F.lit(False) if max_bytes is None else F.octet_length(content) > max_bytes
     return F.struct(
         F.when(big, F.substring(content, 1, chunk)).otherwise(content).alias("head"),
         F.when(big, F.substring(content, -chunk, chunk)).alias("tail"),
@@ -38,7 +38,7 @@ def bounded(content: Column, max_bytes: int = V.MAX_FILE_BYTES, chunk: int = V.P
     )
 
 
-def bounded_content(df: DataFrame, content: str, max_bytes: int = V.MAX_FILE_BYTES, chunk: int = V.PARTIAL_CHUNK_BYTES) -> DataFrame:
+def bounded_content(df: DataFrame, content: str, max_bytes: int | None = None, chunk: int = V.PARTIAL_CHUNK_BYTES) -> DataFrame:
     """Text or binary content over ``max_bytes`` becomes its first and last ``chunk`` joined by a line break."""
     parts = df.withColumn("_b", bounded(F.col(content), max_bytes, chunk))
     newline = F.lit(b"\n") if dict(df.dtypes)[content] == "binary" else F.lit("\n")
@@ -51,18 +51,18 @@ def _utf16(data: Column, big_endian: Column) -> Column:
     return F.when(big_endian, F.decode(even, "UTF-16BE")).otherwise(F.decode(even, "UTF-16LE"))
 
 
-def decode_content(df: DataFrame, content: str = "content", max_bytes: int = V.MAX_FILE_BYTES, chunk: int = V.PARTIAL_CHUNK_BYTES) -> DataFrame:
-    """Add ``text``, ``is_partial`` and ``is_binary``: byte order marks decide UTF-16, a NUL in the first bytes
-    means binary (no text), everything else is UTF-8 with malformed bytes replaced."""
+def decode_content(df: DataFrame, content: str = "content", max_bytes: int | None = None, chunk: int = V.PARTIAL_CHUNK_BYTES) -> DataFrame:
+    """Add ``text``, ``is_partial`` and ``is_binary``: byte order marks decide UTF-16, everything else is UTF-8 with
+    malformed bytes replaced. A NUL anywhere marks the content as binary; its text is there all the same, so nothing hides behind it."""
     parts = df.withColumn("_b", bounded(F.col(content), max_bytes, chunk))
     head, tail = F.col("_b.head"), F.col("_b.tail")
     mark = F.hex(F.substring(head, 1, 2))
     wide = mark.isin("FFFE", "FEFF")
-    binary = ~wide & F.contains(F.substring(head, 1, V.BINARY_PROBE_BYTES), F.lit(b"\x00"))
+    binary = ~wide & (F.contains(head, F.lit(b"\x00")) | F.coalesce(F.contains(tail, F.lit(b"\x00")), F.lit(False)))
     utf8 = lambda c: F.make_valid_utf8(c.cast("string"))
     body = F.substring(head, F.lit(3), F.octet_length(head))
     join = lambda first, second: F.when(F.col("_b.is_partial"), F.concat(first, F.lit("\n"), second)).otherwise(first)
-    text = F.when(wide, join(_utf16(body, mark == "FEFF"), _utf16(tail, mark == "FEFF"))).when(~binary, join(utf8(head), utf8(tail)))
+    text = F.when(wide, join(_utf16(body, mark == "FEFF"), _utf16(tail, mark == "FEFF"))).otherwise(join(utf8(head), utf8(tail)))
     return parts.select(
         *df.columns, text.alias("text"), F.col("_b.is_partial").alias("is_partial"), F.coalesce(binary, F.lit(False)).alias("is_binary")
     )

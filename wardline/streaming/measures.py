@@ -17,7 +17,7 @@ def ledger_stream(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWrit
     """Append ledger rows once per (repo, measurement day, traffic day), also when a batch is replayed."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_ledger(batch.dropDuplicates(["repo", "measured_at_utc", "day"]), path)
+        append_ledger(batch, path)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
