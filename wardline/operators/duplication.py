@@ -125,14 +125,16 @@ def shared_with(members: DataFrame, keys: list[str], show: int = 2) -> DataFrame
 # --- churn ---------------------------------------------------------------------------------
 
 
-def newest_commits(commits: DataFrame, n: int = V.CHURN_COMMITS, repo: str = "repo", order: tuple[str, str] = ("ts", "commit")) -> DataFrame:
-    """The newest ``n`` commits of each repo; the rank filter limits each task before the shuffle."""
+def newest_commits(commits: DataFrame, n: int | None = None, repo: str = "repo", order: tuple[str, str] = ("ts", "commit")) -> DataFrame:
+    """All commits or the newest ``n`` of each repo; the rank filter limits each task before the shuffle."""
+    if n is None:
+        return commits
     rank = Window.partitionBy(repo).orderBy(F.desc(order[0]), F.desc(order[1]))
     return commits.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def churn(commits: DataFrame, touches: DataFrame, n: int = V.CHURN_COMMITS) -> DataFrame:
-    """Touches per (repo, path) within the newest ``n`` commits of each repo."""
+def churn(commits: DataFrame, touches: DataFrame, n: int | None = None) -> DataFrame:
+    """Touches per (repo, path) within all commits, or within the newest ``n`` of each repo."""
     recent = newest_commits(commits, n).select("repo", "commit")
     return touches.join(recent, ["repo", "commit"]).groupBy("repo", "path").agg(F.count("*").alias("churn"))
 
@@ -209,14 +211,13 @@ def is_candidate() -> Column:
 
 
 def collapse_candidates(metrics: DataFrame, keys: list[str], top: int = 10) -> DataFrame:
-    """The heaviest files by size, churn and duplication; ``top`` is clamped to 1…50."""
-    limit = max(1, min(50, top))
+    """The ``top`` heaviest files by size, churn and duplication."""
     scored = metrics.where(is_candidate()).withColumn(
         "score", collapse_score(F.col("lines"), F.col("churn"), F.col("duplicate_blocks"))
     )
     return (
         scored.orderBy(F.desc("score"), F.desc("lines"), *keys)
-        .limit(limit)
+        .limit(top)
         .withColumn("move", move_for(F.col("lines"), F.col("churn"), F.col("duplicate_blocks")))
     )
 

@@ -52,13 +52,16 @@ def collapse_views(hits: Column) -> Column:
         )
 
     def merge(rows: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            near = F.filter(F.slice(rows, i + 1, F.lit(16)), lambda y: same(x, y))
-            views = F.array_distinct(F.transform(near, lambda y: y["hit"]["view"]))
-            leads = (i == 0) | ~F.coalesce(same(F.get(rows, i - 1), x), F.lit(False))
-            return F.struct(x["order"].alias("order"), leads.alias("leads"), x["hit"].alias("hit"), views.alias("views"))
+        new = lambda x, i: (i == 0) | ~F.coalesce(same(F.get(rows, i - 1), x), F.lit(False))
+        starts = F.filter(F.transform(rows, lambda x, i: F.when(new(x, i), i)), lambda i: i.isNotNull())
 
-        leaders = F.filter(F.transform(rows, one), lambda x: x["leads"])
+        def group(run: Column) -> Column:
+            views = F.array_distinct(F.transform(run, lambda y: y["hit"]["view"]))
+            return F.struct(F.get(run, F.lit(0))["order"].alias("order"), F.get(run, F.lit(0))["hit"].alias("hit"), views.alias("views"))
+
+        leaders = let(
+            starts, lambda at: F.transform(at, lambda p, k: let(F.slice(rows, p + 1, F.coalesce(F.get(at, k + 1), F.size(rows)) - p), group))
+        )
         return F.transform(
             F.array_sort(F.transform(leaders, lambda x: F.struct(x["order"].alias("order"), x["hit"].alias("hit"), x["views"].alias("views")))),
             lambda x: F.struct(

@@ -240,7 +240,7 @@ def max_files_violation(changes: DataFrame, contracts: DataFrame) -> DataFrame:
     )
 
 
-def original_freeze(touches: DataFrame, max_touches: int = V.MAX_CONTRACT_TOUCHES) -> DataFrame:
+def original_freeze(touches: DataFrame) -> DataFrame:
     """The first touch of the contract path is the only one that can authorise; later ones set a flag.
 
     ``touches`` is ``(repo, seq, commit, parents, present, dedicated, contract_error, baseline)`` in
@@ -252,8 +252,7 @@ def original_freeze(touches: DataFrame, max_touches: int = V.MAX_CONTRACT_TOUCHE
     )
     f = F.col("first")
     error = (
-        F.when(F.col("touches") > max_touches, f"contract touched by more than {max_touches} commits — refuse")
-        .when(F.size(f["parents"]) > 1, "merge commit introduces the contract — refuse")
+        F.when(F.size(f["parents"]) > 1, "merge commit introduces the contract — refuse")
         .when(~f["present"], "contract removed without a prior freeze — refuse")
         .when(F.size(f["parents"]) != 1, "freeze candidate is not a single-parent commit — refuse")
         .when(~f["dedicated"], "freeze commit must be dedicated to the contract — refuse")

@@ -17,8 +17,7 @@ def iso_weeks(t):
     return t.events.select("event_id", iso_week_id(F.col("ts")).alias("week"), utc_day(F.col("ts")).alias("day"), traffic_day(stamp).alias("traffic_day"))
 
 
-# Only large purchases count as use, so that all three outcomes occur.
-_STAMPS_SQL = "stamps as (select user_id, ts from events where event_type = 'purchase' and value > 90)"
+_STAMPS_SQL = "stamps as (select user_id, ts from events where event_type = 'purchase')"
 _RETENTION_SQL = f"""{_STAMPS_SQL}, weeks as (select distinct user_id, {_WEEK} as week from stamps),
 per as (select user_id, count(*) as week_count, string_agg(week, ',' order by week) as weeks from weeks group by user_id),
 kinds as (select u.user_id, case when coalesce(week_count,0) >= 2 then 'retained' when week_count = 1 then 'install' else 'unknown-shape' end as kind, coalesce(week_count,0) as week_count, coalesce(weeks,'') as weeks
@@ -26,7 +25,7 @@ kinds as (select u.user_id, case when coalesce(week_count,0) >= 2 then 'retained
 
 
 def _stamps(t):
-    return t.events.where("event_type = 'purchase' and value > 90").select("user_id", "ts")
+    return t.events.where("event_type = 'purchase'").select("user_id", "ts")
 
 
 @query("retention", "AGG8 ST5", f"with {_RETENTION_SQL} select * from kinds")

@@ -13,7 +13,6 @@ from wardline.operators.gate import gate, proof_record
 from wardline.operators.policy import allow_by_path, allow_decision, allow_rules, remediation_snippet
 from wardline.plans.planted import PLANTED_CTE, fp_sql, hits_cte, planted_documents
 from wardline.plans.registry import query
-from wardline.session import spread
 
 DOC = ["doc_id", "repo", "path", "lang"]
 
@@ -39,7 +38,7 @@ def _pii_cte(src: str) -> str:
     from pii p join documents d using (doc_id) group by all""",
 )
 def gate_summary(t):
-    gated = gate(spread(t.documents), "text").select("doc_id", "lang", "action", F.explode("hits").alias("hit"))
+    gated = gate(t.documents, "text").select("doc_id", "lang", "action", F.explode("hits").alias("hit"))
     # distinct payloads per group are counted by (group, payload) first, so a hot group is pre-combined
     per_doc = gated.groupBy("lang", F.col("hit.pattern_id").alias("pattern_id"), "action", "doc_id").agg(F.count("*").alias("n"))
     return per_doc.groupBy("lang", "pattern_id", "action").agg(F.sum("n").alias("hits"), F.count("*").alias("payloads"))
@@ -329,7 +328,7 @@ def redact_paths_user_query(t):
         F.lit("see /home/"), F.col("lang"), F.lit("/work dir/"), F.col("doc_id"), F.lit(".txt and C:\\Users\\bob\\notes\\"), F.col("doc_id"),
         F.lit(".md or $HOME/x %UserProfile% \n/Users/bob/a b/c end "), F.col("text"),
     )
-    return spread(t.documents).select("doc_id", redact_paths_user(text, username="bob").alias("redacted"))
+    return t.documents.select("doc_id", redact_paths_user(text, username="bob").alias("redacted"))
 
 
 @query(
@@ -342,7 +341,7 @@ def redact_token_query(t):
         F.lit("auth Bearer "), F.sha2(F.col("conv_id").cast("string"), 256), F.lit(" gho_"), F.sha2(F.col("turn").cast("string"), 256),
         F.lit(" my-own-token-1 "), F.col("text"),
     )
-    return spread(t.conversations).select("conv_id", "turn", redact_token(text, "my-own-token-1").alias("redacted"))
+    return t.conversations.select("conv_id", "turn", redact_token(text, "my-own-token-1").alias("redacted"))
 
 
 _RED6_SQL = [
@@ -367,7 +366,7 @@ _RED6_SQL = [
     "select page_id, " + _chain(_chain("html", _RED6_SQL), _RED2_SQL).replace("'chr10'", "chr(10)").replace("'chr10chr10'", "chr(10)||chr(10)") + " as clean from pages",
 )
 def sanitize_markdown_query(t):
-    return spread(t.pages).select("page_id", sanitize_markdown(F.col("html")).alias("clean"))
+    return t.pages.select("page_id", sanitize_markdown(F.col("html")).alias("clean"))
 
 
 @query(
@@ -378,7 +377,7 @@ def sanitize_markdown_query(t):
     from (select doc_id, list_transform(m, lambda x: x) as m from masks) join documents d using (doc_id)""",
 )
 def redact_spans_query(t):
-    return gate(spread(t.documents), "text", redact=True).where("action = 'REDACT'").select("doc_id", "redacted")
+    return gate(t.documents, "text", redact=True).where("action = 'REDACT'").select("doc_id", "redacted")
 
 
 # --- gate ----------------------------------------------------------------------------------------------------
@@ -407,7 +406,7 @@ def gate_query(t):
     "select conv_id, turn, action, truncated, case when truncated then case when why in ('max-bytes','idle','total','error') then why else 'error' end end as reason, bytes, 1 as version, 'gate' as command from per",
 )
 def gate_conversations(t):
-    gated = gate(spread(t.conversations), "text")
+    gated = gate(t.conversations, "text")
     why = F.when(F.col("turn") % 10 == 4, "idle").when(F.col("turn") % 10 == 9, "other")
     proofs = proof_record(gated, ["conv_id", "turn"], F.col("turn") % 5 == 4, why)
     return proofs.select("conv_id", "turn", "action", "truncated", "reason", "bytes", "version", "command")

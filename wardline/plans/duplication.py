@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wardline.functions import fixed_values as V
 from wardline.functions.text import collapse_score, line_count, looks_generated, move_for, normalized_lines
 from wardline.operators import duplication as A
 from wardline.plans.registry import query
-from wardline.session import spread
 
 # Documents are short; windows of five lines repeat in them as fifteen-line windows do in code.
 K = 5
@@ -34,7 +34,7 @@ blocks as (select doc_id, cast(block as int) as block, min(line_from) as line_fr
 
 
 def _windows(t):
-    return A.line_windows(spread(t.documents), "text", ["doc_id"], K)
+    return A.line_windows(t.documents, "text", ["doc_id"], K)
 
 
 @query("normalized_lines", "FN8", f"with {_LINES_CTE} select doc_id, n as line, norm from lines")
@@ -92,12 +92,12 @@ def _touches(t):
 
 @query("newest_commits", "SRT2", f'with {_COMMITS_CTE} select repo, commit from recent')
 def newest_commits_query(t):
-    return A.newest_commits(_commits(t)).select("repo", "commit")
+    return A.newest_commits(_commits(t), V.CHURN_COMMITS).select("repo", "commit")
 
 
 @query("churn", "AGG2", f"with {_COMMITS_CTE} select repo, path, churn from churned")
 def churn_query(t):
-    return A.churn(_commits(t), _touches(t))
+    return A.churn(_commits(t), _touches(t), V.CHURN_COMMITS)
 
 
 # --- size, metrics, ranking ----------------------------------------------------------------------------
@@ -134,7 +134,7 @@ def _blocks(t):
 
 
 def _metrics(t):
-    return A.file_metrics(_sizes(t), A.churn(_commits(t), _touches(t)), _blocks(t), ["repo", "path"])
+    return A.file_metrics(_sizes(t), A.churn(_commits(t), _touches(t), V.CHURN_COMMITS), _blocks(t), ["repo", "path"])
 
 
 @query("file_metrics", "JN4", f"with {_FILES_CTE} select repo, path, lines, size_tier, churn, duplicate_blocks from metrics")
@@ -176,7 +176,7 @@ def accretion_band_query(t):
     f"with {_FILES_CTE} select count(*) filter (lines > 1800 or (lines > 1000 and churn >= 1 and churn >= 10)) as severe_hotspots from metrics",
 )
 def severe_hotspots_query(t):
-    return A.severe_hotspots(_sizes(t), A.churn(_commits(t), _touches(t)), ["repo", "path"])
+    return A.severe_hotspots(_sizes(t), A.churn(_commits(t), _touches(t), V.CHURN_COMMITS), ["repo", "path"])
 
 
 @query(

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from wardline.operators import lanes as L
 from wardline.plans.registry import query
 
-# A lane is a supplier group, a repo a return flag, a file a part shipped in one month.
-_TOUCH_SQL = "touched as (select distinct l_returnflag as repo, l_suppkey % 8 as lane, 'part' || l_partkey as file from lineitem where l_shipdate >= date '1998-03-01' and l_shipdate < date '1998-04-01' and l_partkey % 50 <> 0), hot as (select repo, file, count(*) as lanes, min(lane) as first_lane, max(lane) as last_lane from touched group by all having count(*) > 1)"
+# A lane is a supplier group, a repo a return flag and ship month, a file a part.
+_TOUCH_SQL = "touched as (select distinct l_returnflag || strftime(l_shipdate, '%Y-%m') as repo, l_suppkey % 8 as lane, 'part' || l_partkey as file from lineitem where l_partkey % 50 <> 0), hot as (select repo, file, count(*) as lanes, min(lane) as first_lane, max(lane) as last_lane from touched group by all having count(*) > 1)"
 
 
 def _lane_files(t):
-    month = t.lineitem.where("l_shipdate >= timestamp_ntz'1998-03-01' and l_shipdate < timestamp_ntz'1998-04-01'")
     name = F.when(F.col("l_partkey") % 50 == 0, "AGENTS.md").otherwise(F.concat(F.lit("part"), F.col("l_partkey").cast("string")))
-    return month.select(F.col("l_returnflag").alias("repo"), (F.col("l_suppkey") % 8).alias("lane"), name.alias("file"))
+    return t.lineitem.select(F.concat("l_returnflag", F.date_format("l_shipdate", "yyyy-MM")).alias("repo"), (F.col("l_suppkey") % 8).alias("lane"), name.alias("file"))
 
 
 @query("collision_map", "AGG12", f"with {_TOUCH_SQL} select * from hot")

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.session import spread
 
 ZWSP = "\u200b"
 CYRILLIC_S = "\u0455"
@@ -61,7 +60,7 @@ def planted(text: str = "text", key: str = "doc_id") -> Column:
 
 def planted_documents(documents: DataFrame) -> DataFrame:
     """Documents as files of a repo (their source), with planted text."""
-    return spread(documents).select(
+    return documents.select(
         "doc_id",
         F.col("source").alias("repo"),
         F.concat_ws("/", F.col("source"), F.col("lang"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),

@@ -7,10 +7,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardline.session import LOCAL_TASKS
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+# Local sessions for tests and the bench ask for so many tasks over the texts, which lie in one file that cannot be split.
+TEXTS = ("documents", "pages", "conversations")
+
 
 class Tables:
     """The given tables of one folder, read lazily: ``t.documents`` is a DataFrame."""
@@ -21,7 +26,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        tasks = self.spark.conf.get(LOCAL_TASKS, None)
+        return table.repartition(int(tasks)) if tasks and name in TEXTS else table
 
 
 @dataclass(frozen=True)

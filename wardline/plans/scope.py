@@ -281,7 +281,7 @@ def max_files_query(t):
 _TOUCHES_SQL = """touches as (select o_custkey as repo, o_orderdate as ts, o_orderkey as seq, 'c' || o_orderkey as commit, o_orderkey % 11 = 0 as merge, o_orderstatus <> 'P' or o_orderkey % 2 = 0 as present,
   o_orderkey % 7 <> 0 as dedicated, o_orderkey % 13 = 0 as invalid, o_orderkey % 17 = 0 as off_base from orders),
 firsts as (select repo, count(*) as touches, arg_min(commit, seq) as commit, arg_min(merge, seq) as merge, arg_min(present, seq) as present, arg_min(dedicated, seq) as dedicated, arg_min(invalid, seq) as invalid, arg_min(off_base, seq) as off_base from touches group by repo),
-freezes as (select repo, touches, touches > 1 as later_change, commit, case when touches > 60 then 'many' when merge then 'merge' when not present then 'removed' when not dedicated then 'dedicated' when invalid then 'invalid' when off_base then 'baseline' end as error from firsts)"""
+freezes as (select repo, touches, touches > 1 as later_change, commit, case when merge then 'merge' when not present then 'removed' when not dedicated then 'dedicated' when invalid then 'invalid' when off_base then 'baseline' end as error from firsts)"""
 
 
 def _touches(t):
@@ -301,7 +301,7 @@ def _touches(t):
 
 def _short_error(c):
     return (
-        F.when(c.contains("more than"), "many").when(c.startswith("merge"), "merge").when(c.contains("removed"), "removed")
+        F.when(c.startswith("merge"), "merge").when(c.contains("removed"), "removed")
         .when(c.contains("dedicated"), "dedicated").when(c.contains("invalid"), "invalid").when(c.contains("baseline"), "baseline")
     )
 
@@ -311,7 +311,7 @@ def _short_error(c):
     f"with {_TOUCHES_SQL} select repo, touches, later_change, case when error is null then commit end as freeze_commit, error from freezes",
 )
 def original_freeze_query(t):
-    f = S.original_freeze(_touches(t), max_touches=60)
+    f = S.original_freeze(_touches(t))
     return f.select("repo", "touches", "later_change", "freeze_commit", _short_error(F.col("error")).alias("error"))
 
 
@@ -325,7 +325,7 @@ def original_freeze_query(t):
 def scope_verdict_query(t):
     changes = t.orders.select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").cast("string").alias("path"), "o_orderpriority")
     bad = changes.where("o_orderpriority = '1-URGENT'").select("repo", "path")
-    return S.scope_verdict(bad, S.original_freeze(_touches(t), max_touches=60), changes)
+    return S.scope_verdict(bad, S.original_freeze(_touches(t)), changes)
 
 
 @query(

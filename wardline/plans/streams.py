@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -13,6 +12,7 @@ from wardline.operators import activity as A
 from wardline.plans.activity import _ledger_rows, _LEDGER_SQL, _RETENTION_SQL
 from wardline.plans.detection import _pii_cte
 from wardline.plans.registry import query
+from wardline.session import shared_folder, ship_package
 from wardline.streaming.gates import gate_stream
 from wardline.streaming.measures import ledger_stream, retention_stream, session_weight_stream, weigh
 from wardline.streaming.payloads import assemble_payloads
@@ -21,9 +21,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def scratch(spark) -> str:
-    """A new folder in the shared place the cluster names, or a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
+    """A new folder in the place that driver and executors share."""
+    ship_package(spark)
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_of(t, name: str) -> DataFrame:
@@ -71,7 +71,7 @@ def stream_payloads(t):
     last = t.conversations.groupBy("conv_id").agg(F.max("turn").alias("last"))
     # turns follow each other by one second; in every third conversation turn 4 comes after a long silence
     pause = F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") >= 4), 40).otherwise(0)
-    shaped = stream_of(t, "conversations").join(F.broadcast(last), "conv_id").select(
+    shaped = stream_of(t, "conversations").join(last, "conv_id").select(
         F.col("conv_id").cast("string").alias("payload_id"), F.col("turn").alias("seq"), F.encode("text", "UTF-8").alias("data"),
         ((F.col("turn") == F.col("last")) & (F.col("conv_id") % 4 != 0)).alias("is_end"),
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") + pause).alias("ts"),
@@ -93,7 +93,7 @@ def stream_ledger(t):
 
 @query("stream_retention", "ST5", f"with {_RETENTION_SQL} select user_id, kind from kinds where kind <> 'unknown-shape'")
 def stream_retention(t):
-    stamps = stream_of(t, "events").where("event_type = 'purchase' and value > 90")
+    stamps = stream_of(t, "events").where("event_type = 'purchase'")
     out = drain(retention_stream(stamps, "user_id"), scratch(t.spark), "update")
     # the newest update of a key is its answer
     return out.groupBy("user_id").agg(F.max_by("kind", "batch").alias("kind"))

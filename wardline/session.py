@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -12,12 +13,15 @@ from pyspark.sql import functions as F
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+LOCAL_TASKS = "spark.wardline.localTasks"
+
 # A side is broadcast only when the optimizer's size estimate is under this bound.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "wardline") -> SparkSession:
     """Local session for tests and the bench; a cluster brings its own settings."""
+    tasks = os.cpu_count() if cores == "*" else cores
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -28,6 +32,7 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.ui.enabled", "false")
+        .config(LOCAL_TASKS, str(tasks))
         .getOrCreate()
     )
 
@@ -65,6 +70,16 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-steps-", dir="/tmp")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, where stateful stream operators need its classes."""
+    context = spark.sparkContext
+    if any(os.path.basename(f).startswith("wardline-") for f in context._python_includes or ()):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-package-", dir="/tmp"), f"wardline-{uuid.uuid4().hex}")
+    context.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(package), os.path.basename(package)))
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's own size estimate of the plan; nothing is executed."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
@@ -79,13 +94,6 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
-def spread(df: DataFrame, bytes_per_task: int = 128 * 1024 * 1024) -> DataFrame:
-    """Give a CPU-heavy scan one task per core when the input is too small to split into that many.
-
-    A large input already has more splits than cores and is returned as it is: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if estimated_bytes(df) < cores * bytes_per_task else df
 
 
 def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
