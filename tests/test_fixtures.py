@@ -50,7 +50,7 @@ def test_policy_trust_order_and_warnings(spark):
     df = spark.createDataFrame(rows, "repo string, source string, marker_rank int, in_index boolean, index_text string, worktree_text string")
     out = {r.repo: r for r in load_policy(df).collect()}
     assert out["ok"].trusted and out["ok"].hashes == ["a" * 64] and out["ok"].paths == ["docs/"] and out["ok"].pattern_ids == ["jwt"]
-    assert len(out["ok"].warnings) == 2 and "1 ignore.fingerprints/hashes entry ignored" in out["ok"].warnings[1]
+    assert len(out["ok"].warnings) == 2 and "left out 1 hash entries" in out["ok"].warnings[1]
     for name in ("loose", "broken", "list", "v2"):
         assert not out[name].trusted and len(out[name].warnings) == 1 and not out[name].hashes, name
     assert out["flat"].trusted and out["flat"]["values"] == ["x"]
@@ -213,10 +213,10 @@ def test_server_map_names_both_routes(spark):
 def test_contract_key_order_and_first_error(spark):
     sha = "a" * 40
     cases = {
-        "{": "not valid JSON", '{"schemaVersion":1.5}': "integer schemaVersion", '{"schemaVersion":1,"goal":"g","allow":["a"],"deny":"x"}': "deny must be an array",
-        '{"schemaVersion":1,"goal":"g","allow":["/abs"]}': "allow: unsafe", '{"schemaVersion":1,"goal":"g","allow":["a",1]}': "allow: empty glob",
-        '{"schemaVersion":1,"goal":"g","allow":["a"],"baselineRef":"main"}': "baselineRef", '{"schemaVersion":1,"goal":"g","allow":["a"],"baselineCommit":"abc"}': "full 40-hex",
-        f'{{"schemaVersion":1,"goal":"g","allow":["a"],"baselineCommit":"{sha}","exec":1}}': 'executable field "exec"',
+        "{": "json:broken", '{"schemaVersion":1.5}': "schemaVersion:not-an-integer", '{"schemaVersion":1,"goal":"g","allow":["a"],"deny":"x"}': "deny:not-an-array",
+        '{"schemaVersion":1,"goal":"g","allow":["/abs"]}': "allow:unsafe-glob", '{"schemaVersion":1,"goal":"g","allow":["a",1]}': "allow:empty-glob",
+        '{"schemaVersion":1,"goal":"g","allow":["a"],"baselineRef":"main"}': "baselineRef", '{"schemaVersion":1,"goal":"g","allow":["a"],"baselineCommit":"abc"}': "baselineCommit:malformed",
+        f'{{"schemaVersion":1,"goal":"g","allow":["a"],"baselineCommit":"{sha}","exec":1}}': 'executable-field:exec',
     }
     df = spark.createDataFrame(list(cases.items()), "text string, want string")
     for r in df.select("want", S.contract_valid(F.col("text")).alias("v")).collect():

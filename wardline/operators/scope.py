@@ -107,39 +107,39 @@ def contract_valid(text: Column) -> Column:
 
     def globs(name: str) -> Column:
         def problem(g: Column) -> Column:
-            return F.when(F.trim(g) == "", F.lit(f"{name}: empty glob")).when(
-                is_unsafe_path(g), F.concat(F.lit(f'{name}: unsafe path/glob: "'), g, F.lit('"'))
+            return F.when(F.trim(g) == "", F.lit(f"{name}:empty-glob")).when(
+                is_unsafe_path(g), F.concat(F.lit(f"{name}:unsafe-glob:"), g)
             )
 
         bad = F.filter(F.transform(strings(name), problem), lambda p: p.isNotNull())
         mixed = kind(name).startswith("ARRAY") & ~kind(name).isin("ARRAY<STRING>", "ARRAY<VOID>")
-        return F.when(mixed, F.lit(f"{name}: empty glob")).otherwise(F.get(bad, F.lit(0)))
+        return F.when(mixed, F.lit(f"{name}:empty-glob")).otherwise(F.get(bad, F.lit(0)))
 
     def optional_array(name: str) -> Column:
         wrong = (kind(name) != "VOID") & ~kind(name).startswith("ARRAY")
-        return F.coalesce(F.when(wrong, f"intent contract {name} must be an array of globs when present"), globs(name))
+        return F.coalesce(F.when(wrong, f"{name}:not-an-array"), globs(name))
 
     baseline = F.lower(F.trim(string("baselineCommit")))
     forbidden = F.get(F.filter(F.array(*[F.lit(k) for k in V.FORBIDDEN_CONTRACT_KEYS]), lambda k: F.array_contains(keys, k)), F.lit(0))
     error = F.coalesce(
-        F.when(~valid_json(clean), "intent contract is not valid JSON"),
-        F.when(keys.isNull(), "intent contract root must be a JSON object"),
-        F.when(~F.coalesce(whole("schemaVersion"), F.lit(False)), "intent contract requires integer schemaVersion"),
-        F.when(number("schemaVersion") != 1, F.concat(F.lit("unsupported intent schemaVersion "), number("schemaVersion").cast("bigint").cast("string"), F.lit(" (supported: 1)"))),
-        F.when((kind("goal") != "STRING") | (F.trim(string("goal")) == ""), "intent contract requires a non-empty human-readable goal string"),
-        F.when(~kind("allow").startswith("ARRAY") | (kind("allow") == "ARRAY<VOID>"), "intent contract requires a non-empty allow array of relative-path globs"),
+        F.when(~valid_json(clean), "json:broken"),
+        F.when(keys.isNull(), "json:not-an-object"),
+        F.when(~F.coalesce(whole("schemaVersion"), F.lit(False)), "schemaVersion:not-an-integer"),
+        F.when(number("schemaVersion") != 1, F.concat(F.lit("schemaVersion:unsupported:"), number("schemaVersion").cast("bigint").cast("string"))),
+        F.when((kind("goal") != "STRING") | (F.trim(string("goal")) == ""), "goal:missing"),
+        F.when(~kind("allow").startswith("ARRAY") | (kind("allow") == "ARRAY<VOID>"), "allow:missing"),
         globs("allow"),
         optional_array("deny"),
         optional_array("require"),
         F.when(
             (kind("maxFiles") != "VOID") & ~F.coalesce(whole("maxFiles") & (number("maxFiles") >= 0), F.lit(False)),
-            "intent contract maxFiles must be a non-negative integer when present",
+            "maxFiles:not-a-count",
         ),
-        F.when(~kind("acceptanceNotes").isin("VOID", "STRING"), "intent contract acceptanceNotes must be a string when present"),
-        F.when(kind("baselineRef") != "VOID", "intent contract must not use baselineRef (movable/symbolic) — use baselineCommit (full 40-hex SHA)"),
-        F.when((kind("baselineCommit") != "STRING") | (baseline == ""), "intent contract requires baselineCommit (full 40-hex SHA of the pre-freeze HEAD)"),
-        F.when(~baseline.rlike(r"^[0-9a-f]{40}\z"), F.concat(F.lit('intent contract baselineCommit must be a full 40-hex commit SHA (got "'), F.trim(string("baselineCommit")), F.lit('")'))),
-        F.when(forbidden.isNotNull(), F.concat(F.lit('intent contract must not contain executable field "'), forbidden, F.lit('"'))),
+        F.when(~kind("acceptanceNotes").isin("VOID", "STRING"), "acceptanceNotes:not-text"),
+        F.when(kind("baselineRef") != "VOID", "baselineRef:forbidden"),
+        F.when((kind("baselineCommit") != "STRING") | (baseline == ""), "baselineCommit:missing"),
+        F.when(~baseline.rlike(r"^[0-9a-f]{40}\z"), F.concat(F.lit("baselineCommit:malformed:"), F.trim(string("baselineCommit")))),
+        F.when(forbidden.isNotNull(), F.concat(F.lit("executable-field:"), forbidden)),
     )
     empty = F.array().cast("array<string>")
     tidy = lambda name: F.transform(F.coalesce(strings(name), empty), lambda g: normalize_path(F.trim(g)))
@@ -252,12 +252,12 @@ def original_freeze(touches: DataFrame) -> DataFrame:
     )
     f = F.col("first")
     error = (
-        F.when(F.size(f["parents"]) > 1, "merge commit introduces the contract — refuse")
-        .when(~f["present"], "contract removed without a prior freeze — refuse")
-        .when(F.size(f["parents"]) != 1, "freeze candidate is not a single-parent commit — refuse")
-        .when(~f["dedicated"], "freeze commit must be dedicated to the contract — refuse")
-        .when(f["contract_error"].isNotNull(), F.concat(F.lit("freeze contract invalid: "), f["contract_error"]))
-        .when(f["baseline"] != F.get(f["parents"], F.lit(0)), "contract baseline is not the freeze parent — refuse")
+        F.when(F.size(f["parents"]) > 1, "freeze:merge")
+        .when(~f["present"], "freeze:removed")
+        .when(F.size(f["parents"]) != 1, "freeze:parents")
+        .when(~f["dedicated"], "freeze:not-dedicated")
+        .when(f["contract_error"].isNotNull(), F.concat(F.lit("freeze:invalid:"), f["contract_error"]))
+        .when(f["baseline"] != F.get(f["parents"], F.lit(0)), "freeze:baseline")
     )
     return first.select(
         "repo",

@@ -301,8 +301,8 @@ def _touches(t):
 
 def _short_error(c):
     return (
-        F.when(c.startswith("merge"), "merge").when(c.contains("removed"), "removed")
-        .when(c.contains("dedicated"), "dedicated").when(c.contains("invalid"), "invalid").when(c.contains("baseline"), "baseline")
+        F.when(c == "freeze:merge", "merge").when(c == "freeze:removed", "removed")
+        .when(c == "freeze:not-dedicated", "dedicated").when(c.startswith("freeze:invalid"), "invalid").when(c == "freeze:baseline", "baseline")
     )
 
 
@@ -484,9 +484,9 @@ def receipt_fields_query(t):
 
 @query(
     "contract_valid", "FLT8",
-    """select user_id, event_id, case event_id % 9 when 0 then null when 1 then 'intent contract is not valid JSON' when 2 then 'intent contract requires integer schemaVersion'
-      when 3 then 'unsupported intent schemaVersion 2 (supported: 1)' when 4 then 'intent contract requires a non-empty human-readable goal string' when 5 then 'allow: unsafe path/glob: "../x"'
-      when 6 then 'intent contract maxFiles must be a non-negative integer when present' when 7 then 'intent contract must not contain executable field "run"' else 'intent contract root must be a JSON object' end as error,
+    """select user_id, event_id, case event_id % 9 when 0 then null when 1 then 'json:broken' when 2 then 'schemaVersion:not-an-integer'
+      when 3 then 'schemaVersion:unsupported:2' when 4 then 'goal:missing' when 5 then 'allow:unsafe-glob:../x'
+      when 6 then 'maxFiles:not-a-count' when 7 then 'executable-field:run' else 'json:not-an-object' end as error,
       case when event_id % 9 = 0 then 'keep ' || user_id end as goal from events""",
 )
 def contract_valid_query(t):
