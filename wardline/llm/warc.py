@@ -85,11 +85,14 @@ def decided(pages: DataFrame) -> DataFrame:
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = narrow(pages, page_id=F.col("page_id").cast("long"), url=F.col("url"), html=html, sha=F.sha2(html, 256))
-    slim = rows.select("page_id", "sha")
-    owners = slim.groupBy("sha").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id")).alias("owner"))
-    plan = slim.groupBy("page_id", "sha").agg(F.count("*").alias("copies")).join(owners, "sha").select(F.col("page_id").alias("id"), F.col("sha").alias("s"), "copies", F.col("owner.page_id").alias("owner"))
-    once = rows.dropDuplicates(["page_id", "sha"])
-    return once.join(plan, once["page_id"].eqNullSafe(plan["id"]) & (once["sha"] == plan["s"])).select("page_id", "url", "html", "copies", "owner")
+    key = {"none": F.col("page_id").isNull(), "id": F.coalesce("page_id", F.lit(0).cast("long"))}
+    rows = rows.withColumns(key)
+    slim = rows.select("none", "id", "sha")
+    owners = slim.groupBy("sha").agg(F.min(F.struct("none", "id")).alias("owner"))
+    owner = F.when(~F.col("owner.none"), F.col("owner.id")).alias("owner")
+    plan = slim.groupBy("none", "id", "sha").agg(F.count("*").alias("copies")).join(owners, "sha").select("none", "id", "sha", "copies", owner)
+    # equal keys on both sides of the join: the rows stay where the removal of repeated rows has put them
+    return rows.dropDuplicates(["none", "id", "sha"]).join(plan, ["none", "id", "sha"]).select("page_id", "url", "html", "copies", "owner")
 
 
 def write_archives(pages: DataFrame, folder: str, chunk: int = CHUNK) -> None:
