@@ -22,7 +22,7 @@ def rows() -> list[tuple]:
     far = " ".join(w if i % 9 else f"x{i}" for i, w in enumerate(words))
     texts = [
         (1, base), (2, base), (3, near), (4, far), (5, None), (6, ""), (7, " \n\t "), (8, "one"), (9, "one"), (10, f"{other} {shared}"), (11, f"{shared} {passage(4, 90)}"),
-        (12, "a b " * 400), (13, passage(5, 9000) + " " + shared), (None, passage(6, 80)), (None, passage(6, 80)), (None, None), (14, other + "\x00\x1c odd space"), (1, base), (15, "\n".join(["same line here"] * 30)),
+        (12, "a b " * 400), (13, passage(5, 9000) + " " + shared), (None, passage(6, 80)), (None, passage(6, 80)), (None, None), (14, passage(8, 40) + "\x00\x1c odd space"), (1, base), (15, "\n".join(["same line here"] * 30)),
     ]
     out = []
     for i, (d, t) in enumerate(texts):

@@ -3,12 +3,13 @@
 A text is a weighted set: its shingles with their counts. Hashed darts fall on the regions of the elements, (weight) x (rank); only darts
 below an element's weight count. Each dart belongs to one of the coordinates of the signature, which keeps its earliest dart
 (least rank). Two texts have the same dart at a coordinate with a probability equal to their weighted Jaccard similarity.
-Ranks are visited in bands of doubling width until every coordinate has a dart, so a text costs a few hashes per shingle and
+Ranks are visited in bands of growing width until every coordinate has a dart, so a text costs a few hashes per shingle and
 about k ln k darts, whatever its length; counts are whole, so the weight axis has unit cells that are wholly in or out.
 
 Signatures meet in bands of ``ROWS`` coordinates. Members of a bucket are compared with representatives of it, never with
-each other in general: what a comparison links needs no other. Only where a bucket then still joins different classes, their
-members are compared across. Every comparison is exact.
+each other in general: links within a class add nothing to it. Then buckets that still join different classes, and the
+parts of them that agree in further bands, are visited again with other representatives, and members are compared with
+those of other classes, until a round finds no link. All of that is linear in the bands of the texts; every comparison is exact.
 """
 
 from __future__ import annotations
@@ -18,17 +19,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.anchors import Rolling, U, mixed
+from wardline.llm.common import worker_cache
 from wardline.llm.components import components
-from wardline.llm.repeats import keyed, packed, same_key, texts_of, word_codes
+from wardline.llm.repeats import NO_ID, given_id, keyed, packed, texts_of, word_codes
 from wardline.session import cut_lineage
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Signature of 100 darts in bands of 4: a pair at similarity 0.8 shares no band with a probability of 2 in a million.
 BANDS, ROWS = 25, 4
-#: Representatives of a bucket, chosen by different hashes.
-ORDERS = 2
-#: Rank bands start with [0, 2**FIRST); later ones double the reach.
-FIRST = -14
+#: Representatives of a bucket, chosen by different hashes, and further rounds with others.
+ORDERS, ROUNDS = 2, 3
+#: Bands in which parts of a bucket agree.
+DEPTHS = (1, 2, 3, 5)
+#: Rank bands start with [0, 2**FIRST); later ones reach 2**STEP times as far.
+FIRST, STEP = -14, 2
+#: More darts than this fall on a cell of at most one on average with a probability under 1e-17.
+DARTS = 20
 
 
 def shingles(data: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -43,49 +49,73 @@ def shingles(data: bytes, size: int = SHINGLE) -> np.ndarray:
     return mixed(np.repeat(values, counts) + cell.astype(U) * U(0x9E3779B97F4A7C15))
 
 
-def _poisson(mean: float) -> np.ndarray:
+def _poisson(mean: float) -> list[int]:
     """Bounds below which a uniform 64-bit hash means more than 0, 1, 2, ... darts."""
     term, rest, out = float(np.exp(-mean)), 1.0, []
-    for k in range(24):
+    for k in range(DARTS):
         rest -= term
-        if rest <= 1e-17:
-            break
-        out.append(rest)
+        out.append(min(int(rest * 2.0**64), 2**64 - 1) if rest > 1e-17 else 0)
         term *= mean / (k + 1)
-    return np.array([min(int(x * 2.0**64), 2**64 - 1) for x in out], U)
+    return out
+
 
+class _Cells:
+    """Rank bands cut into cells of at most one dart on average: salt, low end, width and bounds of each, in order of rank."""
 
-def _throw(cells: np.ndarray, low: float, width: float, mean: float, k: int, earliest: np.ndarray, names: np.ndarray) -> None:
-    """Throw the darts of some cells and keep the earliest at each coordinate."""
-    for n, bound in enumerate(_poisson(mean)):
-        hit = cells[cells < bound]
+    def __init__(self, low: float, band: int):
+        high = 2.0**band
+        parts = max(1, int(high - low))
+        self.width = (high - low) / parts
+        self.low = low + self.width * np.arange(parts)
+        self.salt = mixed((np.arange(parts, dtype=U) | U((band - FIRST) << 32)) + U(0xA24BAED4963EE407))
+        self.bounds = _poisson(self.width)
+
+
+def _bands(count: int) -> list[_Cells]:
+    kept = worker_cache("dart_bands", list)
+    while len(kept) < count:
+        band = FIRST + STEP * len(kept)
+        kept.append(_Cells(2.0 ** (band - STEP) if kept else 0.0, band))
+    return kept[:count]
+
+
+def _thrown(elements: np.ndarray, bands: list[_Cells]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and rank of every dart of the elements in some bands."""
+    salt, low = np.concatenate([c.salt for c in bands]), np.concatenate([c.low for c in bands])
+    width = np.concatenate([np.full(len(c.low), c.width) for c in bands])
+    bounds = np.concatenate([np.tile(np.array(c.bounds, U), (len(c.low), 1)) for c in bands])
+    cells = mixed(elements[None, :] ^ salt[:, None])
+    darts, ranks = [], []
+    row, column = np.nonzero(cells < bounds[:, :1])
+    hit = cells[row, column]
+    for n in range(DARTS):
+        if n:
+            more = hit < bounds[row, n]
+            row, hit = row[more], hit[more]
         if not len(hit):
-            return
+            break
         dart = mixed(hit + U((n + 1) * 0xD1B54A32D192ED03 % 2**64))
-        rank = low + width * ((mixed(dart ^ U(0x5851F42D4C957F2D)) >> U(11)).astype(np.float64) * 2.0**-53)
-        place = (dart % U(k)).astype(np.int64)
-        order = np.lexsort((dart, rank))[::-1]
-        first = np.full(k, np.inf)
-        name = np.zeros(k, U)
-        first[place[order]], name[place[order]] = rank[order], dart[order]
-        better = first < earliest
-        earliest[better], names[better] = first[better], name[better]
+        darts.append(dart)
+        ranks.append(low[row] + width[row] * ((mixed(dart ^ U(0x5851F42D4C957F2D)) >> U(11)).astype(np.float64) * 2.0**-53))
+    return np.concatenate([np.zeros(0, U), *darts]), np.concatenate([np.zeros(0), *ranks])
 
 
 def signature(elements: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
     """The earliest dart of each coordinate."""
     earliest, names = np.full(k, np.inf), np.zeros(k, U)
-    low, band = 0.0, FIRST
+    wanted = k * (np.log(k) + 2) / len(elements)
+    done, upto = 0, max(1, int(np.ceil((np.log2(wanted) - FIRST) / STEP)) + 1)
     while True:
-        high = 2.0**band
-        width = high - low
-        parts = max(1, int(width))
-        for part in range(parts):
-            cells = mixed(elements ^ mixed(np.array([(band - FIRST) << 32 | part], U) + U(0xA24BAED4963EE407)))
-            _throw(cells, low + part * width / parts, width / parts, width / parts, k, earliest, names)
+        dart, rank = _thrown(elements, _bands(upto)[done:])
+        place = (dart % U(k)).astype(np.int64)
+        order = np.lexsort((dart, rank))[::-1]
+        first, name = np.full(k, np.inf), np.zeros(k, U)
+        first[place[order]], name[place[order]] = rank[order], dart[order]  # of equal places the last one stays, which is the earliest
+        better = first < earliest
+        earliest[better], names[better] = first[better], name[better]
         if np.isfinite(earliest).all():
             return names
-        low, band = high, band + 1
+        done, upto = upto, upto + 1
 
 
 def band_keys(names: np.ndarray, bands: int = BANDS) -> np.ndarray:
@@ -152,32 +182,53 @@ def _ordered(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def _representatives(rows: DataFrame, columns: list[str], seeds: range) -> list:
+    """For each seed the member of a bucket with the least hash."""
+    return [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), *columns)).alias(f"r{k}") for k in seeds]
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """Pairs of each member of a bucket and the bucket's representatives; ``rows`` is ``key, node``."""
+    seeds = range(ORDERS)
+    buckets = rows.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), *_representatives(rows, ["node"], seeds)).where("x <> y")
+    reps = F.explode(F.array(*[f"r{k}.node" for k in seeds])).alias("r")
+    return rows.join(buckets, "key").select("node", reps).where("node <> r").select(*_ordered(F.col("node"), F.col("r"))).distinct()
+
+
+def _across(nodes: DataFrame, root: DataFrame, seeds: range) -> DataFrame:
+    """Pairs of members and representatives of different classes, in buckets and in ever narrower parts of them.
+
+    A part of a bucket also agrees in the next bands (``DEPTHS`` of them in all), so its representative is more like its members.
+    """
+    twice = F.concat("bands", "bands")
+    keys = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda i: F.array(*[F.xxhash64(i, F.slice(twice, i, F.lit(d))) for d in DEPTHS])))
+    placed = nodes.join(root, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.explode(keys).alias("key"))
+    buckets = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), *_representatives(placed, ["node", "root", "n"], seeds)).where("x <> y")
+    met = placed.join(buckets, "key").select("node", "n", "root", F.explode(F.array(*[f"r{k}" for k in seeds])).alias("r"))
+    alike = (F.col("n") >= F.col("r.n") * SIMILARITY) & (F.col("r.n") >= F.col("n") * SIMILARITY)
+    return met.where((F.col("root") != F.col("r.root")) & alike).select(*_ordered(F.col("node"), F.col("r.node"))).distinct()
+
+
 def near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``signed`` (see ``signed_texts``) and ``node, root`` for nodes that are near another, of ``keyed`` rows."""
     signed = cut_lineage(signed_texts(rows))
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    members = nodes.select("node", "n", F.explode("bands").alias("key"))
-    order = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node"))["node"]
-    buckets = members.groupBy("key").agg(F.count("*").alias("m"), *[order(k).alias(f"r{k}") for k in range(ORDERS)]).where("m >= 2")
-    hot = members.join(buckets, "key")
-    stars = hot.select("node", F.explode(F.array(*[f"r{k}" for k in range(ORDERS)])).alias("r")).where("node <> r").select(*_ordered(F.col("node"), F.col("r"))).distinct()
-    stars = cut_lineage(stars)
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    stars = cut_lineage(_stars(nodes.select("node", F.explode("bands").alias("key"))))
+    met = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select("node", "k.*")
     one_text = packed(rows).dropDuplicates(["doc_id", "text_key"])
-    first = keys.join(wanted, "node", "left_semi")
-    texts = cut_lineage(one_text.join(first, same_key(one_text, first)).select("node", "z"))
+    texts = cut_lineage(one_text.join(keys.join(met, "node", "left_semi"), ["doc_id", "text_key"]).select("node", "z"))
     links = cut_lineage(_verified(stars, texts))
     root = components(links)
-    # buckets whose members are not all of one class yet: their members are compared across classes
-    placed = cut_lineage(hot.select("key", "node", "n").join(root, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
-    mixed_ = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    left = placed.join(mixed_, "key", "left_semi")
-    x, y = left.alias("x"), left.alias("y")
-    near_size = (F.col("x.n") >= F.col("y.n") * SIMILARITY) & (F.col("y.n") >= F.col("x.n") * SIMILARITY)
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & near_size).select(*_ordered(F.col("x.node"), F.col("y.node"))).distinct()
-    more = _verified(across.join(stars, ["a", "b"], "left_anti"), texts)
-    return signed, components(links.unionByName(more))
+    nodes = cut_lineage(nodes.join(met, "node", "left_semi"))
+    for n in range(ROUNDS):
+        pairs = cut_lineage(_across(nodes, root, range(ORDERS * (n + 1), ORDERS * (n + 2))).join(stars, ["a", "b"], "left_anti"))
+        more = cut_lineage(_verified(pairs, texts))
+        if more.isEmpty():
+            break
+        stars, links = stars.unionByName(pairs), links.unionByName(more)
+        root = components(links)
+    return signed, root
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -189,7 +240,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     has a NULL id; an empty table gives no rows; other columns are ignored.
     """
     signed, root = near_classes(keyed(docs, F.col("doc_id"), F.col("text")))
-    placed = signed.select("doc_id", "node").join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    placed = signed.select(given_id(), "node").join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     ids = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return placed.join(ids, "root", "left").select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
@@ -199,8 +250,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = keyed(docs, F.col("doc_id"), F.col("text"))
     signed, root = near_classes(rows)
     placed = signed.select("doc_id", "text_key", "node").join(root, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
-    chosen = placed.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
+    chosen = placed.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct((F.col("text_key") >= NO_ID).alias("none"), "doc_id", "text_key")).alias("k"))
     kept = chosen.select("k.doc_id", "k.text_key").unionByName(placed.where("root IS NULL").select("doc_id", "text_key").distinct())
     key = keyed(docs, F.col("doc_id"), F.col("text"), row=F.struct("*")).select("row", "doc_id", "text_key")
     once = key.dropDuplicates(["doc_id", "text_key"])
-    return once.join(kept, same_key(once, kept), "left_semi").select("row.*")
+    return once.join(kept, ["doc_id", "text_key"], "left_semi").select("row.*")
