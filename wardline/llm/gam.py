@@ -82,7 +82,10 @@ class Model:
 
 
 def _cuts(values: np.ndarray, bins: int) -> np.ndarray:
-    return np.unique(np.quantile(values, np.arange(1, bins) / bins, method="higher"))
+    """Quantiles of all values and of those above the least, so that a feature that is mostly zero has bins, too."""
+    places = np.arange(1, bins // 2) / (bins // 2)
+    above = values[values > values.min()]
+    return np.unique(np.concatenate([np.quantile(v, places, method="higher") for v in (values, above) if len(v)]))
 
 
 def _gain(g: np.ndarray, h: np.ndarray) -> np.ndarray:
