@@ -6,10 +6,10 @@ below an element's weight count. Each dart belongs to one of the coordinates of
 Ranks are visited in bands of growing width until every coordinate has a dart, so a text costs a few hashes per shingle and
 about k ln k darts, whatever its length; counts are whole, so the weight axis has unit cells that are wholly in or out.
 
-Signatures meet in bands of ``ROWS`` coordinates. Members of a bucket are compared with representatives of it, never with
-each other in general: links within a class add nothing to it. Then buckets that still join different classes, and the
-parts of them that agree in further bands, are visited again with other representatives, and members are compared with
-those of other classes, until a round finds no link. All of that is linear in the bands of the texts; every comparison is exact.
+Signatures meet in bands of ``ROWS`` coordinates. Members of a bucket are compared with representatives of it, not with
+each other: links within a class add nothing to it. Only in buckets that still hold several classes, all members outside the largest class
+are searched against all members, in blocks, by an inverted index of the shingles that lives in a task; so no link
+between texts that share a bucket is lost, and no table of pairs is made. Every comparison is exact.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ from wardline.session import cut_lineage
 SHINGLE, SIMILARITY = 5, 0.8
 #: Signature of 100 darts in bands of 4: a pair at similarity 0.8 shares no band with a probability of 2 in a million.
 BANDS, ROWS = 25, 4
-#: Representatives of a bucket, chosen by different hashes, and further rounds with others.
-ORDERS, ROUNDS = 2, 3
-#: Bands in which parts of a bucket agree.
-DEPTHS = (1, 2, 3, 5)
+#: Representatives of a bucket, chosen by different hashes.
+ORDERS = 2
+#: Texts of a bucket that meet as many others of it in one task.
+BLOCK = 1024
 #: Rank bands start with [0, 2**FIRST); later ones reach 2**STEP times as far.
 FIRST, STEP = -14, 2
 #: More darts than this fall on a cell of at most one on average with a probability under 1e-17.
@@ -182,37 +182,82 @@ def _ordered(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _representatives(rows: DataFrame, columns: list[str], seeds: range) -> list:
-    """For each seed the member of a bucket with the least hash."""
-    return [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), *columns)).alias(f"r{k}") for k in seeds]
-
-
 def _stars(rows: DataFrame) -> DataFrame:
     """Pairs of each member of a bucket and the bucket's representatives; ``rows`` is ``key, node``."""
-    seeds = range(ORDERS)
-    buckets = rows.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), *_representatives(rows, ["node"], seeds)).where("x <> y")
-    reps = F.explode(F.array(*[f"r{k}.node" for k in seeds])).alias("r")
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node")).alias(f"r{k}") for k in range(ORDERS)]
+    buckets = rows.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), *least).where("x <> y")
+    reps = F.explode(F.array(*[f"r{k}.node" for k in range(ORDERS)])).alias("r")
     return rows.join(buckets, "key").select("node", reps).where("node <> r").select(*_ordered(F.col("node"), F.col("r"))).distinct()
 
 
-def _across(nodes: DataFrame, root: DataFrame, seeds: range) -> DataFrame:
-    """Pairs of members and representatives of different classes, in buckets and in ever narrower parts of them.
+def _blocks(placed: DataFrame) -> DataFrame:
+    """``key, qb, mb, node, root, asks``: the members of buckets that hold several classes, dealt to tasks in blocks.
 
-    A part of a bucket also agrees in the next bands (``DEPTHS`` of them in all), so its representative is more like its members.
+    All members but those of the largest class ask, and all answer. Both sides are cut into blocks of about ``BLOCK`` nodes and
+    each block of askers meets each block of answerers, so a bucket of any size is worked on by many tasks of a bounded size.
     """
-    twice = F.concat("bands", "bands")
-    keys = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda i: F.array(*[F.xxhash64(i, F.slice(twice, i, F.lit(d))) for d in DEPTHS])))
-    placed = nodes.join(root, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.explode(keys).alias("key"))
-    buckets = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), *_representatives(placed, ["node", "root", "n"], seeds)).where("x <> y")
-    met = placed.join(buckets, "key").select("node", "n", "root", F.explode(F.array(*[f"r{k}" for k in seeds])).alias("r"))
-    alike = (F.col("n") >= F.col("r.n") * SIMILARITY) & (F.col("r.n") >= F.col("n") * SIMILARITY)
-    return met.where((F.col("root") != F.col("r.root")) & alike).select(*_ordered(F.col("node"), F.col("r.node"))).distinct()
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    buckets = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("largest"), F.sum("c").alias("m"), F.count("*").alias("classes")).where("classes > 1")
+    several = buckets.select("key", F.col("largest.root").alias("most"), F.ceil(F.col("m") / BLOCK).alias("mbs"), F.ceil((F.col("m") - F.col("largest.c")) / BLOCK).alias("qbs"))
+    met = placed.join(cut_lineage(several), "key")
+    mine = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    answer = met.select("key", every(F.col("qbs")).alias("qb"), mine(F.col("mbs")).alias("mb"), "node", "root", F.lit(False).alias("asks"))
+    ask = met.where("root <> most").select("key", mine(F.col("qbs")).alias("qb"), every(F.col("mbs")).alias("mb"), "node", "root", F.lit(True).alias("asks"))
+    return answer.unionByName(ask)
+
+
+def _crossing(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``a, b`` between different classes of a block: one for each pair of an asker and another class with a similar text."""
+
+    def settle(rows: list[tuple]):
+        import pyarrow as pa
+        import zstandard
+
+        bags = [shingles(zstandard.decompress(r[2])) for r in rows]
+        members = [i for i, r in enumerate(rows) if not r[3]]
+        found: set[tuple[bytes, bytes]] = set()
+        if members:
+            sizes = np.array([len(bags[i]) for i in members])
+            values, owner = np.concatenate([bags[i] for i in members]), np.repeat(np.arange(len(members)), sizes)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            for q, r in enumerate(rows):
+                if not r[3]:
+                    continue
+                first, last = np.searchsorted(values, bags[q], "left"), np.searchsorted(values, bags[q], "right")
+                n = last - first
+                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(members))
+                seen = {r[1]}
+                for k in np.flatnonzero(both >= SIMILARITY * (len(bags[q]) + sizes - both)):
+                    other = rows[members[k]]
+                    if other[1] not in seen:
+                        seen.add(other[1])
+                        found.add((min(r[0], other[0]), max(r[0], other[0])))
+        pairs = sorted(found)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    def work(batches):
+        rows, now = [], None
+        for batch in batches:
+            for key, qb, mb, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "qb", "mb", "node", "root", "z", "asks")], strict=True):
+                if now != (key, qb, mb) and rows:
+                    yield settle(rows)
+                    rows = []
+                now = (key, qb, mb)
+                rows.append(tuple(row))
+        if rows:
+            yield settle(rows)
+
+    dealt = blocks.join(texts, "node").select("key", "qb", "mb", "node", "root", "z", "asks").repartition("key", "qb", "mb").sortWithinPartitions("key", "qb", "mb")
+    return dealt.mapInArrow(work, "a binary, b binary").distinct()
 
 
 def near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``signed`` (see ``signed_texts``) and ``node, root`` for nodes that are near another, of ``keyed`` rows."""
     signed = cut_lineage(signed_texts(rows))
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
     stars = cut_lineage(_stars(nodes.select("node", F.explode("bands").alias("key"))))
     met = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select("node", "k.*")
@@ -220,15 +265,9 @@ def near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = cut_lineage(one_text.join(keys.join(met, "node", "left_semi"), ["doc_id", "text_key"]).select("node", "z"))
     links = cut_lineage(_verified(stars, texts))
     root = components(links)
-    nodes = cut_lineage(nodes.join(met, "node", "left_semi"))
-    for n in range(ROUNDS):
-        pairs = cut_lineage(_across(nodes, root, range(ORDERS * (n + 1), ORDERS * (n + 2))).join(stars, ["a", "b"], "left_anti"))
-        more = cut_lineage(_verified(pairs, texts))
-        if more.isEmpty():
-            break
-        stars, links = stars.unionByName(pairs), links.unionByName(more)
-        root = components(links)
-    return signed, root
+    placed = nodes.join(met, "node", "left_semi").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("bands").alias("key"))
+    crossing = cut_lineage(_crossing(_blocks(cut_lineage(placed)), texts))
+    return signed, root if crossing.isEmpty() else components(links.unionByName(crossing))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
