@@ -19,7 +19,7 @@ from wardline.session import build_session  # noqa: E402
 HEADLINE = [
     "gate_summary", "detect_secrets", "evasion_views", "hot_windows", "duplicate_blocks", "shared_with", "churn", "collapse_candidates",
     "collision_map", "sequential_admission", "retention", "traffic_days", "session_weight", "scope_violations", "dataset_digest",
-    "verdict", "sarif_documents", "summary_plan", "upsert_savepoints", "sanitize_markdown",
+    "verdict", "sarif_documents", "summary_plan", "upsert_savepoints", "sanitize_markdown", "summary_markdown", "stream_gate", "stream_retention",
 ]
 
 

@@ -20,9 +20,10 @@ def read_text_files(spark: SparkSession, root: str, repo: str) -> DataFrame:
 
 
 def candidate_files(tracked: DataFrame, untracked: DataFrame) -> DataFrame:
-    """Tracked files and untracked ones that are not ignored, each once."""
+    """Tracked files and untracked ones that are not ignored, each once; of several rows for a path a tracked one counts."""
     loose = untracked.where(~F.col("ignored")).drop("ignored")
-    return tracked.unionByName(loose).dropDuplicates(["repo", "path"])
+    both = tracked.withColumn("_loose", F.lit(0)).unionByName(loose.withColumn("_loose", F.lit(1)))
+    return both.groupBy("repo", "path").agg(F.min_by(F.struct(*tracked.columns), "_loose").alias("f")).select("f.*")
 
 
 # --- content -------------------------------------------------------------------------------------
