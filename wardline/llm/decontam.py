@@ -7,7 +7,7 @@ every block value in a table of its near values misses none. Candidates are veri
 shingles.
 
 A window can only reach the similarity if it shares shingles with the item; windows are therefore formed where a text has a shingle of the
-benchmark at all. Benchmarks are read in parts of at most ``PART_WORDS`` words, each sent to all tasks and searched
+benchmark at all. Benchmarks are read in parts of about ``PART_WORDS`` words and ``PART_ITEMS`` items at most, each sent to all tasks and searched
 in one pass over the documents.
 """
 
@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 
 from wardline.llm.anchors import Rolling, U, mixed
 from wardline.llm.common import narrow, words_of
-from wardline.llm.repeats import keyed, same_key, texts_of, word_codes
+from wardline.llm.repeats import given_id, keyed, texts_of, word_codes
 from wardline.session import cut_lineage
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 20, 4
 BLOCK_BITS = 64 // BLOCKS
-PART_WORDS = 1_000_000
+#: A part's bounds: the near values of an item's four blocks take about 110 KB.
+PART_WORDS, PART_ITEMS = 1_000_000, 1_000
 
 
 def fingerprint_sums(words: np.ndarray) -> np.ndarray:
@@ -88,9 +89,9 @@ class Items:
         for b in range(BLOCKS):
             block = (prints >> U(b * BLOCK_BITS)).astype(np.uint32) & np.uint32((1 << BLOCK_BITS) - 1)
             values = (block[:, None] ^ near[None, :]).ravel()
-            item = np.repeat(np.arange(len(prints)), len(near))
+            item = np.repeat(np.arange(len(prints), dtype=np.int32), len(near))
             order = np.argsort(values, kind="stable")
-            ends = np.searchsorted(values[order], np.arange((1 << BLOCK_BITS) + 1))
+            ends = np.searchsorted(values[order], np.arange((1 << BLOCK_BITS) + 1)).astype(np.int32)
             out.append((ends[:-1], ends[1:], item[order]))
         return out
 
@@ -101,7 +102,7 @@ class Items:
             block = ((prints >> U(b * BLOCK_BITS)) & U((1 << BLOCK_BITS) - 1)).astype(np.int64)
             n = last[block] - first[block]
             window = np.repeat(np.arange(len(prints)), n)
-            at = np.repeat(first[block] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            at = np.repeat(first[block] - np.cumsum(n, dtype=np.int64) + n, n) + np.arange(n.sum())
             pairs.append(np.stack([window, item[at]], axis=1))
         pairs = np.unique(np.concatenate(pairs), axis=0)
         own = np.array([p for _, _, p in self.by_size[size]], U)
@@ -148,8 +149,8 @@ def parts_of(benchmark: DataFrame, part_words: int = PART_WORDS) -> list[list[tu
     """Distinct items with text in parts whose words have a bound; only one part is at the driver at a time."""
     items = narrow(benchmark, item_id=F.col("item_id").cast("long"), text=F.col("text"))
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id", "text").agg(F.count("*").alias("c")).withColumn("n", F.size(words_of(F.col("text"))) + F.length("text") / 16)
-    total = items.agg(F.sum("n")).first()[0] or 0
-    count = max(1, ceil(total / part_words))
+    total, number = items.agg(F.sum("n"), F.count("*")).first()
+    count = max(1, ceil((total or 0) / part_words), ceil(number / PART_ITEMS))
     for k in range(count):
         yield [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect()]
 
@@ -186,12 +187,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     NULL or blank match nothing; repeated rows of either table are reported once each for documents and once for items; an
     item longer than a text is not in it; items of fewer words than a shingle are one shingle; other columns are ignored.
     """
-    return contaminated_windows(keyed(docs, F.col("doc_id"), F.col("text")), benchmark).drop("text_key")
+    return contaminated_windows(keyed(docs, F.col("doc_id"), F.col("text")), benchmark).select(given_id(), "item_id", "start", "n_words", "similarity")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any benchmark item, with all their columns; same cases as ``contaminated``."""
     bad = cut_lineage(contaminated_windows(keyed(docs, F.col("doc_id"), F.col("text")), benchmark).select("doc_id", "text_key").distinct())
     rows = keyed(docs, F.col("doc_id"), F.col("text"), row=F.struct("*"))
-    return rows.join(bad, same_key(rows, bad), "left_anti").select("row.*")
+    return rows.join(bad, ["doc_id", "text_key"], "left_anti").select("row.*")
 
