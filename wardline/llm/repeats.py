@@ -23,10 +23,10 @@ from wardline.llm.common import narrow, worker_cache
 from wardline.session import cut_lineage
 
 #: Contents of one anchor that are compared in one task; anchors with more are counted window by window.
-GATHERED = 2048
+GATHERED = 32_768
 #: Symbols compared at a time.
 COMPARED = 1 << 19
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 250_000
 
 
 class _WordHashes(dict):
@@ -66,10 +66,23 @@ class Alphabet:
 KEY = "doc_id long, text_key long"
 
 
+#: Keys of texts without a doc_id are at least this, all others have 32 bits.
+NO_ID = 1 << 62
+
+
 def keyed(docs: DataFrame, doc_id: Column, text: Column, **more: Column) -> DataFrame:
-    """``doc_id, text_key, text`` and more; rows that agree in both keys have equal results. NULL texts become empty."""
-    t = F.coalesce(text, F.lit(""))
-    return narrow(docs, doc_id=doc_id.cast("long"), text_key=F.when(doc_id.isNull(), F.xxhash64(t)).otherwise(F.hash(t).cast("long")), text=t, **more)
+    """``doc_id, text_key, text`` and more; rows that agree in both keys have equal results.
+
+    The keys are never NULL, so that grouping and joining by them deal rows out alike (see ``given_id``). NULL texts become empty.
+    """
+    t, given = F.coalesce(text, F.lit("")), doc_id.cast("long")
+    key = F.when(given.isNull(), F.xxhash64(t).bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))).otherwise(F.hash(t).cast("long"))
+    return narrow(docs, doc_id=F.coalesce(given, F.lit(0).cast("long")), text_key=key, text=t, **more)
+
+
+def given_id() -> Column:
+    """The doc_id of a row of keys as the table has it."""
+    return F.when(F.col("text_key") < NO_ID, F.col("doc_id")).alias("doc_id")
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -90,10 +103,6 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, T.StructType([*[f for f in rows.schema.fields if f.name != "text"], T.StructField("z", T.BinaryType())]))
 
 
-def same_key(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
-
-
 def texts_of(batches, column: str = "text"):
     """(row, bytes of its text) for each row of Arrow batches; row is the batch and the index in it."""
     import pyarrow as pa
@@ -194,14 +203,19 @@ def _contents(listed: DataFrame, alphabet: Alphabet) -> DataFrame:
     return listed.mapInArrow(work, f"{KEY}, anchor long, place long, n long, many boolean, symbols binary")
 
 
-def window_hashes(symbols: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of each window of joined contents, and the place where each content's windows begin in them."""
-    rolling = Rolling(symbols)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+def window_hashes(alphabet: Alphabet, contents: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each window of the contents, and the place where each content's windows begin in them."""
+    window, kind = alphabet.window, alphabet.kind
+    lengths = np.array([len(c) for c in contents]) // np.dtype(kind).itemsize
     counts = lengths - window + 1
-    first = np.concatenate([[0], np.cumsum(counts)])
-    at = np.arange(first[-1]) + np.repeat(starts - first[:-1], counts)
-    return rolling.stretch(0, at, at + window), rolling.stretch(1, at, at + window), first
+    low, high = [], []
+    for k in range(0, len(contents), 1024):
+        rolling = Rolling(alphabet.symbols(np.concatenate([np.frombuffer(c, kind) for c in contents[k : k + 1024]])))
+        n, sizes = counts[k : k + 1024], lengths[k : k + 1024]
+        at = np.arange(n.sum()) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(n) + n, n)
+        low.append(rolling.stretch(0, at, at + window))
+        high.append(rolling.stretch(1, at, at + window))
+    return np.concatenate(low), np.concatenate(high), np.concatenate([[0], np.cumsum(counts)])
 
 
 def spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -212,14 +226,12 @@ def spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def _compared(contents: DataFrame, alphabet: Alphabet) -> DataFrame:
     """Repeated windows of runs that occur once: contents sorted by anchor, windows of whole anchors sorted, neighbours compared."""
-    window, kind, width = alphabet.window, alphabet.kind, np.dtype(alphabet.kind).itemsize
+    width = np.dtype(alphabet.kind).itemsize
 
     def settle(rows: list[tuple]):
         import pyarrow as pa
 
-        symbols = alphabet.symbols(np.concatenate([np.frombuffer(r[-1], kind) for r in rows]))
-        lengths = np.array([len(r[-1]) // width for r in rows])
-        low, high, first = window_hashes(symbols, lengths, window)
+        low, high, first = window_hashes(alphabet, [r[-1] for r in rows])
         weight = np.repeat(np.array([r[4] for r in rows]), np.diff(first))
         order = np.lexsort((high, low))
         a, b, w = low[order], high[order], weight[order]
@@ -255,7 +267,6 @@ def _compared(contents: DataFrame, alphabet: Alphabet) -> DataFrame:
 
 def _counted(contents: DataFrame, alphabet: Alphabet) -> DataFrame:
     """The same for anchors with very many contents: a row per window, added up before the shuffle, so no task holds an anchor."""
-    window, kind, width = alphabet.window, alphabet.kind, np.dtype(alphabet.kind).itemsize
 
     def work(batches):
         import pyarrow as pa
@@ -264,7 +275,7 @@ def _counted(contents: DataFrame, alphabet: Alphabet) -> DataFrame:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
                 raw = part.column("symbols").to_pylist()
-                low, high, first = window_hashes(alphabet.symbols(np.concatenate([np.frombuffer(r, kind) for r in raw])), np.array([len(r) // width for r in raw]), window)
+                low, high, first = window_hashes(alphabet, raw)
                 rep = pa.array(np.repeat(np.arange(len(raw)), np.diff(first)))
                 place = part.column("place").take(rep).to_numpy() >> 8
                 place = (place + np.arange(len(low)) - np.repeat(first[:-1], np.diff(first))) << 8 | 1
@@ -284,17 +295,18 @@ def repeated_windows(rows: DataFrame, z: DataFrame, alphabet: Alphabet) -> DataF
     ``place`` is the first window, shifted by 8 bits, plus the number of windows. For whole runs the source is the first place
     in the corpus where the run occurs (by doc_id); it is NULL for windows that were settled one by one.
     """
-    twice = _anchor_counts(rows, alphabet).where("n >= 2").select("anchor")
+    # small tables of their own: a join of two plain shuffles can be split where one anchor is in very many runs
+    twice = cut_lineage(_anchor_counts(rows, alphabet).where("n >= 2").select("anchor"))
     runs = cut_lineage(_runs(rows, alphabet).join(twice, "anchor", "left_semi"))
     contents = cut_lineage(
         runs.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "place")).alias("source"))
     )
-    several = contents.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m >= 2 AND least = 1").select("anchor", "m")
+    several = cut_lineage(contents.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m >= 2 AND least = 1").select("anchor", "m"))
     run = F.struct("anchor", F.col("source.place").alias("place"), F.least("n", F.lit(2)).cast("long").alias("n"), (F.col("m") > GATHERED).alias("many"))
     listed = contents.join(several, "anchor").select(F.col("source.doc_id").alias("doc_id"), F.col("source.text_key").alias("text_key"), run.alias("run"))
     per_doc = listed.groupBy("doc_id", "text_key").agg(F.collect_list("run").alias("runs"))
     fetched = z.select("doc_id", "text_key", "z").dropDuplicates(["doc_id", "text_key"])
-    symbols = cut_lineage(_contents(per_doc.join(fetched, same_key(per_doc, fetched)).select(per_doc["doc_id"], per_doc["text_key"], "z", "runs"), alphabet))
+    symbols = cut_lineage(_contents(per_doc.join(fetched, ["doc_id", "text_key"]).select("doc_id", "text_key", "z", "runs"), alphabet))
     nothing = [F.lit(None).cast("long").alias("source_id"), F.lit(None).cast("long").alias("source_place")]
     ends = _compared(symbols, alphabet).unionByName(_counted(symbols, alphabet)).select("*", *nothing)
     found = contents.where("n >= 2").select("anchor", "content", F.col("source.doc_id").alias("source_id"), F.col("source.place").alias("source_place"))
@@ -309,7 +321,7 @@ def spans_per_text(found: DataFrame) -> DataFrame:
 
 def with_spans(z: DataFrame, found: DataFrame) -> DataFrame:
     per = spans_per_text(found)
-    return z.join(per, same_key(z, per), "left").select(*[z[c] for c in z.columns], "spans")
+    return z.join(per, ["doc_id", "text_key"], "left").select(*z.columns, "spans")
 
 
 def flags(spans: list[dict] | None, windows: int) -> np.ndarray:

@@ -52,8 +52,8 @@ def in_factors(found: list[tuple], n: int) -> np.ndarray:
 
 
 def parsed(docs: DataFrame, window: int = WINDOW, keep: dict | None = None) -> DataFrame:
-    """``doc_id, text_key, z`` (and further columns) with the ``spans`` found in each text."""
-    rows = keyed(docs, F.col("doc_id"), F.col("text"), **(keep or {}))
+    """``doc_id, text_key, z, given`` (the doc_id of the table, and further columns) with the ``spans`` found in each text."""
+    rows = keyed(docs, F.col("doc_id"), F.col("text"), given=F.col("doc_id").cast("long"), **(keep or {}))
     z = packed(rows)
     return with_spans(z, repeated_windows(rows.select("doc_id", "text_key", "text"), z, words(window)))
 
@@ -69,11 +69,11 @@ def relative_factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            out = [(d, *f) for d, s in zip(batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist(), strict=True) for f in factors(s, window)]
+            out = [(d, *f) for d, s in zip(batch.column("given").to_pylist(), batch.column("spans").to_pylist(), strict=True) for f in factors(s, window)]
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "source_id", "source_start"])
 
-    return parsed(docs, window).select("doc_id", "spans").mapInArrow(work, "doc_id long, start long, length long, source_id long, source_start long")
+    return parsed(docs, window).select("given", "spans").mapInArrow(work, "doc_id long, start long, length long, source_id long, source_start long")
 
 
 def _kept(batches, window: int):
@@ -103,7 +103,7 @@ def substring_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         out: list[tuple] = []
         for batch, i, tokens, kept in _kept(batches, window):
-            out.append((batch.column("doc_id")[i].as_py(), len(tokens), len(tokens) - len(kept), sha256(b" ".join(kept)).hexdigest()))
+            out.append((batch.column("given")[i].as_py(), len(tokens), len(tokens) - len(kept), sha256(b" ".join(kept)).hexdigest()))
             if len(out) == 1000:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema)
                 out = []

@@ -32,9 +32,9 @@ def text_bytes(window: int = WINDOW) -> Alphabet:
 
 
 def marked(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    rows = keyed(docs, F.col("doc_id"), F.col("text"))
+    rows = keyed(docs, F.col("doc_id"), F.col("text"), given=F.col("doc_id").cast("long"))
     z = packed(rows)
-    return with_spans(z, repeated_windows(rows, z, text_bytes(window)))
+    return with_spans(z, repeated_windows(rows.select("doc_id", "text_key", "text"), z, text_bytes(window)))
 
 
 def repeated_bytes_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -57,7 +57,7 @@ def repeated_bytes_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 gone = covered(flags(spans, len(data) - window + 1), window, len(data))
                 removed, runs = int(gone.sum()), len(spans_of(gone))
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            out.append((batch.column("doc_id")[i].as_py(), len(data), removed, runs, sha256(kept).hexdigest()))
+            out.append((batch.column("given")[i].as_py(), len(data), removed, runs, sha256(kept).hexdigest()))
             if len(out) == 1000:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema)
                 out = []
