@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wardline.llm.common import narrow
 from wardline.llm.tokens import encoder, slices, tokenizer_path
 from wardline.operators.running import running
+from wardline.session import cut_lineage
 
 #: Neighbouring lengths that are summed in one task.
 LENGTHS_PER_CHUNK = 512
@@ -33,7 +34,7 @@ def length_histogram(docs: DataFrame, text: str = "text", tokenizer: str | None
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["n_tokens", "n"])
 
     counted = narrow(docs, t=F.col(text)).mapInArrow(count, "n_tokens long, n long")
-    return counted.groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
+    return cut_lineage(counted.groupBy("n_tokens").agg(F.sum("n").alias("n_docs")))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
@@ -47,15 +48,15 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     rows = histogram.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens")).withColumn(
         "chunk", F.floor(F.col("n_tokens") / LENGTHS_PER_CHUNK)
     )
-    total = rows.agg(F.sum("n_docs").alias("all_docs"), F.sum("tokens").alias("all_tokens"))
-    summed = running(rows, [], ["n_tokens"], "chunk", {"docs_before": ("sum", "n_docs"), "tokens_before": ("sum", "tokens")})
-    joined = summed.join(F.broadcast(total))  # one row
-    at_most = F.col("docs_before") + F.col("n_docs")
-    truncated = F.col("tokens_before") + F.col("n_tokens") * (F.col("all_docs") - F.col("docs_before"))
+    before = running(rows, [], ["n_tokens"], "chunk", {"docs_before": ("sum", "n_docs"), "tokens_before": ("sum", "tokens")})
+    back = rows.select((-F.col("n_tokens")).alias("n_tokens"), (-F.col("chunk")).alias("chunk"), "n_docs", "tokens")
+    after = running(back, [], ["n_tokens"], "chunk", {"docs_longer": ("sum", "n_docs"), "tokens_longer": ("sum", "tokens")})
+    joined = before.join(after.select((-F.col("n_tokens")).alias("n_tokens"), "docs_longer", "tokens_longer"), "n_tokens")
+    n, longer = F.col("n_tokens"), F.col("docs_longer")
+    at_most, tokens = F.col("docs_before") + F.col("n_docs"), F.col("tokens_before") + F.col("tokens")
     return joined.select(
-        "n_tokens", "n_docs", at_most.alias("docs_at_most"), (F.col("all_docs") - at_most).alias("docs_longer"),
-        (F.col("tokens_before") + F.col("tokens")).alias("tokens_at_most"), truncated.alias("truncated_total"),
-        (F.col("all_tokens") - truncated).alias("dropped_tokens"), (at_most / F.col("all_docs")).alias("share_at_most"),
+        "n_tokens", "n_docs", at_most.alias("docs_at_most"), longer.alias("docs_longer"), tokens.alias("tokens_at_most"), (tokens + n * longer).alias("truncated_total"),
+        (F.col("tokens_longer") - n * longer).alias("dropped_tokens"), (at_most / (at_most + longer)).alias("share_at_most"),
     )
 
 

@@ -14,7 +14,7 @@ from wardline.llm.common import worker_cache
 
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
 #: Python splits at these, the tokenizer does not.
 NOT_WHITE_SPACE = "\x1c\x1d\x1e\x1f"
 
