@@ -1,12 +1,13 @@
 """Packing documents into training sequences by lexical retrieval.
 
-Documents are dealt by range of their two most telling words, so that lexically close ones lie together, and each stretch of
+Documents are dealt by range of their two most telling ids, so that lexically close ones lie together, and each stretch of
 ``SHARD`` documents is a shard with a BM25 inverted index (term frequencies of the shard's documents, document frequencies
 and mean length of the whole corpus). A seed document opens a window; the index returns its neighbours that are not used yet, best first,
 and they fill the window greedily. The last one is cut where the window is full, and its rest is the next seed. What is
 left of the last window of a task is cut into powers of two, so no sequence is padded.
 
-Terms are hashed into ``BINS`` bins, which bounds the corpus statistics; the statistics cover all words of all documents.
+Terms are the ids of the tokenizer, of which there are at most ``BINS``, which bounds the corpus statistics; the statistics cover
+all ids of all documents. Texts are encoded once and travel as ids.
 """
 
 from __future__ import annotations
@@ -18,80 +19,103 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.anchors import U
-from wardline.llm.repeats import keyed, texts_of, word_codes
-from wardline.llm.tokens import encoder, tokenizer_path
+from wardline.llm.repeats import NO_ID, keyed, texts_of
+from wardline.llm.tokens import encoder, slices, tokenizer_path
 from wardline.session import cut_lineage
 
 LENGTH = 2048
 END = 1
-#: Documents of a shard, and bytes of ids after which it is closed earlier.
-SHARD = 1024
-SHARD_BYTES = 1 << 25
+#: Documents of a shard, and ids after which it is closed earlier.
+SHARD = 512
+SHARD_IDS = 1 << 23
 BINS = 1 << 16
 K1, B = 1.2, 0.75
 
 
-def terms(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The bins of a text's words and how often each occurs."""
-    return np.unique((word_codes(data) & U(BINS - 1)).astype(np.int64), return_counts=True)
+def encoded(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """``doc_id, text_key, ids``: the ids of every text as compressed little-endian numbers, encoded once."""
 
+    def work(batches):
+        import pyarrow as pa
+        import zstandard
+
+        squeeze, encode = zstandard.ZstdCompressor(level=1).compress, encoder(tokenizer).encode
+        for batch in batches:
+            for start, texts in slices(batch.column("text")):
+                z = [squeeze(np.frombuffer(ids, "<u4").astype("<u2").tobytes()) for ids in encode(texts)]
+                part = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(z, pa.binary())], names=["doc_id", "text_key", "ids"])
+
+    return rows.mapInArrow(work, "doc_id long, text_key long, ids binary")
+
+
+def unpacked(z: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.decompress(z), "<u2").astype("<u4")
 
-def corpus_statistics(rows: DataFrame) -> tuple[np.ndarray, float]:
-    """Inverse document frequency of each bin and the mean number of words, over all documents; at most BINS + 1 rows are collected."""
+
+def terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a text and how often each occurs."""
+    counts = np.bincount(ids, minlength=0) if len(ids) > 4096 else None
+    if counts is None:
+        values, n = np.unique(ids, return_counts=True)
+        return values.astype(np.int64), n
+    values = np.flatnonzero(counts)
+    return values, counts[values]
+
+
+def corpus_statistics(texts: DataFrame) -> tuple[np.ndarray, float]:
+    """Inverse document frequency of each id and the mean length, over all documents; at most BINS + 2 rows are collected."""
 
     def work(batches):
         import pyarrow as pa
 
-        found, docs, words = np.zeros(BINS, np.int64), 0, 0
-        for _, _, data in texts_of(batches):
-            bins, n = terms(data)
-            found[bins] += 1
+        found, docs, length = np.zeros(BINS, np.int64), 0, 0
+        for _, _, z in texts_of(batches, "ids"):
+            ids = unpacked(z)
+            found[terms(ids)[0]] += 1
             docs += 1
-            words += int(n.sum())
+            length += len(ids)
         used = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, [-1, -2])), pa.array(np.append(found[used], [docs, words]))], names=["bin", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, [-1, -2])), pa.array(np.append(found[used], [docs, length]))], names=["bin", "n"])
 
-    df, docs, words = np.zeros(BINS), 0, 0
-    for r in rows.select("text").mapInArrow(work, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+    df, docs, length = np.zeros(BINS), 0, 0
+    for r in texts.select("ids").mapInArrow(work, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         if r["bin"] >= 0:
             df[r["bin"]] = r["n"]
         elif r["bin"] == -1:
             docs = r["n"]
         else:
-            words = r["n"]
-    return np.log1p((docs - df + 0.5) / (df + 0.5)).astype(np.float32), words / max(docs, 1)
+            length = r["n"]
+    return np.log1p((docs - df + 0.5) / (df + 0.5)).astype(np.float32), length / max(docs, 1)
 
 
-def routed(rows: DataFrame, idf: np.ndarray) -> DataFrame:
-    """``doc_id, text_key, r1, r2, z``: the two bins with the most weight in each text, -1 where there is none."""
-    weights = rows.sparkSession.sparkContext.broadcast(idf)  # BINS numbers
+def routed(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``doc_id, text_key, ids, r1, r2``: the two ids with the most weight in each text, -1 where there is none."""
+    weights = texts.sparkSession.sparkContext.broadcast(idf)  # BINS numbers
 
     def work(batches):
         import pyarrow as pa
-        import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                first, second, z = [], [], []
-                for _, _, data in texts_of([part]):
-                    bins, n = terms(data)
-                    order = np.argsort(-(n * weights.value[bins]), kind="stable")[:2]
-                    top = [*bins[order].tolist(), -1, -1]
-                    first.append(top[0])
-                    second.append(top[1])
-                    z.append(squeeze(data))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(first, pa.int32()), pa.array(second, pa.int32()), pa.array(z, pa.binary())], names=["doc_id", "text_key", "r1", "r2", "z"])
+            first, second = [], []
+            for _, _, z in texts_of([batch], "ids"):
+                values, n = terms(unpacked(z))
+                weight = n * weights.value[values]
+                order = np.argsort(-weight, kind="stable")[:2]
+                top = [*values[order].tolist(), -1, -1]
+                first.append(top[0])
+                second.append(top[1])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "text_key", "ids")], pa.array(first, pa.int32()), pa.array(second, pa.int32())], names=["doc_id", "text_key", "ids", "r1", "r2"])
 
-    return rows.mapInArrow(work, "doc_id long, text_key long, r1 int, r2 int, z binary")
+    return texts.mapInArrow(work, "doc_id long, text_key long, ids binary, r1 int, r2 int")
 
 
 class Index:
     """BM25 postings of one shard."""
 
-    def __init__(self, texts: list[bytes], idf: np.ndarray, mean: float):
+    def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float):
         self.of = [terms(t) for t in texts]
         bins = np.concatenate([b for b, _ in self.of])
         tf = np.concatenate([n for _, n in self.of]).astype(np.float32)
@@ -110,6 +134,18 @@ class Index:
         return np.bincount(self.doc[at], self.weight[at], n)
 
 
+def _best_first(rank: np.ndarray, n: int):
+    """The n best places, equal ones in order of place; the first few are found without sorting all."""
+    few = min(n, 24)
+    head = np.argpartition(-rank, few - 1)[:few]
+    edge = rank[head].min()
+    sure = np.flatnonzero(rank > edge)
+    yield from sure[np.argsort(-rank[sure], kind="stable")]
+    done = len(sure)
+    rest = np.flatnonzero(rank <= edge)
+    yield from rest[np.argsort(-rank[rest], kind="stable")][: n - done]
+
+
 class Packer:
     """Windows of one task: rows ``(doc_id, start, length, crc, doc_tokens, sequence, offset)`` are collected in ``out``."""
 
@@ -134,9 +170,9 @@ class Packer:
             offset += n
         self.sequence, self.used, self.open = self.sequence + 1, 0, []
 
-    def shard(self, rows: list[tuple[int | None, np.ndarray, bytes]], idf: np.ndarray, mean: float) -> None:
+    def shard(self, rows: list[tuple[int | None, np.ndarray]], idf: np.ndarray, mean: float) -> None:
         """Pack all documents of a shard; its last window may stay open for the next shard."""
-        index, n = Index([data for _, _, data in rows], idf, mean), len(rows)
+        index, n = Index([ids[:-1] for _, ids in rows], idf, mean), len(rows)
         free = np.ones(n, bool)
         seed, position = None, 0
         while True:
@@ -149,11 +185,11 @@ class Packer:
             position = self.put(rows[seed][0], rows[seed][1], position)
             if position < len(rows[seed][1]):
                 continue
-            query, seed = index.of[seed][0], None
+            query, seed = index.of[seed], None
             if not self.used or not free.any():
                 continue
-            rank = np.where(free, index.scores(query, n), -1.0)
-            for k in np.argsort(-rank, kind="stable")[: int(free.sum())]:
+            rank = np.where(free, index.scores(query[0], n), -1.0)
+            for k in _best_first(rank, int(free.sum())):
                 free[k] = False
                 position = self.put(rows[k][0], rows[k][1], 0)
                 if position < len(rows[k][1]):
@@ -182,7 +218,7 @@ class Packer:
 ROW = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def packed_rows(routes: DataFrame, idf: np.ndarray, mean: float, tokenizer: str, length: int = LENGTH) -> DataFrame:
+def packed_rows(routes: DataFrame, idf: np.ndarray, mean: float, length: int = LENGTH) -> DataFrame:
     weights = routes.sparkSession.sparkContext.broadcast(idf)  # BINS numbers
 
     def batch_of(rows: list[tuple]):
@@ -193,19 +229,15 @@ def packed_rows(routes: DataFrame, idf: np.ndarray, mean: float, tokenizer: str,
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     def work(batches):
-        import zstandard
-
         packer = Packer(TaskContext.get().partitionId() << 40, length)
         rows: list[tuple] = []
-        size, encode = 0, encoder(tokenizer).encode
+        size = 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
-                data = [zstandard.decompress(z) for z in part.column("z").to_pylist()]
-                for doc_id, text, ids in zip(part.column("doc_id").to_pylist(), data, encode([d.decode() for d in data]), strict=True):
-                    rows.append((doc_id, np.frombuffer(ids + END.to_bytes(4, "little"), "<u4"), text))
-                    size += len(ids)
-                if len(rows) >= SHARD or size > SHARD_BYTES:
+            for doc_id, key, z in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_key", "ids")], strict=True):
+                ids = np.append(unpacked(z), np.uint32(END)).astype("<u4")
+                rows.append((doc_id if key < NO_ID else None, ids))
+                size += len(ids)
+                if len(rows) >= SHARD or size > SHARD_IDS:
                     packer.shard(rows, weights.value, mean)
                     rows, size = [], 0
                     yield batch_of(packer.out)
@@ -227,6 +259,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
     repeated rows are packed each; equal scores go by the order of the range; an empty table gives no rows; columns other than
     doc_id and text are ignored.
     """
-    rows = keyed(docs, F.col("doc_id"), F.col("text"))
-    idf, mean = corpus_statistics(rows)
-    return packed_rows(cut_lineage(routed(rows, idf)), idf, mean, tokenizer or tokenizer_path(), length)
+    texts = cut_lineage(encoded(keyed(docs, F.col("doc_id"), F.col("text")), tokenizer or tokenizer_path()))
+    idf, mean = corpus_statistics(texts)
+    return packed_rows(routed(texts, idf), idf, mean, length)
