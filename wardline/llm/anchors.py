@@ -61,21 +61,26 @@ class Rolling:
     """Hashes of any stretch of a sequence of 64-bit symbols (at most PIECE and a window long)."""
 
     def __init__(self, symbols: np.ndarray):
-        self.n = len(symbols)
-        self.sums = []
-        for i, p in enumerate(powers()):
+        self.n, self.symbols = len(symbols), symbols
+        self.sums: list[np.ndarray | None] = [None, None]
+
+    def sum(self, half: int) -> np.ndarray:
+        """Running sums of one half, made when first asked for."""
+        if self.sums[half] is None:
+            p = powers()[half]
             p.reach(self.n + 1)
             s = np.zeros(self.n + 1, U)
-            np.cumsum((symbols if i == 0 else mixed(symbols)) * p.up[: self.n], out=s[1:])
-            self.sums.append(s)
+            np.cumsum((self.symbols if half == 0 else mixed(self.symbols)) * p.up[: self.n], out=s[1:])
+            self.sums[half] = s
+        return self.sums[half]
 
     def stretch(self, half: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        s = self.sums[half]
+        s = self.sum(half)
         return (s[end] - s[start]) * powers()[half].down[start]
 
     def every(self, half: int, length: int, first: int, last: int) -> np.ndarray:
         """Hashes of all stretches of one length that start from first to last - 1."""
-        s = self.sums[half]
+        s = self.sum(half)
         return (s[first + length : last + length] - s[first:last]) * powers()[half].down[first:last]
 
     def runs(self, length: int, gram: int) -> Runs:

@@ -13,6 +13,7 @@ in one pass over the documents.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from math import ceil
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.anchors import Rolling, U, mixed
-from wardline.llm.common import narrow, words_of
+from wardline.llm.common import narrow, words_of, worker_cache
 from wardline.llm.repeats import given_id, keyed, texts_of, word_codes
 from wardline.session import cut_lineage
 
@@ -164,10 +165,14 @@ def contaminated_windows(rows: DataFrame, benchmark: DataFrame, part_words: int
     for items in parts_of(benchmark, part_words):
         sent = rows.sparkSession.sparkContext.broadcast(items)  # at most part_words words
 
-        def work(batches, sent=sent):
+        def work(batches, sent=sent, part=uuid.uuid4().hex):
             import pyarrow as pa
 
-            index = Items(sent.value)
+            kept = worker_cache("items", dict)  # the index of a part is built once in a worker, not in each of its tasks
+            if part not in kept:
+                kept.clear()
+                kept[part] = Items(sent.value)
+            index = kept[part]
             names = [c.split()[0] for c in HITS.split(", ")]
             kinds = [pa.int64()] * 5 + [pa.float64()]
             for batch in batches:
