@@ -95,6 +95,19 @@ def test_contaminated_windows(spark):
     assert contaminated(df, bench.limit(0)).collect() == [] and contaminated(cases.table(spark, []), bench).collect() == []
 
 
+def test_items_cut_off_by_the_ends_of_a_text(spark):
+    item = cases.passage(80, 59).split()
+    before, after = cases.passage(81, 30), cases.passage(82, 30)
+    cut = {1: item[:-1], 2: item[1:], 3: item[4:-4], 4: item[:40]}
+    docs = [(d, " ".join(w)) for d, w in cut.items()] + [(5, " ".join(item[7:]) + " " + after), (6, before + " " + " ".join(item[:-7])), (7, before + " " + " ".join(item[:-12])), (8, before + " " + " ".join(item))]
+    df = cases.table(spark, [(d, t, "en", "s", 0) for d, t in docs])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.start, r.n_words, round(r.similarity, 6)) for r in contaminated(df, bench).collect()}
+    share = lambda n: round((n - 4) / 55, 6)
+    assert got == {1: (0, 58, share(58)), 2: (0, 58, share(58)), 3: (0, 51, share(51)), 5: (0, 52, share(52)), 6: (30, 52, share(52)), 8: (30, 59, 1.0)}
+    assert sorted(r.doc_id for r in drop_contaminated(df, bench).collect()) == [4, 7]
+
+
 def test_pieces_hold_every_id_once(spark):
     data = [*cases.rows(), (200, "<|endoftext|> x<|startoftext|>y", "en", "s", 0)]
     out = pack(cases.with_clashes(cases.table(spark, data))).collect()

@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
-For every item, windows of as many words as the item has are slid over each text. A window's fingerprint has a bit for each of 64
+For every item, windows of as many words as the item has are slid over each text, also past its two ends, where they are clipped down to the
+fewest words that can still reach the similarity (``least_words``). A window's fingerprint has a bit for each of 64
 signed sums over the words' hashes; running sums give all windows of a size at once. An item's fingerprints are found through ``BLOCKS``
 blocks of bits: fingerprints within ``RADIUS`` differ in at most RADIUS // BLOCKS bits in one block at least, so a lookup of
 every block value in a table of its near values misses none. Candidates are verified by the exact similarity of weighted
@@ -39,9 +40,14 @@ def fingerprint_sums(words: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
 
 
-def fingerprints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """64-bit fingerprints of the windows of ``size`` words at ``starts``."""
-    return np.packbits(sums[starts + size] - sums[starts] > 0, axis=1).view(np.uint64).ravel()
+def fingerprints(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of the windows of words from ``starts`` up to ``ends``."""
+    return np.packbits(sums[ends] - sums[starts] > 0, axis=1).view(np.uint64).ravel()
+
+
+def least_words(size: int) -> int:
+    """Words of the shortest piece of an item that can reach the similarity: a piece has no shingle besides the item's."""
+    return size if size < SHINGLE else ceil(SIMILARITY * (size - SHINGLE + 1) - 1e-9) + SHINGLE - 1
 
 
 def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -76,7 +82,7 @@ class Items:
             if not len(words):
                 continue
             shingles = shingle_hashes(words)
-            print_ = fingerprints(fingerprint_sums(words), np.array([0]), len(words))[0]
+            print_ = fingerprints(fingerprint_sums(words), np.array([0]), np.array([len(words)]))[0]
             self.by_size.setdefault(len(words), []).append((item_id, shingles, print_))
             if len(words) >= SHINGLE:
                 every.append(shingles)
@@ -124,25 +130,31 @@ class Items:
             return []
         sums, out = None, []
         for size, own in self.by_size.items():
-            if size > len(words):
+            least = least_words(size)
+            if least > len(words):
                 continue
+            # places of whole windows, from the first to the last that has ``least`` words within the text
+            first, places = least - size, len(words) + size - 2 * least + 1
             if size < SHINGLE:
-                starts = np.arange(len(words) - size + 1)
+                starts = np.arange(places)
             else:
-                edge = np.zeros(len(words) + 2, np.int32)
-                np.add.at(edge, np.maximum(found - (size - SHINGLE), 0), 1)
-                np.add.at(edge, np.minimum(found + 1, len(words) - size + 1), -1)
-                starts = np.flatnonzero(np.cumsum(edge[: len(words) - size + 1]) > 0)
+                edge = np.zeros(places + 1, np.int32)
+                np.add.at(edge, np.clip(found - (size - SHINGLE) - first, 0, places), 1)
+                np.add.at(edge, np.clip(found + 1 - first, 0, places), -1)
+                starts = np.flatnonzero(np.cumsum(edge[:places]) > 0) + first
             if not len(starts):
                 continue
+            starts, ends = np.maximum(starts, 0), np.minimum(starts + size, len(words))
+            if len(words) < size:
+                starts, ends = np.unique(np.stack([starts, ends]), axis=1)  # the whole text once
             sums = fingerprint_sums(words) if sums is None else sums
-            best: dict[int, tuple[float, int]] = {}
-            for w, k in self.candidates(size, fingerprints(sums, starts, size)):
-                start = int(starts[w])
-                s = weighted_similarity(shingle_hashes(words[start : start + size]), own[k][1])
-                if s >= SIMILARITY and (k not in best or (-s, start) < best[k]):
-                    best[k] = (-s, start)
-            out += [(own[k][0], start, size, -s) for k, (s, start) in best.items()]
+            best: dict[int, tuple[float, int, int]] = {}
+            for w, k in self.candidates(size, fingerprints(sums, starts, ends)):
+                start, n = int(starts[w]), int(ends[w] - starts[w])
+                s = weighted_similarity(shingle_hashes(words[start : start + n]), own[k][1])
+                if s >= SIMILARITY and (k not in best or (-s, start, -n) < best[k]):
+                    best[k] = (-s, start, -n)
+            out += [(own[k][0], start, -n, -s) for k, (s, start, n) in best.items()]
         return out
 
 
@@ -187,10 +199,11 @@ def contaminated_windows(rows: DataFrame, benchmark: DataFrame, part_words: int
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, start, n_words, similarity``: documents that contain a benchmark item, with the item's best window.
 
-    A window of as many words as the item counts if its weighted Jaccard similarity over shingles of ``SHINGLE`` words is
-    ``SIMILARITY`` or more and its fingerprint within ``RADIUS``; of equal windows the first is reported. Items and texts that are
-    NULL or blank match nothing; repeated rows of either table are reported once each for documents and once for items; an
-    item longer than a text is not in it; items of fewer words than a shingle are one shingle; other columns are ignored.
+    A window of as many words as the item, clipped where the text begins or ends, counts if its weighted Jaccard similarity over
+    shingles of ``SHINGLE`` words is ``SIMILARITY`` or more and its fingerprint within ``RADIUS``; of equal windows the first is
+    reported, the longer before the shorter, and ``n_words`` is what it has within the text. Items and texts that are
+    NULL or blank match nothing; repeated rows of either table are reported once each for documents and once for items; a
+    text shorter than the item is a window as a whole; items of fewer words than a shingle are one shingle; other columns are ignored.
     """
     return contaminated_windows(keyed(docs, F.col("doc_id"), F.col("text")), benchmark).select(given_id(), "item_id", "start", "n_words", "similarity")
 
