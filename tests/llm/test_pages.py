@@ -45,6 +45,18 @@ def test_round_trip(spark, tmp_path):
     assert round_trip(spark.createDataFrame([], SCHEMA), f"{tmp_path}/empty").collect() == []
 
 
+def test_equal_page_ids_with_different_payloads(spark, tmp_path):
+    long = [k * 300 for k in ("é", "日", "x", "y")]
+    rows = [(None, "u", long[0]), (None, "v", long[1]), (None, "u", long[0]), (None, "v", long[1]), (4, "u", long[2]), (4, "v", long[3]), (4, "u", long[2]), (4, "v", long[3]), (6, "u", long[3]), (8, "u", long[2])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for chunk in (1 << 20, 97):
+        folder = f"{tmp_path}/{chunk}"
+        assert cases.multiset(round_trip(df, folder, chunk).collect()) == want(rows)
+        heads = b"".join(gzip.open(f).read() for f in glob.glob(f"{folder}/*.gz")).split(b"\r\n")
+        ids = [h for h in heads if h.startswith(b"WARC-Record-ID: ")]
+        assert len(ids) == len(set(ids))
+
+
 def pages():
     text = lambda s, n: cases.passage(s, n)
     out = []

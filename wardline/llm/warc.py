@@ -52,17 +52,18 @@ def record(kind: str, record_id: str, fields: dict[str, object], payload: bytes)
 
 def records(page_id: int | None, number: int, url: str | None, payload: bytes, refers_to: int | None, first: bool, size: int = CHUNK):
     """The records of one page. ``first`` tells whether it carries its payload; others are revisits of ``refers_to``."""
-    name = "none" if page_id is None else page_id
-    record_id = f"urn:page:{name}:{number}"
     carried, each = sha1(), []
     for n, part in chunks_of(payload, size):
         carried.update(part)
         each.append((n, len(part)))
-    digest = f"sha1:{base32(carried.digest())}"
+    payload_digest = base32(carried.digest())
+    digest = f"sha1:{payload_digest}"
+    # pages without an id, or with one id, differ in their payloads
+    name = lambda page: f"urn:page:{'none' if page is None else page}:{payload_digest}"
+    record_id = f"{name(page_id)}:{number}"
     about = {"WARC-Target-URI": f"<{' '.join(url.split())}>"} if url and url.split() else {}
     if not first:
-        back = "none" if refers_to is None else refers_to
-        yield record("revisit", record_id, about | {"WARC-Profile": PROFILE, "WARC-Payload-Digest": digest, "WARC-Refers-To": f"<urn:page:{back}:0>"}, b"")
+        yield record("revisit", record_id, about | {"WARC-Profile": PROFILE, "WARC-Payload-Digest": digest, "WARC-Refers-To": f"<{name(refers_to)}:0>"}, b"")
         return
     start = 0
     for n, length in each:
