@@ -10,7 +10,7 @@ import cases
 from pyspark.sql import functions as F
 
 from wardline.llm import dom
-from wardline.llm.extract import _Frame, fitted, learned, main_text
+from wardline.llm.extract import _Frame, fitted, learned, main_text, runs_of
 from wardline.llm.warc import round_trip
 
 SCHEMA = "page_id long, url string, html string"
@@ -111,3 +111,33 @@ def test_parser():
     assert texts("<p>a <b>b</b>c<br>d &amp;&nbsp;&#233; <p>next<ul><li>x<li>y</ul>tail<!-- no --><script>if(a<b){'</p>'}</script>") == ["a bc d & é", "next", "x", "y", "tail"]
     assert texts("<a title='>'>q</a> 1 < 2 <img alt=\">\"> z") == ["q 1 < 2 z"]
     assert texts("") == [] and texts("<script>never closed") == []
+
+
+def test_parts_left_open_do_not_swallow_the_page():
+    texts = lambda h: [x.text for x in dom.parse(h) if x.tag == "#text"]
+    assert texts("<html><head><meta charset=u><title>x</title><link rel=r><body><article><p>a</article>") == ["a"]
+    assert texts("<head><title>x</title><style>s</style><p>a") == ["a"] and texts("<head><title>x</title></head><p>a") == ["a"]
+    for tag in ("button", "select", "textarea", "svg", "canvas", "object", "video", "title", "iframe"):
+        assert texts(f"<div><{tag}>no</div><article><p>a</p></article>") == ["a"], tag
+        assert texts(f"<div><{tag}>no</div><p>a</p><{tag}>no</{tag}><p>b</p>") == ["a", "b"], tag
+        assert texts(f"<p>a</p><{tag}>no</{tag}><p>b</p>") == ["a", "b"], tag
+    assert texts("<svg><svg/><svg>no</svg>no</svg><p>a</p>") == ["a"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds") == ["so x=2 holds"]
+    assert texts("<svg" * 20_000 + ">" + "<svg>no" * 20_000 + "<p>a") == ["a"]
+
+
+def test_siblings_are_counted_by_tag_at_every_number():
+    nodes = dom.parse("<div>" + "<p>a</p>" * 300 + "<ul></ul></div>")
+    alike = dom.features(nodes)[:, 9]
+    assert {x.tag: alike[x.number] for x in nodes if x.tag in ("p", "ul")} == {"p": 300, "ul": 1}
+
+
+def test_long_pages_fill_frames(spark):
+    long = "<p>" + "</p><p>".join(cases.passage(k, 60) for k in range(400)) + "</p>"
+    assert len(long) > 60_000
+    runs = runs_of(long)
+    assert 30_000 < sum(map(len, runs)) <= 60_000 and cases.passage(0, 60) in runs and len(runs_of("<p>" + "a " * 80_000)[0]) == 60_000
+    longs = [long.replace("<p>", f"<p>{k} ") for k in range(8)]
+    trees = fitted(spark.createDataFrame([(k, "u", h) for k, h in enumerate(longs)], SCHEMA))
+    nodes = dom.parse(pages()[0])
+    assert set(cases.passage(5, 6).split()) <= set(" ".join(dom.decode(nodes, trees.share(dom.features(nodes)))).split())

@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from html import unescape
 
 import numpy as np
 
 # Element names of the HTML standard by their use, and words that authors use in class and id.
-SKIPPED = frozenset("script style noscript template svg iframe select textarea button canvas object audio video math head title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label map mark meter output picture progress q rp rt ruby s samp small source span strike strong sub sup time track tt u var wbr".split())
+SKIPPED = frozenset("script style noscript template svg iframe select textarea button canvas object audio video title annotation annotation-xml".split())
+#: Skipped elements whose content is raw text up to the first closing tag, and those that hold others of their kind; the others end where their kind begins again.
+RAW, NESTED = frozenset("script style".split()), frozenset("svg template canvas object audio video annotation-xml".split())
+#: What the head may hold besides skipped elements; the head itself has no node, and the body begins with whatever else comes.
+HEAD = frozenset("head base basefont bgsound link meta".split())
+MATHS = frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr maction semantics mfenced".split()
+)
+INLINE = MATHS | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label map mark meter output picture progress q rp rt ruby s samp small source span strike strong sub sup time track tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}),
@@ -20,6 +29,8 @@ KINDS = {
     **dict.fromkeys(("li", "dt", "dd"), 8), "p": 9, **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), 10), **dict.fromkeys(("div", "section"), 11),
     **dict.fromkeys(("table", "tbody", "thead", "tfoot", "tr", "td", "th"), 12), **dict.fromkeys(("pre", "blockquote", "figure", "figcaption"), 13), "#text": 14,
 }
+#: Borders that text of a skipped element without a closing tag does not reach over.
+BORDERS = frozenset(KINDS) - {"#text"} | frozenset("html body address center fieldset details summary dialog hgroup hr search caption".split())
 GOOD_WORDS = frozenset("article body content entry main post story text prose page".split())
 BAD_WORDS = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs button comment comments cookie consent disclaimer discussion disqus feed footer form header hidden login masthead menu modal nav navbar navigation "
@@ -28,6 +39,7 @@ BAD_WORDS = frozenset(
 
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -64,6 +76,32 @@ def _tag_end(page: str, start: int, quotes: dict[str, bool]) -> int:
         at = close + 1
 
 
+def _closings(page: str, tag: str) -> tuple[list[int], list[int]]:
+    """Places after the opening tags' names of a skipped element, and the ends of their closing tags, -1 where one is missing."""
+    opens, ends, waiting = [], [], []
+    last = 0
+    for m in re.finditer(rf"<(/?){tag}(?![a-zA-Z0-9:-])", page, re.I):
+        if 0 <= last < m.end():
+            last = page.find(">", m.end())
+        if m[1]:
+            for k in waiting if tag in RAW else waiting[-1:]:
+                ends[k] = len(page) if last < 0 else last + 1
+            del waiting[0 if tag in RAW else -1 :]
+        else:
+            if tag not in RAW and tag not in NESTED:
+                waiting.clear()
+            opens.append(m.end())
+            ends.append(-1)
+            if last < 0 or page[last - 1] != "/":
+                waiting.append(len(opens) - 1)
+    return opens, ends
+
+
+def _border(page: str, start: int) -> int:
+    """Where the next tag of a block begins, or the page's end."""
+    return next((m.start() for m in _TAG.finditer(page, start) if m[1].lower() in BORDERS), len(page))
+
+
 def parse(page: str) -> list[Node]:
     """All block nodes in page order, the root first. A run of text between block borders is a node ``#text`` of its own."""
     root = Node("#root", None, 0)
@@ -71,6 +109,7 @@ def parse(page: str) -> list[Node]:
     run: list[str] = []
     state = {"link": False, "links": 0}
     quotes = {'"': True, "'": True}
+    closings: dict[str, tuple[list[int], list[int]]] = {}
 
     def flush() -> None:
         if run:
@@ -117,11 +156,18 @@ def parse(page: str) -> list[Node]:
         at = end + 1
         if tag in SKIPPED:
             if not closing and not attributes.endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else size
-                if tag not in ("button", "select", "textarea", "svg", "math", "canvas"):
+                if tag not in closings:
+                    closings[tag] = _closings(page, tag)
+                opens, ends = closings[tag]
+                k = bisect_left(opens, name.end())
+                close = ends[k] if k < len(opens) and opens[k] == name.end() else -1
+                at = close if close >= at else _border(page, at)
+                if tag not in ("button", "select", "textarea", "svg", "canvas", "annotation", "annotation-xml"):
                     flush()
             continue
+        if tag in HEAD:
+            flush()
+            continue
         if tag in INLINE:
             if tag == "a":
                 state["link"] = not closing
@@ -180,6 +226,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     passed, good, bad = 0.0, np.zeros(n), np.zeros(n)
     region = np.zeros((n, 6))
     total, page_points = max(chars[0], 1), max(points[0], 1)
+    tags_of: dict[int, Counter] = {}
     for x in nodes:
         i, p = x.number, x.parent.number if x.parent else 0
         kind = KINDS.get(x.tag, 0)
@@ -189,7 +236,9 @@ def features(nodes: list[Node]) -> np.ndarray:
         if 1 <= kind <= 6:
             region[i, kind - 1] = 1
         siblings = x.parent.children if x.parent else [x]
-        alike = sum(s.tag == x.tag for s in siblings) if len(siblings) < 200 else len(siblings)
+        if x.parent and p not in tags_of:
+            tags_of[p] = Counter(s.tag for s in siblings)
+        alike = tags_of[p][x.tag] if x.parent else 1
         text = max(chars[i], 1)
         out[i, :21] = (
             x.depth, np.log1p(chars[i]), chars[i] / (tags[i] + 1), links[i] / text, runs[i], chars[i] / max(runs[i], 1), points[i] / max(words[i], 1), longest[i], len(x.children), alike, len(siblings),

@@ -8,6 +8,7 @@ and without telling element names and class words, with menus, sidebars, notices
 from __future__ import annotations
 
 import random
+from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from wardline.llm.common import narrow
 
 #: Pages whose texts the frames are filled with, and frames made of each.
 SAMPLE, FRAMES = 200, 5
-#: Sampled pages with more characters are left to others, so that the sample has a bound in bytes, too.
+#: Characters of a sampled page's runs that are kept, so that the sample has a bound in bytes, too.
 SAMPLE_CHARS = 60_000
 
 
@@ -99,12 +100,29 @@ class _Frame:
         return f"<!DOCTYPE html><html><head><title>t</title></head><body>{page}</body></html>"
 
 
+def runs_of(page: str, chars: int = SAMPLE_CHARS) -> list[str]:
+    """The runs of text of a page; of one with more than ``chars`` characters of text, some from all over it, cut where they have so many."""
+    runs = [x.text for x in dom.parse(page) if x.tag == "#text"]
+    out: list[str] = []
+    for text in runs[:: max(1, ceil(sum(map(len, runs)) / chars))]:
+        if chars <= 0:
+            break
+        out.append(text[:chars])
+        chars -= len(text)
+    return out
+
+
 def learned(pages: list[str], seed: int = 7, frames: int = FRAMES) -> Trees:
     """Train on frames filled with the texts of ``pages``."""
+    return learned_from_runs([runs_of(p) for p in pages], seed, frames)
+
+
+def learned_from_runs(pages: list[list[str]], seed: int = 7, frames: int = FRAMES) -> Trees:
+    """Train on frames filled with the runs of text of each page."""
     import html
 
     rng = random.Random(seed)
-    runs = [[html.escape(x.text, quote=False) for x in dom.parse(p) if x.tag == "#text"] for p in pages]
+    runs = [[html.escape(t, quote=False) for t in p] for p in pages]
     long = [[t for t in r if len(t) >= 60] for r in runs]
     short = [t for r in runs for t in r if t.split()] or ["a"]
     rows, labels = [np.zeros((0, dom.FEATURES))], [np.zeros(0)]
@@ -134,10 +152,19 @@ def learned(pages: list[str], seed: int = 7, frames: int = FRAMES) -> Trees:
 
 def fitted(pages: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees for the table: at most ``sample`` of its distinct pages, those with the least hash of the page, fill the frames."""
-    rows = narrow(pages, html=F.col("html")).where(F.length("html").between(1, SAMPLE_CHARS))
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                runs = pa.array([runs_of(batch.column("html")[i].as_py())], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column("h").slice(i, 1), runs], names=["h", "runs"])
+
+    rows = narrow(pages, html=F.col("html")).where(F.length("html") > 0)
     keys = rows.select(F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(sample)
     picked = rows.withColumn("h", F.xxhash64("html")).join(F.broadcast(keys), "h").groupBy("h").agg(F.min("html").alias("html"))
-    return learned([r["html"] for r in picked.orderBy("h").collect()])
+    return learned_from_runs([r["runs"] for r in picked.mapInArrow(work, "h long, runs array<string>").orderBy("h").collect()])
 
 
 def main_text(pages: DataFrame, trees: Trees) -> DataFrame:
