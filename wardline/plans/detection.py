@@ -11,7 +11,7 @@ from wardline.operators import detect as D
 from wardline.operators.findings import collapse_view_rows, findings_by_file
 from wardline.operators.gate import gate, proof_record
 from wardline.operators.policy import allow_by_path, allow_decision, allow_rules, remediation_snippet
-from wardline.plans.planted import PLANTED_CTE, fp_sql, hits_cte, planted_documents
+from wardline.plans.planted import PLANTED_CTE, fp_sql, hits_cte, offsets_cte, planted_documents
 from wardline.plans.registry import query
 
 DOC = ["doc_id", "repo", "path", "lang"]
@@ -63,6 +63,14 @@ def detect_offsets(t):
     return one.where("n = 1").drop("n")
 
 
+@query(
+    "detect_every_offset", "DET1",
+    f"with {PLANTED_CTE}, {offsets_cte()} select doc_id, pattern_id, sha256(raw) as auth_id, index, length(raw) as length from offsets",
+)
+def detect_every_offset(t):
+    return D.detect(planted_documents(t.documents), "text", DOC).select("doc_id", "pattern_id", "auth_id", "index", "length")
+
+
 @query(
     "detect_pii", "DET3",
     f"with {PLANTED_CTE}, " + _pii_cte("planted") + " select doc_id, pattern_id, sha256(raw) as auth_id, count(*) as occurrences from pii group by all",
@@ -165,6 +173,34 @@ def collapse_views(t):
     return single.select("doc_id", "pattern_id", "auth_id", F.array_join("views", ",").alias("views"))
 
 
+_BLOB_OFFSETS_CTE = (
+    "texts as (select doc_id, regexp_extract_all(text, '" + V.BASE64_BLOB + "') as f, string_split_regex(text, '" + V.BASE64_BLOB + "') as s from planted), "
+    "placed as (select doc_id, hex(from_base64(blob)) as hx, length(blob) as n, coalesce(list_sum(list_transform(s[1:pos + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f[1:pos], lambda x: length(x))), 0) as i "
+    "from (select doc_id, f, s, unnest(f) as blob, unnest(range(len(f))) as pos from texts)), "
+    "blob_spans as (select doc_id, 'base64' as view, 2 as rank, 'stripe-live' as pattern_id, decode(unhex(regexp_extract(hx, '736B5F6C6976655F(?:3[0-9]|[46][1-9A-F]|[57][0-9A])+'))) as raw, i as original_index, n as original_length "
+    "from placed where contains(hx, '736B5F6C6976655F'))"
+)
+# Places of the characters that a view keeps, for documents with a hit in it.
+_VIEW_SPANS_CTE = (
+    offsets_cte("views", "all_offsets", "doc_id, view")
+    + ", view_offsets as (select * from all_offsets where not (view in ('newline-fold','unicode-fold') and pattern_id in ('private-key','private-key-incomplete'))), "
+    f"chars as (select doc_id, view, string_split(text, '') as c from planted join (select distinct doc_id, view from view_offsets) using (doc_id)), "
+    f"kept as (select doc_id, view, list_filter(range(len(c)), lambda i: not (contains(view, 'fold') and c[i + 1] in (chr(10), chr(13))) and not (starts_with(view, 'unicode') and regexp_matches(c[i + 1], '{_FORMATS_SQL}'))) as k from chars), "
+    "view_spans as (select doc_id, view, rank, pattern_id, raw, k[index + 1] as original_index, k[index + length(raw)] - k[index + 1] + 1 as original_length from view_offsets join kept using (doc_id, view))"
+)
+
+
+@query(
+    "collapse_every_view", "DET12",
+    f"""with {PLANTED_CTE}, {_VIEWS_CTE}, {_VIEW_SPANS_CTE}, {_BLOB_OFFSETS_CTE}
+    select doc_id, arg_min(pattern_id, rank) as pattern_id, sha256(raw) as auth_id, cast(original_index as bigint) as original_index, cast(original_length as bigint) as original_length, string_agg(distinct view, ',' order by view) as views
+    from (select * from view_spans union all select * from blob_spans) group by doc_id, raw, original_index, original_length""",
+)
+def collapse_every_view(t):
+    merged = collapse_view_rows(D.detect(planted_documents(t.documents), "text", DOC, evasions=True), ["doc_id"])
+    return merged.select("doc_id", "pattern_id", "auth_id", "original_index", "original_length", F.array_join("views", ",").alias("views"))
+
+
 # --- allowing --------------------------------------------------------------------------------------
 
 _DOC0_KEY = "concat('sk_live_', substr({sha}, 1, 26))"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wardline.functions import fixed_values as V
 from wardline.functions.text import collapse_score, line_count, looks_generated, move_for, normalized_lines
 from wardline.operators import duplication as A
-from wardline.plans.registry import query
+from wardline.plans.registry import QUERIES, query
 
 # Documents are short; windows of five lines repeat in them as fifteen-line windows do in code.
 K = 5
@@ -171,6 +171,52 @@ def accretion_band_query(t):
     return A.accretion_band(_metrics(t), ["repo"])
 
 
+# The same over documents as files: lines from line_counts, blocks from the windows of their texts.
+_DOCUMENT_FILES_CTE = f"""{_COMMITS_CTE}, {_BLOCKS_CTE},
+sizes as (select doc_id, {PRIORITIES}[doc_id % 5 + 1] as repo, 'part' || doc_id as path, cast(length(text) - length(replace(text, chr(10), '')) + case when ends_with(text, chr(10)) then 0 else 1 end as int) as lines from documents),
+tiered as (select *, case when lines > 1800 then 'flag' when lines > 1000 then 'warn' when lines > 600 then 'notice' end as size_tier from sizes),
+dup as (select doc_id, count(*) as duplicate_blocks from blocks group by doc_id),
+metrics as (select s.* exclude (doc_id), coalesce(c.churn, 0) as churn, coalesce(d.duplicate_blocks, 0) as duplicate_blocks from tiered s left join churned c using (repo, path) left join dup d using (doc_id)),
+scored as (select *, floor((lines / 100.0) * (1 + sqrt(churn)) * (1 + 2 * duplicate_blocks) * 10 + 0.5) / 10 as score from metrics)"""
+
+
+def _over_documents(name: str) -> str:
+    return QUERIES[name].sql.replace(_FILES_CTE, _DOCUMENT_FILES_CTE)
+
+
+def _document_metrics(t):
+    from wardline.functions.text import size_tier
+
+    repos = F.array(*[F.lit(r) for r in PRIORITIES])
+    file = (F.get(repos, (F.col("doc_id") % 5).cast("int")).alias("repo"), F.concat(F.lit("part"), F.col("doc_id").cast("string")).alias("path"))
+    sizes = t.documents.select(*file, line_count(F.col("text")).alias("lines")).withColumn("size_tier", size_tier(F.col("lines")))
+    blocks = duplicate_blocks(t).select(*file)
+    return A.file_metrics(sizes, A.churn(_commits(t), _touches(t), V.CHURN_COMMITS), blocks, ["repo", "path"])
+
+
+@query("document_metrics", "JN4", _over_documents("file_metrics"))
+def document_metrics_query(t):
+    return _document_metrics(t)
+
+
+@query("document_candidates", "SRT1 FN25", _over_documents("collapse_candidates"))
+def document_candidates_query(t):
+    return A.collapse_candidates(_document_metrics(t), ["repo", "path"]).select("repo", "path", "lines", "churn", "duplicate_blocks", "score")
+
+
+@query("document_scores", "FN25", _over_documents("collapse_scores"))
+def document_scores(t):
+    m = _document_metrics(t)
+    score = collapse_score(F.col("lines"), F.col("churn"), F.col("duplicate_blocks"))
+    move = F.substring_index(move_for(F.col("lines"), F.col("churn"), F.col("duplicate_blocks")), " ", 1)
+    return m.select("repo", "path", score.alias("score"), move.alias("move"))
+
+
+@query("document_accretion_band", "AGG6", _over_documents("accretion_band"))
+def document_accretion_band(t):
+    return A.accretion_band(_document_metrics(t), ["repo"])
+
+
 @query(
     "severe_hotspots", "AGG7",
     f"with {_FILES_CTE} select count(*) filter (lines > 1800 or (lines > 1000 and churn >= 1 and churn >= 10)) as severe_hotspots from metrics",

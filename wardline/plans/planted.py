@@ -111,6 +111,18 @@ def hits_cte(source: str = "planted", name: str = "hits", keys: str = "doc_id, r
     return f"{name} as (" + " union all ".join(parts) + ")"
 
 
+def offsets_cte(source: str = "planted", name: str = "offsets", keys: str = "doc_id, repo, path, lang") -> str:
+    """The hits with the place of each: the lengths of the pieces and matches before it are added."""
+    long = lambda part: f"coalesce(list_sum(list_transform({part}, lambda x: length(x))), 0)"
+    parts = []
+    for rank, (pattern_id, label, pattern, extra) in enumerate(SQL_DETECTORS):
+        found = f"select {keys}, regexp_extract_all(text, '{pattern}', 0) as f, regexp_extract_all(text, '{pattern}', 1) as r, string_split_regex(text, '{pattern}') as s from {source}"
+        each = f"select {keys}, f, s, unnest(r) as raw, unnest(range(len(r))) as pos from ({found})"
+        index = f"cast({long('s[1:pos + 1]')} + {long('f[1:pos]')} + instr(f[pos + 1], raw) - 1 as int)"
+        parts.append(f"select {keys}, {rank} as rank, '{pattern_id}' as pattern_id, '{label}' as label, raw, {index} as index from ({each}) where {extra}")
+    return f"{name} as (" + " union all ".join(parts) + ")"
+
+
 FP_SQL = (
     "case when length({s}) > 14 and regexp_extract(substr({s},1,12),'^(?s:.+)[_-]') <> '' and length({s}) - length(regexp_extract(substr({s},1,12),'^(?s:.+)[_-]')) >= 8"
     " then regexp_extract(substr({s},1,12),'^(?s:.+)[_-]') else substr({s},1,6) end || '…' || case when length({s}) > 14 then right({s},4) else '' end || ' (' || length({s}) || ' chars)'"
