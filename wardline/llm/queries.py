@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import sql
+from wardline.llm import cnn, sql
+from wardline.llm.align import aligned_digest
 from wardline.llm.dart import near_duplicates
 from wardline.llm.decontam import contaminated
 from wardline.llm.extract import fitted, main_text
 from wardline.llm.gam import scored, train
+from wardline.llm.interaction import interactions
 from wardline.llm.lengths import length_histogram, suffix_sums
 from wardline.llm.packing import pack
 from wardline.llm.rlz import substring_digest
@@ -65,9 +67,25 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_sums(length_histogram(_table(spark, folder, "documents")))
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return aligned_digest(_table(spark, folder, "documents"))
+
+
+def op12_filter_interaction(spark: SparkSession, folder: str) -> DataFrame:
+    return interactions(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return cnn.scored(docs, cnn.train(docs, _table(spark, folder, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_substring_dedup, op3_packing, op4_decontamination, op5_warc, op6_quality_rules, op7_minhash, op8_html_extraction, op9_suffix_dedup, op10_token_counts)
+    for f in (
+        op1_quality_classifier, op2_substring_dedup, op3_packing, op4_decontamination, op5_warc, op6_quality_rules, op7_minhash, op8_html_extraction, op9_suffix_dedup,
+        op10_token_counts, op11_token_alignment, op12_filter_interaction, op13_toxicity,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_warc": sql.WARC, "op6_quality_rules": sql.QUALITY_RULES}
+ORACLE_SQL: dict[str, str] = {"op5_warc": sql.WARC, "op6_quality_rules": sql.QUALITY_RULES, "op12_filter_interaction": sql.FILTER_INTERACTION}

@@ -42,3 +42,23 @@ o AS (SELECT *, min(page_id) OVER (PARTITION BY hex, n) AS first,
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to FROM o
 """
+
+FILTER_INTERACTION = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+b AS (SELECT doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text),
+      regexp_matches(text, '[#$%&*|]'), coalesce(first < doc_id, false)] AS f FROM w),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+x AS (SELECT part, f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM b LEFT JOIN l ON b.doc_id = l.doc_id),
+g AS (SELECT part, f, count(*) AS n, sum(CAST(good AS BIGINT)) AS good, sum(CAST(toxic AS BIGINT)) AS toxic FROM x GROUP BY ALL),
+k AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [a.i, b.i, c.i, e.i, h.i] AS o FROM k a, k b, k c, k e, k h WHERE len(list_distinct([a.i, b.i, c.i, e.i, h.i])) = 5),
+s AS (SELECT o, array_to_string(list_transform(o, lambda j: substr('ABCDE', CAST(j AS BIGINT), 1)), '') AS filter_order, k.i AS step, o[k.i] AS this, o[1:k.i - 1] AS before FROM o, k),
+e AS (SELECT *, f[this] AS fails, len(list_filter(before, lambda j: f[j])) > 0 AS gone, len(list_filter(f, lambda v: v)) AS failing FROM g, s),
+r AS (SELECT part, filter_order, step, this, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed,
+      sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails AND failing = 1 THEN n ELSE 0 END) AS unique_fails,
+      sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM e GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, this) AS BIGINT) AS shapley FROM r
+"""
