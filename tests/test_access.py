@@ -3,7 +3,9 @@
 import random
 
 from wardline.operators.access import ddl_events, policy_findings, policy_state, sequence_events
-from wardline.streaming.policies import apply_event
+from wardline.operators.lineage import lifetimes
+from wardline.streaming import policies as streamed
+from wardline.streaming.policies import fold_table, new_table, newest_policy_state, policy_state_stream
 
 SCHEMA = (
     "repo string, path string, index long, line int, kind string, table string, to_table string, enabled boolean, policy string, rename_to string, for_cmd string,"
@@ -12,6 +14,35 @@ SCHEMA = (
 FIELDS = [f.strip().split()[0] for f in SCHEMA.split(",")]
 
 
+def walk(events: list[dict]) -> dict:
+    """The tables of a repo by name after its events, one event after the other."""
+    tables: dict = {}
+
+    def rename(old, new):
+        if old != new and old in tables:
+            tables[new] = tables.pop(old)
+
+    for ev in events:
+        kind, name = ev["kind"], ev["table"]
+        if kind == "drop_table":
+            tables.pop(name, None)
+        elif kind in ("rename_table", "set_schema"):
+            rename(name, ev["to_table"])
+        elif kind in ("drop_schema", "rename_schema"):
+            for full in [n for n in tables if n.startswith(ev["schema"] + ".")]:
+                if kind == "drop_schema":
+                    del tables[full]
+                else:
+                    rename(full, ev["to_schema"] + full[len(ev["schema"]) :])
+        elif name is not None and (kind != "drop_policy" or name in tables):
+            fold_table(tables.setdefault(name, new_table(kind)), ev["seq"], ev)
+    for name, table in tables.items():
+        # a statement without a table counts for the tables that are public at the end
+        late = [ev["seq"] for ev in events if ev["kind"] == "not_checkable" and ev["table"] is None]
+        table["gap"] |= name.startswith("public.") and table["secure_seq"] is not None and any(s >= table["secure_seq"] for s in late)
+    return tables
+
+
 def history(seed: int, size: int) -> list[dict]:
     rng = random.Random(seed)
     tables = ["public.a", "public.b", "app.a", "app.c"]
@@ -62,24 +93,77 @@ def test_joined_state_equals_the_fold(spark):
         held.setdefault((r.repo, r.table), {})[r.policy.lower()] = (r.for_cmd, sorted(r.roles), r.using_true, r.check_true, r.has_check)
     want, want_gaps, want_held = {}, {}, {}
     for h in histories:
-        state: dict = {}
-        for ev in h:
-            apply_event(state, ev)
-        loose = [ev["seq"] for ev in h if ev["kind"] == "not_checkable" and ev["table"] is None]
-        for name, t in state.items():
+        for name, t in walk(h).items():
             key = (h[0]["repo"], name)
-            want[key] = (t["rls"], t["secure_seq"])
-            # in a finished history a loose statement counts for the tables that are public at the end
-            late = name.startswith("public.") and t["secure_seq"] is not None and any(s >= t["secure_seq"] for s in loose)
-            want_gaps[key] = (t["gap"], late)
+            want[key], want_gaps[key] = (t["rls"], t["secure_seq"]), t["gap"]
             if t["policies"]:
                 want_held[key] = {k: (p["for_cmd"], sorted(p["roles"]), p["using_true"], p["check_true"], p["has_check"]) for k, p in t["policies"].items()}
     assert got == want
     assert held == want_held
-    assert len(want) > 40 and len(want_held) > 10
-    for key, (folded, late) in want_gaps.items():
-        assert gaps[key] >= late, key
-        assert gaps[key] == folded or late != folded, key
+    assert gaps == want_gaps
+    assert len(want) > 40 and len(want_held) > 10 and 3 < sum(want_gaps.values()) < len(want_gaps) - 3
+
+
+def test_lifetimes_over_many_chunks(spark):
+    """Random moves, each name's lifetime found in chunks of three operations, continued in two runs, against a walk."""
+    rng, rows, want_alive, want_touch = random.Random(8), [], {}, {}
+    for g in range(25):
+        state: dict = {}
+        for seq in range(60):
+            op = rng.choice(["ensure"] * 5 + ["use", "end", "move", "move", "end_all", "move_all"])
+            name, to = (f"{rng.choice('ab')}.{rng.choice('xyz')}" for _ in range(2))
+            if op in ("end_all", "move_all"):
+                name, to = rng.choice([("a", "b"), ("b", "a"), ("a", "a")])
+            to = to if op in ("move", "move_all") else None
+            rows.append((g, seq, op, name, to))
+            pairs = [(n, to + n[1:]) for n in ("a.x", "a.y", "a.z", "b.x", "b.y", "b.z") if n[0] == name] if op == "move_all" else [(name, to)] if op == "move" else []
+            for old, new in pairs:
+                if old != new and old in state:
+                    state[new] = state.pop(old)
+            if op == "ensure":
+                state.setdefault(name, (g, seq))
+            if op in ("ensure", "use") and name in state:
+                want_touch[g, seq] = state[name]
+            if op == "end":
+                state.pop(name, None)
+            if op == "end_all":
+                state = {n: v for n, v in state.items() if n[0] != name}
+        want_alive.update({(g, n): v for n, v in state.items()})
+    ops = spark.createDataFrame(rows, "g long, seq long, op string, name string, to string")
+
+    def check(found, alive):
+        entities = {}
+        for r in sorted(found, key=lambda r: r.seq):
+            if r.role in ("ensure", "use") and (r.g, r.seq) in want_touch:
+                assert entities.setdefault((r.g, r.entity), want_touch[r.g, r.seq]) == want_touch[r.g, r.seq]
+        seen = {(r.g, r.seq) for r in found if r.role == "ensure"}
+        assert seen == {(g, seq) for g, seq, op, *_ in rows if op == "ensure"}
+        assert {(r.g, r.name): entities[r.g, r.entity] for r in alive} == want_alive
+
+    found, alive = lifetimes(ops, ["g"], by_schema=True, chunk=3)
+    check(found.collect(), alive.collect())
+    first, held = lifetimes(ops.where("seq < 31"), ["g"], by_schema=True, chunk=4, label="/1")
+    second, last = lifetimes(ops.where("seq >= 31"), ["g"], by_schema=True, chunk=4, start=held, label="/2")
+    check(first.collect() + second.collect(), last.collect())
+
+
+def test_the_stream_equals_the_walk_after_any_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streamed, "COMPACT", 3)
+    histories = [history(seed, 40) for seed in range(12)]
+    # one repo has a third of all events
+    histories[0] = history(0, 220)
+    row = lambda ev: tuple(ev[f] for f in FIELDS)
+    for k in range(7):
+        part = [row(ev) for h in histories for ev in h[len(h) * k // 7 : len(h) * (k + 1) // 7]]
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        policy_state_stream(stream, str(tmp_path / "state"), str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        if k in (0, 4, 6):
+            want = {}
+            for h in histories:
+                for name, t in walk(h[: len(h) * (k + 1) // 7]).items():
+                    want[h[0]["repo"], name] = (t["rls"], len(t["policies"]), t["secure_seq"] is not None, t["gap"])
+            assert {(r.repo, r.table): (r.rls, r.policies, r.secured, r.gap) for r in newest_policy_state(spark, str(tmp_path / "state")).collect()} == want, k
 
 
 SQL = """-- CREATE TABLE ghost (x);

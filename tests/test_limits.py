@@ -56,3 +56,21 @@ def test_two_measurements_of_a_day_are_one_row(spark, tmp_path):
         append_ledger(rows, f"{tmp_path}/ledger")
     got = sorted((r.measured_at_utc, r.views) for r in spark.read.parquet(f"{tmp_path}/ledger").collect())
     assert got == [(at(6), 7), (at(6, 2), 8)]
+
+
+def test_the_entry_works_without_the_corpus_operators(tmp_path):
+    """A copy of the repository without the folders of the corpus operators imports and lists its own queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("wardline", "__spark_entry__.py", "corpus_pipeline.py"):
+        source = os.path.join(root, name)
+        if os.path.isdir(source):
+            shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        elif os.path.exists(source):
+            shutil.copy(source, tmp_path / name)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert 'gate' in q and s.keys() <= q.keys() and not any(n == 'pipeline' or n[:2] == 'op' and n[2].isdigit() for n in q)"
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=environment)

@@ -348,18 +348,19 @@ def collapse_score(lines: Column, churn: Column, blocks: Column) -> Column:
     return F.floor(weight * 10 + 0.5) / 10
 
 
-def move_for(lines: Column, churn: Column, blocks: Column) -> Column:
+def move_case(lines: Column, churn: Column, blocks: Column) -> Column:
+    """Which advice fits a file: the key of its sentence in ``MOVE_TEXT``."""
     big, hot, dup = lines > V.SIZE_NOTICE, churn >= V.HOT_CHURN, blocks > 0
     return (
-        F.when(big & hot & dup, V.MOVE_TEXT["big_hot_dup"])
-        .when(big & hot, V.MOVE_TEXT["big_hot"])
-        .when(big & dup, V.MOVE_TEXT["big_dup"])
-        .when(dup, V.MOVE_TEXT["dup"])
-        .when(big, V.MOVE_TEXT["big"])
-        .otherwise(V.MOVE_TEXT["churn"])
+        F.when(big & hot & dup, "big_hot_dup").when(big & hot, "big_hot").when(big & dup, "big_dup").when(dup, "dup").when(big, "big").otherwise("churn")
     )
 
 
+def move_for(lines: Column, churn: Column, blocks: Column) -> Column:
+    case = move_case(lines, churn, blocks)
+    return F.coalesce(*[F.when(case == key, text) for key, text in V.MOVE_TEXT.items()])
+
+
 # --- credential-shaped names --------------------------------------------------------
 
 

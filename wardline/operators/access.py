@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions import fixed_values as V
 from wardline.functions.paths import is_fixture_path, is_migration_sql
 from wardline.functions.text import let, prefix_sums, table_name
+from wardline.operators.lineage import lifetimes, schema_of
 from wardline.operators.running import chunk_of, running
 from wardline.session import cut_lineage
 
@@ -214,124 +215,6 @@ def sequence_events(events: DataFrame) -> DataFrame:
     return running(events, ["repo"], ["path", "index", "line"], "path", {"seq": ("number", "")})
 
 
-# --- identity of things that are created, dropped and renamed ------------------------------------------
-
-
-def resolve_identities(rows: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Which lifetime does each row of a name belong to, when names end and move?
-
-    ``rows`` is ``(*group, name, seq, role, peer, …)``. Roles: ``ensure`` makes the name exist, ``use`` does
-    not, ``end`` drops it, ``out`` and ``in`` are the two sides of a move at the same seq (``peer`` is the other
-    name). A name's history is cut into segments at every end and move; a segment that begins with a move goes
-    on with the mover's lifetime if the mover existed, else with its own. Existence and roots are then found by
-    joining moves with moves a few times: no group is ever walked row by row in one task.
-
-    Returns the rows with ``entity`` (and, for an ``in``, whether anything ``arrived``), and ``(*group, name, entity)`` of the names that exist at the end.
-    """
-    cut = F.col("role").isin("end", "out", "in")
-    placed = running(
-        rows.withColumn("_cut", cut).withColumn("_chunk", chunk_of(F.col("seq"))), [*group, "name"], ["seq"], "_chunk", {"_before": ("count_if", "_cut")}
-    )
-    node = lambda name, segment: F.concat(name, F.lit("#"), segment.cast("string"))
-    placed = placed.withColumn("_seg", (F.col("_before") + F.col("_cut").cast("int")).cast("bigint"))
-    placed = cut_lineage(placed.withColumn("_node", node(F.col("name"), F.col("_seg"))).drop("_cut", "_chunk", "_before"))
-    born = placed.where("role = 'ensure'").select(*group, "_node").distinct()
-
-    arrivals = placed.where("role = 'in'").select(*group, "seq", "peer", "_node", node(F.col("name"), F.col("_seg") - 1).alias("_own"))
-    departures = placed.where("role = 'out'").select(*group, "seq", F.col("name").alias("peer"), node(F.col("name"), F.col("_seg") - 1).alias("_src"))
-    moves = cut_lineage(arrivals.join(departures, [*group, "seq", "peer"]).select(*group, "_node", "_src", "_own"))
-    if moves.isEmpty():
-        placed = placed.withColumn("entity", F.col("_node")).withColumn("arrived", F.lit(False))
-        return placed.drop("_node", "_seg"), _alive(placed, born.withColumn("entity", F.col("_node")), group)
-
-    def known(frame: DataFrame, column: str, facts: DataFrame, flag: str) -> DataFrame:
-        named = facts.select(*group, F.col("_node").alias(column), F.lit(True).alias(flag))
-        return frame.join(named, [*group, column], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
-
-    state = known(known(known(moves, "_node", born, "_e"), "_src", born, "_s"), "_own", born, "_o")
-    state = cut_lineage(state.withColumn("_e", F.col("_e") | F.col("_s") | F.col("_o")))
-    size = state.where("_e").count()
-    while True:
-        alive = state.where("_e")
-        state = known(known(state, "_src", alive, "_s2"), "_own", alive, "_o2")
-        state = cut_lineage(
-            state.withColumn("_s", F.col("_s") | F.col("_s2")).withColumn("_o", F.col("_o") | F.col("_o2")).withColumn("_e", F.col("_e") | F.col("_s") | F.col("_o")).drop("_s2", "_o2")
-        )
-        grown = state.where("_e").count()
-        if grown == size:
-            break
-        size = grown
-    parents = state.select(*group, "_node", F.when(F.col("_s"), F.col("_src")).when(F.col("_o"), F.col("_own")).alias("_root")).where("_root is not null")
-    parents = cut_lineage(parents)
-    while True:
-        # pointer jumping: chains halve in every round
-        up = parents.select(*group, F.col("_node").alias("_root"), F.col("_root").alias("_up"))
-        jumped = cut_lineage(parents.join(up, [*group, "_root"], "left").select(*group, "_node", F.coalesce("_up", "_root").alias("_root"), F.col("_up").isNotNull().alias("_moved")))
-        parents = jumped.drop("_moved")
-        if jumped.where("_moved").isEmpty():
-            break
-    carried = state.select(*group, "_node", (F.col("_s") | F.col("_o")).alias("arrived"))
-    placed = placed.join(parents, [*group, "_node"], "left").withColumn("entity", F.coalesce("_root", "_node")).drop("_root")
-    placed = cut_lineage(placed.join(carried, [*group, "_node"], "left").withColumn("arrived", F.coalesce("arrived", F.lit(False))))
-    existing = born.unionByName(state.where("_e").select(*group, "_node")).distinct()
-    existing = existing.join(parents, [*group, "_node"], "left").withColumn("entity", F.coalesce("_root", "_node")).drop("_root")
-    return placed.drop("_node", "_seg"), _alive(placed, existing, group)
-
-
-def _alive(placed: DataFrame, existing: DataFrame, group: list[str]) -> DataFrame:
-    last = placed.groupBy(*group, "name").agg(F.max_by("_node", "_seg").alias("_node"))
-    return last.join(existing, [*group, "_node"]).select(*group, "name", "entity")
-
-
-def _schema(name: Column) -> Column:
-    return F.substring_index(name, ".", 1)
-
-
-def _table_rows(events: DataFrame) -> DataFrame:
-    """Events as name rows: schema-wide events are spread over the names their schema ever held."""
-    fields = [c for c in events.columns if c not in ("repo", "seq")]
-    body = F.struct(*fields).alias("e")
-    none = F.lit(None).cast("string")
-    single = events.where(F.col("table").isNotNull() & ~F.col("kind").isin("rename_table", "set_schema"))
-    role = F.when(F.col("kind") == "drop_table", "end").when(F.col("kind") == "drop_policy", "use").otherwise("ensure")
-    rows = single.select("repo", "seq", F.col("table").alias("name"), role.alias("role"), none.alias("peer"), body)
-    moved = events.where(F.col("kind").isin("rename_table", "set_schema") & (F.col("table") != F.col("to_table")))
-    both = F.array(
-        F.struct(F.col("table").alias("name"), F.lit("out").alias("role"), F.col("to_table").alias("peer")),
-        F.struct(F.col("to_table").alias("name"), F.lit("in").alias("role"), F.col("table").alias("peer")),
-    )
-    rows = rows.unionByName(moved.select("repo", "seq", F.inline(both), body))
-
-    wide = events.where(F.col("kind").isin("drop_schema", "rename_schema")).select("repo", "seq", "schema", "to_schema", "kind", body)
-    if wide.isEmpty():
-        return rows
-    renames = wide.where("kind = 'rename_schema'").select("repo", F.col("schema").alias("_s"), "to_schema").distinct()
-    names = cut_lineage(
-        events.select("repo", F.explode(F.array("table", "to_table")).alias("name")).where("name is not null").distinct()
-    )
-    size = names.count()
-    while True:
-        carried = names.withColumn("_s", _schema(F.col("name"))).join(renames, ["repo", "_s"]).select(
-            "repo", F.concat("to_schema", F.lit("."), F.substring_index("name", ".", -1)).alias("name")
-        )
-        names = cut_lineage(names.unionByName(carried).distinct())
-        grown = names.count()
-        if grown == size:
-            break
-        size = grown
-    hit = wide.join(names.withColumn("schema", _schema(F.col("name"))), ["repo", "schema"])
-    target = F.concat("to_schema", F.lit("."), F.substring_index("name", ".", -1))
-    spread = F.when(
-        F.col("kind") == "drop_schema", F.array(F.struct(F.col("name"), F.lit("end").alias("role"), none.alias("peer")))
-    ).otherwise(
-        F.array(
-            F.struct(F.col("name"), F.lit("out").alias("role"), target.alias("peer")), F.struct(target.alias("name"), F.lit("in").alias("role"), F.col("name").alias("peer"))
-        )
-    )
-    exploded = hit.select("repo", "seq", spread.alias("x"), "e").select("repo", "seq", F.explode("x").alias("x"), "e")
-    return rows.unionByName(exploded.select("repo", "seq", "x.*", "e"))
-
-
 # --- state ------------------------------------------------------------------------------------------------------
 
 
@@ -348,21 +231,22 @@ def open_write(p: Column) -> Column:
     return opened & (F.size(client_roles(p["roles"])) > 0)
 
 
-def _policy_rows(placed: DataFrame) -> DataFrame:
-    """Policy events of tables as name rows of the second level: group (repo, table entity), name the policy."""
-    e = F.col("e")
-    rows = placed.where(e["kind"].isin("create_policy", "drop_policy", "alter_policy") & e["policy"].isNotNull()).select("repo", F.col("entity").alias("table_entity"), "seq", "e")
-    name, target = F.lower(e["policy"]), F.lower(e["rename_to"])
-    none = F.lit(None).cast("string")
-    is_rename = e["rename_to"].isNotNull()
-    role = F.when(e["kind"] == "drop_policy", "end").otherwise("ensure")
-    moves = F.array(
-        F.struct(name.alias("name"), F.lit("out").alias("role"), target.alias("peer")), F.struct(target.alias("name"), F.lit("in").alias("role"), name.alias("peer"))
-    )
-    steps = F.when(is_rename & (name != target), moves).when(
-        ~is_rename, F.array(F.struct(name.alias("name"), role.alias("role"), none.alias("peer")))
+def table_ops(events: DataFrame) -> DataFrame:
+    """What each event does to the names of a repo's tables."""
+    kind = F.col("kind")
+    op = (
+        F.when(kind == "drop_table", "end").when(kind == "drop_policy", "use").when(kind.isin("rename_table", "set_schema"), "move")
+        .when(kind == "drop_schema", "end_all").when(kind == "rename_schema", "move_all").when(F.col("table").isNotNull(), "ensure")
     )
-    return rows.select("repo", "table_entity", "seq", F.explode(steps).alias("x"), "e").select("repo", "table_entity", "seq", "x.*", "e")
+    return events.select("repo", "seq", op.alias("op"), F.coalesce("table", "schema").alias("name"), F.coalesce("to_table", "to_schema").alias("to")).where("op is not null")
+
+
+def _policy_ops(placed: DataFrame) -> DataFrame:
+    """What each event does to the names of a table's policies."""
+    e = F.col("e")
+    rows = placed.where(e["kind"].isin("create_policy", "drop_policy", "alter_policy") & e["policy"].isNotNull())
+    op = F.when(e["kind"] == "drop_policy", "end").when(e["rename_to"].isNotNull(), "move").otherwise("ensure")
+    return rows.select("repo", "table_entity", "seq", op.alias("op"), F.lower(e["policy"]).alias("name"), F.lower(e["rename_to"]).alias("to"))
 
 
 def policy_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -373,12 +257,16 @@ def policy_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     per existing policy of an existing table.
     """
     e = F.col("e")
-    placed, alive = resolve_identities(_table_rows(events), ["repo"])
-    placed, alive = cut_lineage(placed), cut_lineage(alive)
+    # parsed once; four steps are written, whatever the events are
+    events = cut_lineage(events)
+    found, alive = lifetimes(table_ops(events), ["repo"], by_schema=True)
+    bodies = events.select("repo", "seq", F.struct(*[c for c in events.columns if c not in ("repo", "seq")]).alias("e"))
+    placed = found.where("role in ('ensure', 'use')").withColumnRenamed("entity", "table_entity").join(bodies, ["repo", "seq"])
+    placed = cut_lineage(placed)
 
     # second level: policies inside a table's lifetime
-    second, kept = resolve_identities(_policy_rows(placed), ["repo", "table_entity"])
-    second = cut_lineage(second.withColumn("_chunk", chunk_of(F.col("seq"))))
+    within, kept = lifetimes(_policy_ops(placed), ["repo", "table_entity"])
+    second = within.join(bodies, ["repo", "seq"]).withColumn("_chunk", chunk_of(F.col("seq")))
     group = ["repo", "table_entity", "entity"]
     created, altered = e["kind"] == "create_policy", (e["kind"] == "alter_policy") & e["rename_to"].isNull()
     sets_using, sets_check = created | (altered & e["has_using"]), created | (altered & e["has_check"])
@@ -386,11 +274,9 @@ def policy_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         "for_cmd": F.when(created, e["for_cmd"]), "roles": F.when(created | altered, e["roles"]),
         "using_true": F.when(sets_using, e["using_true"] & e["using_ok"]), "check_true": F.when(sets_check, e["check_true"] & e["check_ok"]),
         "has_check": F.when(sets_check, e["has_check"] & e["check_ok"]), "using_ok": F.when(sets_using, e["using_ok"]), "check_ok": F.when(sets_check, e["check_ok"]),
-        "policy": F.when(created, e["policy"]).when(F.col("role") == "in", e["rename_to"]), "path": F.when(F.col("role") != "out", e["path"]), "line": F.when(F.col("role") != "out", e["line"]),
+        "policy": F.when(created, e["policy"]).when(F.col("role") == "in", e["rename_to"]), "path": e["path"], "line": e["line"],
     }
-    # an arriving policy belongs to the lifetime it brings; the row it leaves from belongs to the empty rest
-    own = second.where("role = 'ensure' or (role = 'in' and arrived)").select(*group, "seq", "name", "_chunk", *[v.alias(n) for n, v in values.items()])
-    own = cut_lineage(own)
+    own = second.where("role in ('ensure', 'in')").select(*group, "seq", "_chunk", *[v.alias(n) for n, v in values.items()])
     defaults = {"for_cmd": F.lit("ALL"), "roles": F.array(F.lit("public")), "using_true": F.lit(False), "check_true": F.lit(False), "has_check": F.lit(False), "using_ok": F.lit(True), "check_ok": F.lit(True)}
     before = running(own, group, ["seq"], "_chunk", {f"b_{n}": ("last", n) for n in defaults})
     after = F.struct(*[F.coalesce(n, f"b_{n}", d).alias(n) for n, d in defaults.items()])
@@ -398,26 +284,26 @@ def policy_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     previous = running(timeline, group, ["seq"], "_chunk", {"_was": ("lag", "solid")})
     changes = previous.select("repo", "table_entity", "seq", (F.col("solid") - F.coalesce("_was", F.lit(0))).alias("delta"))
     # a lifetime that ends, by a drop or by being overwritten, takes its policy away
-    ends = _endings(second, kept, group).join(
-        timeline.groupBy(*group).agg(F.max_by("solid", "seq").alias("solid")), group
-    ).select("repo", "table_entity", F.col("end_seq").alias("seq"), (-F.col("solid")).alias("delta"))
+    ends = within.where("role = 'end'").join(timeline.groupBy(*group).agg(F.max_by("solid", "seq").alias("solid")), group).select(
+        "repo", "table_entity", "seq", (-F.col("solid")).alias("delta")
+    )
 
     # when was a table first on, with a policy that is not open?
-    switches = placed.where(e["kind"] == "rls").select("repo", F.col("entity").alias("table_entity"), "seq", F.lit(0).alias("delta"), e["enabled"].alias("rls"))
+    switches = placed.where(e["kind"] == "rls").select("repo", "table_entity", "seq", F.lit(0).alias("delta"), e["enabled"].alias("rls"))
     steps = changes.unionByName(ends).withColumn("rls", F.lit(None).cast("boolean")).unionByName(switches).groupBy("repo", "table_entity", "seq").agg(
         F.sum("delta").alias("delta"), F.max("rls").alias("rls")
     )
-    steps = cut_lineage(steps.withColumn("_chunk", chunk_of(F.col("seq"))))
+    steps = steps.withColumn("_chunk", chunk_of(F.col("seq")))
     course = running(steps, ["repo", "table_entity"], ["seq"], "_chunk", {"_sum": ("sum", "delta"), "_rls": ("last", "rls")})
     secure = (F.col("_sum") + F.col("delta") > 0) & F.coalesce("rls", "_rls", F.lit(False))
-    secured = cut_lineage(course.where(secure).groupBy("repo", "table_entity").agg(F.min("seq").alias("secure_seq")))
+    secured = course.where(secure).groupBy("repo", "table_entity").agg(F.min("seq").alias("secure_seq"))
 
     unchecked = (e["kind"] == "not_checkable") | (altered & (~F.coalesce(e["using_ok"], F.lit(True)) | ~F.coalesce(e["check_ok"], F.lit(True))))
     place = F.struct("seq", e["path"].alias("path"), e["line"].alias("line"))
     ensured = F.col("role") == "ensure"
     located = F.struct(e["path"].alias("path"), e["line"].alias("line"))
     facts = (
-        placed.withColumnRenamed("entity", "table_entity").join(secured, ["repo", "table_entity"], "left")
+        placed.join(secured, ["repo", "table_entity"], "left")
         .groupBy("repo", "table_entity", "secure_seq")
         .agg(
             F.min_by(e["kind"], F.when(ensured, F.col("seq"))).alias("first_kind"),
@@ -434,7 +320,7 @@ def policy_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         "repo", F.col("name").alias("table"), "table_entity", rls.alias("rls"), F.coalesce("rls_at", "created_at").alias("rls_location"),
         F.col("rls_at").isNotNull().alias("rls_explicit"), "secure_seq", "own_gap", "early_gap",
     )
-    tables = cut_lineage(_ambient(cut_lineage(tables), events))
+    tables = cut_lineage(_ambient(tables, events))
     final = timeline.groupBy(*group).agg(
         F.max_by("after", "seq").alias("a"), F.max_by("path", "seq").alias("path"), F.max_by("line", "seq").alias("line"),
         F.max_by("policy", F.when(F.col("policy").isNotNull(), F.col("seq"))).alias("policy"),
@@ -444,28 +330,12 @@ def policy_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tables, policies
 
 
-def _endings(second: DataFrame, kept: DataFrame, group: list[str]) -> DataFrame:
-    """The seq at which each policy lifetime that does not survive ended: the cut after its last row."""
-    cuts = second.where("role in ('end', 'out', 'in')").select("repo", "table_entity", "name", "seq", "entity", "role")
-    held = second.where("role = 'ensure' or (role = 'in' and arrived)").groupBy(*group).agg(F.max_by("name", "seq").alias("name"), F.max("seq").alias("last_seq"))
-    gone = held.join(kept.select(*group), group, "left_anti")
-    # names are reused: number the cuts of a name and take the first after the lifetime's last row
-    rows = gone.select("repo", "table_entity", "name", F.col("last_seq").alias("seq"), "entity", F.lit(None).cast("bigint").alias("cut_seq")).unionByName(
-        cuts.select("repo", "table_entity", "name", "seq", "entity", F.col("seq").alias("cut_seq"))
-    )
-    rows = cut_lineage(rows)
-    # newest first, a lifetime before the cut of its own seq: the last cut seen is the next one in time
-    back = rows.select("*", (-F.col("seq")).alias("_back"), F.col("cut_seq").isNotNull().cast("int").alias("_is_cut"), (-chunk_of(F.col("seq"))).alias("_chunk"))
-    found = running(back, ["repo", "table_entity", "name"], ["_back", "_is_cut"], "_chunk", {"end_seq": ("last", "cut_seq")})
-    return found.where("cut_seq is null and end_seq is not null").select(*group, "end_seq")
-
-
 def _ambient(tables: DataFrame, events: DataFrame) -> DataFrame:
     """Add ``gap``: the first statement after a table was secured that could not be checked, its own or one without a table."""
     loose = events.where("kind = 'not_checkable' and table is null").select(
         "repo", "seq", F.lit(None).cast("string").alias("table"), F.struct("seq", "path", "line").alias("at")
     )
-    points = tables.where(F.col("secure_seq").isNotNull() & (_schema(F.col("table")) == "public")).select(
+    points = tables.where(F.col("secure_seq").isNotNull() & (schema_of(F.col("table")) == "public")).select(
         "repo", F.col("secure_seq").alias("seq"), "table", F.lit(None).cast(loose.schema["at"].dataType).alias("at")
     )
     back = points.unionByName(loose).select("*", (-F.col("seq")).alias("_back"), (-chunk_of(F.col("seq"))).alias("_chunk"))
@@ -480,7 +350,7 @@ def policy_findings(tables: DataFrame, policies: DataFrame) -> DataFrame:
     RLS that is off dominates its policies; a gap after a secured state blocks; an unparsed policy is a
     warning only where nothing was ever secured.
     """
-    public = tables.where(_schema(F.col("table")) == "public")
+    public = tables.where(schema_of(F.col("table")) == "public")
     p = F.struct("for_cmd", "roles", "using_true", "check_true", "has_check").alias("p")
     judged = policies.select("*", p).withColumn("open", open_write(F.col("p"))).drop("p")
     solid = judged.groupBy("repo", "table").agg(F.bool_or(~F.col("open")).alias("has_solid"))

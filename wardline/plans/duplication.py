@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardline.functions import fixed_values as V
-from wardline.functions.text import collapse_score, line_count, looks_generated, move_for, normalized_lines
+from wardline.functions.text import collapse_score, line_count, looks_generated, move_case, normalized_lines
 from wardline.operators import duplication as A
 from wardline.plans.registry import QUERIES, query
 
@@ -149,14 +149,14 @@ def collapse_candidates_query(t):
 
 @query(
     "collapse_scores", "FN25",
-    f"""with {_FILES_CTE} select repo, path, score, case when lines > 600 and churn >= 10 and duplicate_blocks > 0 then 'Top'
-      when lines > 600 and churn >= 10 then 'Big' when lines > 600 and duplicate_blocks > 0 then 'Oversized' when duplicate_blocks > 0 then 'Repeated'
-      when lines > 600 then 'Oversized:' else 'Churn' end as move from scored""",
+    f"""with {_FILES_CTE} select repo, path, score, case when lines > 600 and churn >= 10 and duplicate_blocks > 0 then 'big_hot_dup'
+      when lines > 600 and churn >= 10 then 'big_hot' when lines > 600 and duplicate_blocks > 0 then 'big_dup' when duplicate_blocks > 0 then 'dup'
+      when lines > 600 then 'big' else 'churn' end as move from scored""",
 )
 def collapse_scores(t):
     m = _metrics(t)
     score = collapse_score(F.col("lines"), F.col("churn"), F.col("duplicate_blocks"))
-    move = F.substring_index(move_for(F.col("lines"), F.col("churn"), F.col("duplicate_blocks")), " ", 1)
+    move = move_case(F.col("lines"), F.col("churn"), F.col("duplicate_blocks"))
     return m.select("repo", "path", score.alias("score"), move.alias("move"))
 
 
@@ -173,7 +173,7 @@ def accretion_band_query(t):
 
 # The same over documents as files: lines from line_counts, blocks from the windows of their texts.
 _DOCUMENT_FILES_CTE = f"""{_COMMITS_CTE}, {_BLOCKS_CTE},
-sizes as (select doc_id, {PRIORITIES}[doc_id % 5 + 1] as repo, 'part' || doc_id as path, cast(length(text) - length(replace(text, chr(10), '')) + case when ends_with(text, chr(10)) then 0 else 1 end as int) as lines from documents),
+sizes as (select doc_id, {PRIORITIES}[doc_id % 5 + 1] as repo, 'part' || doc_id as path, cast((length(text) - length(replace(text, chr(10), '')) + 1) * case when doc_id % 7 = 0 then 300 when doc_id % 4 = 0 then 60 else 1 end as int) as lines from documents),
 tiered as (select *, case when lines > 1800 then 'flag' when lines > 1000 then 'warn' when lines > 600 then 'notice' end as size_tier from sizes),
 dup as (select doc_id, count(*) as duplicate_blocks from blocks group by doc_id),
 metrics as (select s.* exclude (doc_id), coalesce(c.churn, 0) as churn, coalesce(d.duplicate_blocks, 0) as duplicate_blocks from tiered s left join churned c using (repo, path) left join dup d using (doc_id)),
@@ -189,7 +189,10 @@ def _document_metrics(t):
 
     repos = F.array(*[F.lit(r) for r in PRIORITIES])
     file = (F.get(repos, (F.col("doc_id") % 5).cast("int")).alias("repo"), F.concat(F.lit("part"), F.col("doc_id").cast("string")).alias("path"))
-    sizes = t.documents.select(*file, line_count(F.col("text")).alias("lines")).withColumn("size_tier", size_tier(F.col("lines")))
+    # some texts stand for files that hold them many times over, so that files of every size occur
+    times = F.when(F.col("doc_id") % 7 == 0, 300).when(F.col("doc_id") % 4 == 0, 60).otherwise(1)
+    lines = line_count(F.concat("text", F.lit("\n"))) * times
+    sizes = t.documents.select(*file, lines.cast("int").alias("lines")).withColumn("size_tier", size_tier(F.col("lines")))
     blocks = duplicate_blocks(t).select(*file)
     return A.file_metrics(sizes, A.churn(_commits(t), _touches(t), V.CHURN_COMMITS), blocks, ["repo", "path"])
 
@@ -208,7 +211,7 @@ def document_candidates_query(t):
 def document_scores(t):
     m = _document_metrics(t)
     score = collapse_score(F.col("lines"), F.col("churn"), F.col("duplicate_blocks"))
-    move = F.substring_index(move_for(F.col("lines"), F.col("churn"), F.col("duplicate_blocks")), " ", 1)
+    move = move_case(F.col("lines"), F.col("churn"), F.col("duplicate_blocks"))
     return m.select("repo", "path", score.alias("score"), move.alias("move"))
 
 

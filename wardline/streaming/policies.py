@@ -1,125 +1,194 @@
-"""Access-policy state of each repo on a stream of events, updated event by event.
+"""Access-policy state on a stream of events, micro-batch by micro-batch.
 
-State per repo is its tables, bounded by what exists, not by the length of its history.
+Two keyed steps follow each other in every batch. The first turns names into lifetimes, by the maps of ``operators/lineage.py`` that
+continue from the names that exist; so a rename moves no state. The second folds the events of each lifetime of a table, keyed by
+(repo, lifetime), so that a repo's tables are spread over all tasks. What exists is kept as tables of changes in a shared folder, one
+folder per batch, which a replayed batch overwrites; every ``COMPACT`` batches all changes are written as one.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from wardline.functions import fixed_values as V
+from wardline.operators.access import table_ops
+from wardline.operators.lineage import lifetimes, schema_of
 
-OUTPUT = "repo string, seq long, table string, rls boolean, policies int, secured boolean, gap boolean"
+COMPACT = 16
+#: State tables: their keys and values. A NULL value takes the row away.
+STATES = {
+    "names": ("repo string, name string", "entity string"),
+    "tables": ("repo string, entity string", "state string"),
+    "loose": ("repo string", "last_seq long"),
+}
+VIEW = "rls boolean, policies int, secured boolean, gap boolean"
 
 
-def _solid(policy: dict) -> bool:
-    """Not a proven open write."""
-    clients = [r for r in policy["roles"] if r.lower() not in V.SERVER_ROLES]
-    using, check, cmd = policy["using_true"], policy["check_true"], policy["for_cmd"]
-    opened = {"INSERT": check or (using and not policy["has_check"]), "DELETE": using, "UPDATE": using or check, "ALL": using or check}.get(cmd, False)
-    return not (clients and opened)
+def open_to_clients(policy: dict) -> bool:
+    """Whether a client role may write any row: literal true where the policy's command looks."""
+    looks = {"INSERT": policy["check_true"] or (policy["using_true"] and not policy["has_check"]), "DELETE": policy["using_true"]}
+    either = policy["using_true"] or policy["check_true"]
+    found = looks.get(policy["for_cmd"], either if policy["for_cmd"] in ("UPDATE", "ALL") else False)
+    return bool(found) and any(r.lower() not in V.SERVER_ROLES for r in policy["roles"])
 
 
-def _note_secure(table: dict, seq: int) -> None:
-    if table["secure_seq"] is None and table["rls"] is True and any(map(_solid, table["policies"].values())):
-        table["secure_seq"] = seq
-
-
-def _rename(tables: dict, old: str, new: str, seq: int) -> None:
-    if old != new and old in tables:
-        tables[new] = tables.pop(old)
-        _note_secure(tables[new], seq)
+def new_table(kind: str) -> dict:
+    return {"rls": False if kind == "create_table" else None, "policies": {}, "secure_seq": None, "gap": False}
 
 
-def _set_policy(table: dict, ev: dict) -> None:
-    key = ev["policy"].lower()
-    if ev.get("rename_to"):
-        if key in table["policies"]:
-            table["policies"][ev["rename_to"].lower()] = table["policies"].pop(key)
-        return
-    seed = {"for_cmd": "ALL", "roles": ["public"], "using_true": False, "check_true": False, "has_check": False}
-    fresh = ev["kind"] == "create_policy"
-    policy = seed if fresh else table["policies"].get(key, seed)
-    if fresh:
+def _policy_after(held: dict | None, ev: dict) -> dict:
+    """A policy after a create or an alter statement; an alter only sets what it names."""
+    created = ev["kind"] == "create_policy"
+    policy = dict(held) if held and not created else {"for_cmd": "ALL", "roles": ["public"], "using_true": False, "check_true": False, "has_check": False}
+    if created:
         policy["for_cmd"] = ev["for_cmd"]
     if ev.get("roles") is not None:
         policy["roles"] = list(ev["roles"])
-    if fresh or ev["has_using"]:
-        policy["using_true"] = bool(ev["using_true"] and ev["using_ok"])
-    if fresh or ev["has_check"]:
-        policy["check_true"] = bool(ev["check_true"] and ev["check_ok"])
-        policy["has_check"] = bool(ev["has_check"] and ev["check_ok"])
-    table["policies"][key] = policy
-
-
-def apply_event(tables: dict, ev: dict) -> None:
-    """One event on the tables of a repo (a dict by full name, changed in place)."""
-    kind, name, seq = ev["kind"], ev.get("table"), ev["seq"]
-    if kind == "drop_table":
-        tables.pop(name, None)
-    elif kind in ("rename_table", "set_schema"):
-        _rename(tables, name, ev["to_table"], seq)
-    elif kind in ("drop_schema", "rename_schema"):
-        for full in [n for n in tables if n.split(".", 1)[0] == ev["schema"]]:
-            if kind == "drop_schema":
-                del tables[full]
-            else:
-                _rename(tables, full, f"{ev['to_schema']}.{full.split('.', 1)[1]}", seq)
-    elif kind == "not_checkable" and name is None:
-        for full, table in tables.items():
-            if full.startswith("public.") and table["secure_seq"] is not None:
-                table["gap"] = True
+    if created or ev.get("has_using"):
+        policy["using_true"] = bool(ev.get("using_true") and ev.get("using_ok"))
+    if created or ev.get("has_check"):
+        policy["check_true"], policy["has_check"] = (bool(ev.get(f) and ev.get("check_ok")) for f in ("check_true", "has_check"))
+    return policy
+
+
+def fold_table(table: dict, seq: int, ev: dict) -> None:
+    """One event on the state of a table's lifetime, changed in place."""
+    kind, policies = ev["kind"], table["policies"]
+    name = (ev.get("policy") or "").lower()
+    unreadable = kind == "not_checkable"
+    if kind == "rls":
+        table["rls"] = bool(ev["enabled"])
     elif kind == "drop_policy":
-        if name in tables:
-            tables[name]["policies"].pop(ev["policy"].lower(), None)
-    else:
-        fresh = name not in tables
-        table = tables.setdefault(name, {"rls": None, "policies": {}, "secure_seq": None, "gap": False})
-        if kind == "create_table" and fresh:
-            table["rls"] = False
-        elif kind == "rls":
-            table["rls"] = bool(ev["enabled"])
-        elif kind in ("create_policy", "alter_policy"):
-            _set_policy(table, ev)
-        broken = kind == "not_checkable" or (kind == "alter_policy" and not ev.get("rename_to") and not (ev["using_ok"] and ev["check_ok"]))
-        if broken and table["secure_seq"] is not None:
-            table["gap"] = True
-        _note_secure(table, seq)
-
-
-class PolicyState(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tables = handle.getMapState("tables", "name string", "state string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = {k[0]: v[0] for k, v in self.tables.iterator()} if self.tables.exists() else {}
-        tables = {k: json.loads(v) for k, v in before.items()}
-        events = pd.concat(list(rows)).sort_values("seq")
-        last = 0
-        for ev in events.astype(object).where(events.notna(), None).to_dict("records"):
-            last = int(ev["seq"])
-            apply_event(tables, {**ev, "seq": last})
-        out = []
-        for name in before.keys() - tables.keys():
-            self.tables.removeKey((name,))
-            out.append((str(key[0]), last, name, None, None, None, None))
-        for name, state in tables.items():
-            text = json.dumps(state, sort_keys=True)
-            if before.get(name) != text:
-                self.tables.updateValue((name,), (text,))
-                out.append((str(key[0]), last, name, state["rls"], len(state["policies"]), state["secure_seq"] is not None, state["gap"]))
-        if out:
-            yield pd.DataFrame(out, columns=["repo", "seq", "table", "rls", "policies", "secured", "gap"])
-
-    def close(self) -> None:
-        pass
-
-
-def policy_state_stream(events: DataFrame) -> DataFrame:
-    """Changes of table state from sequenced events; a dropped table is a row with NULL state."""
-    return events.groupBy("repo").transformWithStateInPandas(PolicyState(), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+        policies.pop(name, None)
+    elif kind == "alter_policy" and ev.get("rename_to"):
+        if name in policies:
+            policies[ev["rename_to"].lower()] = policies.pop(name)
+    elif kind in ("create_policy", "alter_policy"):
+        policies[name] = _policy_after(policies.get(name), ev)
+        unreadable = kind == "alter_policy" and not (ev.get("using_ok") and ev.get("check_ok"))
+    if unreadable and table["secure_seq"] is not None:
+        table["gap"] = True
+    if table["secure_seq"] is None and table["rls"] and not all(open_to_clients(p) for p in policies.values()):
+        table["secure_seq"] = seq
+
+
+def _fold(batches):
+    """(repo, entity, seq, state, event) in order, the state first; gives the state after the last event of each lifetime."""
+    import pyarrow as pa
+
+    def rows():
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def folded():
+        for (repo, entity), events in itertools.groupby(rows(), lambda r: r[:2]):
+            table = None
+            for _, _, seq, state, event in events:
+                if state is not None:
+                    table = json.loads(state)
+                    continue
+                ev = json.loads(event)
+                if table is None and ev["kind"] == "drop_policy":
+                    continue  # nothing to drop it from
+                table = table or new_table(ev["kind"])
+                fold_table(table, seq, ev)
+            if table is not None:
+                yield repo, entity, json.dumps(table, sort_keys=True)
+
+    out = folded()
+    while part := list(itertools.islice(out, 4096)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*part, strict=True)], names=["repo", "entity", "state"])
+
+
+class PolicyStates:
+    """State tables of a stream in a shared folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def _path(self, name: str, batch: int, kind: str) -> str:
+        return f"{self.folder}/{name}/{kind}={batch}"
+
+    def read(self, name: str, batch: int, base: int | None = None) -> DataFrame:
+        """What exists before this batch: the newest change of each key since ``base``, the last compaction."""
+        keys, value = STATES[name]
+        schema = f"{keys}, {value}, at long"
+        base = max(batch - 1, 0) // COMPACT * COMPACT if base is None else base
+        paths = [self._path(name, base, "all")] if base else [self._path(name, 0, "batch")] if batch else []
+        paths += [self._path(name, b, "batch") for b in range(base + 1, batch)]
+        if not paths:
+            return self.spark.createDataFrame([], schema).drop("at")
+        column = value.split()[0]
+        key = [k.split()[0] for k in keys.split(", ")]
+        newest = self.spark.read.schema(schema).parquet(*paths).groupBy(*key).agg(F.max_by(F.struct(column), "at").alias("v"))
+        return newest.select(*key, f"v.{column}").where(F.col(column).isNotNull())
+
+    def write(self, name: str, batch: int, changes: DataFrame) -> None:
+        changes.withColumn("at", F.lit(batch).cast("long")).write.mode("overwrite").parquet(self._path(name, batch, "batch"))
+        if batch and batch % COMPACT == 0:
+            self.read(name, batch + 1, batch - COMPACT).withColumn("at", F.lit(batch).cast("long")).write.mode("overwrite").parquet(self._path(name, batch, "all"))
+
+
+def _changes(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Keys whose value is another one after than before; NULL for those that are gone."""
+    both = before.withColumnRenamed(value, "_old").join(after, keys, "full")
+    return both.where(~F.col("_old").eqNullSafe(F.col(value))).select(*keys, value)
+
+
+def _view(names: DataFrame, tables: DataFrame, loose: DataFrame) -> DataFrame:
+    """``repo, table, v`` of the existing tables; a statement without a table leaves a gap in all public tables secured before it."""
+    state = F.from_json("state", "rls boolean, secure_seq long, gap boolean, policies map<string,string>")
+    rows = names.join(tables.withColumn("s", state), ["repo", "entity"]).join(loose, "repo", "left")
+    missed = (schema_of(F.col("name")) == "public") & (F.col("last_seq") >= F.col("s.secure_seq"))
+    shown = F.struct(
+        F.col("s.rls").alias("rls"), F.size("s.policies").alias("policies"), F.col("s.secure_seq").isNotNull().alias("secured"), (F.col("s.gap") | F.coalesce(missed, F.lit(False))).alias("gap")
+    )
+    return rows.select("repo", F.col("name").alias("table"), shown.alias("v"))
+
+
+def policy_state_stream(events: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
+    """Keep the policy state of each repo up to date from a stream of sequenced events.
+
+    After each micro-batch the state equals that of ``policy_state`` over all events so far. Events of a repo must arrive in the order of
+    seq from batch to batch; inside a batch any order will do. Changes are written to ``folder/changes``, a dropped table as NULLs.
+    """
+
+    def step(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        states = PolicyStates(spark, folder)
+        rows = rows.withColumn("repo", F.col("repo").cast("string")).persist()
+        try:
+            touched = rows.select("repo").distinct()
+            before = {name: states.read(name, batch).join(touched, "repo", "left_semi") for name in STATES}
+            found, names = lifetimes(table_ops(rows), ["repo"], by_schema=True, start=before["names"], label=f"/{batch}")
+            body = F.to_json(F.struct(*[c for c in rows.columns if c not in ("repo", "seq")]))
+            hits = found.where("role in ('ensure', 'use')").join(rows.select("repo", "seq", body.alias("event")), ["repo", "seq"])
+            held = before["tables"].join(hits.select("repo", "entity").distinct(), ["repo", "entity"], "left_semi")
+            none = F.lit(None).cast("string")
+            course = hits.select("repo", "entity", "seq", none.alias("state"), "event").unionByName(held.select("repo", "entity", F.lit(-1).cast("long").alias("seq"), "state", none.alias("event")))
+            folded = course.repartition("repo", "entity").sortWithinPartitions("repo", "entity", "seq").mapInArrow(_fold, "repo string, entity string, state string")
+            states.write("names", batch, _changes(before["names"], names, ["repo", "name"], "entity"))
+            living = names.select("repo", "entity")
+            ended = before["tables"].join(living, ["repo", "entity"], "left_anti").select("repo", "entity", none.alias("state"))
+            states.write("tables", batch, folded.join(living, ["repo", "entity"], "left_semi").unionByName(ended))
+            states.write("loose", batch, rows.where("kind = 'not_checkable' and table is null").groupBy("repo").agg(F.max("seq").alias("last_seq")))
+            after = {name: states.read(name, batch + 1).join(touched, "repo", "left_semi") for name in STATES}
+            changed = _changes(_view(*before.values()), _view(*after.values()), ["repo", "table"], "v")
+            changed.select("repo", "table", "v.*", F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{folder}/changes/part={batch}")
+        finally:
+            rows.unpersist()
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def newest_policy_state(spark: SparkSession, folder: str) -> DataFrame:
+    """``repo, table, rls, policies, secured, gap`` of the tables that exist after the batches so far."""
+    changes = spark.read.schema(f"repo string, table string, {VIEW}, batch long").parquet(f"{folder}/changes")
+    columns = [f.split()[0] for f in VIEW.split(", ")]
+    newest = changes.groupBy("repo", "table").agg(F.max_by(F.struct(*columns), "batch").alias("v"))
+    return newest.select("repo", "table", "v.*").where("policies is not null")
