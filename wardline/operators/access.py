@@ -261,8 +261,9 @@ def policy_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     events = cut_lineage(events)
     found, alive = lifetimes(table_ops(events), ["repo"], by_schema=True)
     bodies = events.select("repo", "seq", F.struct(*[c for c in events.columns if c not in ("repo", "seq")]).alias("e"))
-    placed = found.where("role in ('ensure', 'use')").withColumnRenamed("entity", "table_entity").join(bodies, ["repo", "seq"])
-    placed = cut_lineage(placed)
+    touched = found.where("role in ('ensure', 'use')").join(bodies, ["repo", "seq"]).select("repo", F.col("entity").alias("table_entity"), "seq", "role", "e")
+    level = cut_lineage(touched.unionByName(alive.select("repo", F.col("entity").alias("table_entity"), "name"), allowMissingColumns=True))
+    placed, alive = level.where("role is not null").drop("name"), level.where("role is null").select("repo", "table_entity", "name")
 
     # second level: policies inside a table's lifetime
     within, kept = lifetimes(_policy_ops(placed), ["repo", "table_entity"])
@@ -280,12 +281,16 @@ def policy_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     defaults = {"for_cmd": F.lit("ALL"), "roles": F.array(F.lit("public")), "using_true": F.lit(False), "check_true": F.lit(False), "has_check": F.lit(False), "using_ok": F.lit(True), "check_ok": F.lit(True)}
     before = running(own, group, ["seq"], "_chunk", {f"b_{n}": ("last", n) for n in defaults})
     after = F.struct(*[F.coalesce(n, f"b_{n}", d).alias(n) for n, d in defaults.items()])
-    timeline = cut_lineage(before.withColumn("after", after).withColumn("solid", (~open_write(F.col("after"))).cast("int")))
+    course = before.withColumn("after", after).withColumn("solid", (~open_write(F.col("after"))).cast("int"))
+    closed = within.where("role = 'end'").select(*group, F.col("seq").alias("end_seq"))
+    level = cut_lineage(course.unionByName(closed, allowMissingColumns=True).unionByName(kept.select(*group, "name"), allowMissingColumns=True))
+    timeline = level.where("seq is not null").drop("end_seq", "name")
+    closed, kept = level.where("end_seq is not null").select(*group, "end_seq"), level.where("name is not null").select(*group, "name")
     previous = running(timeline, group, ["seq"], "_chunk", {"_was": ("lag", "solid")})
     changes = previous.select("repo", "table_entity", "seq", (F.col("solid") - F.coalesce("_was", F.lit(0))).alias("delta"))
     # a lifetime that ends, by a drop or by being overwritten, takes its policy away
-    ends = within.where("role = 'end'").join(timeline.groupBy(*group).agg(F.max_by("solid", "seq").alias("solid")), group).select(
-        "repo", "table_entity", "seq", (-F.col("solid")).alias("delta")
+    ends = closed.join(timeline.groupBy(*group).agg(F.max_by("solid", "seq").alias("solid")), group).select(
+        "repo", "table_entity", F.col("end_seq").alias("seq"), (-F.col("solid")).alias("delta")
     )
 
     # when was a table first on, with a policy that is not open?
@@ -314,7 +319,7 @@ def policy_state(events: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.min(F.when((e["kind"] == "not_checkable") & (F.col("secure_seq").isNull() | (F.col("seq") < F.col("secure_seq"))), place)).alias("early_gap"),
         )
     )
-    tables = alive.withColumnRenamed("entity", "table_entity").join(facts, ["repo", "table_entity"])
+    tables = alive.join(facts, ["repo", "table_entity"])
     rls = F.coalesce("rls_set", F.when(F.col("first_kind") == "create_table", F.lit(False)))
     tables = tables.select(
         "repo", F.col("name").alias("table"), "table_entity", rls.alias("rls"), F.coalesce("rls_at", "created_at").alias("rls_location"),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +49,20 @@ def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema.add("batch", T.IntegerType())).parquet(f"{folder}/out")
 
 
+def arriving(rows: DataFrame, part: Column, parts: int, folder: str) -> DataFrame:
+    """The rows as a stream of one file, and so one micro-batch, for each value of ``part`` from 0 on."""
+    spark = rows.sparkSession
+    rows.withColumn("_part", part.cast("int")).repartition(parts, "_part").write.partitionBy("_part").parquet(f"{folder}/dealt")
+    for k in range(parts):
+        spark.read.schema(rows.schema).parquet(f"{folder}/dealt/_part={k}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def shuffled(*keys: str) -> Column:
+    """A number from 0 to 99 that looks like chance."""
+    return F.pmod(F.xxhash64(*keys), F.lit(100))
+
+
 @query(
     "stream_gate", "ST1",
     "with " + _pii_cte("documents") + " select doc_id, case when doc_id in (select doc_id from pii) then 'REDACT' else 'PASS' end as action, length(text) as source_chars, doc_id in (select doc_id from pii) as changed from documents",
@@ -61,23 +76,29 @@ def stream_gate(t):
 
 @query(
     "stream_payloads", "ST2",
-    """with m as (select conv_id, max(turn) as last from conversations group by conv_id), c as (select conv_id, turn, strlen(text) as n, turn = last and conv_id % 4 <> 0 as is_end from conversations join m using (conv_id)),
-    s as (select *, sum(n) over (partition by conv_id order by turn) as total, lag(turn) over (partition by conv_id order by turn) as prev from c),
-    g as (select conv_id, min(turn) filter (turn > 0 and turn % 5 = 4 and conv_id % 3 = 0) as idle_turn, min(turn) filter (total > 2000) as cap_turn, max(turn) as last, sum(n) as bytes from s group by conv_id)
-    select cast(conv_id as varchar) as payload_id, case when idle_turn is not null and (cap_turn is null or idle_turn <= cap_turn) then 'idle' when cap_turn is not null then 'max-bytes' end as reason,
-      cap_turn is not null or idle_turn is not null as truncated from g where conv_id % 4 <> 0 or cap_turn is not null or idle_turn is not null""",
+    """with m as (select conv_id, max(turn) as last from conversations group by conv_id), c as (select conv_id, turn, text, strlen(text) as n, turn = last and conv_id % 4 <> 0 as is_end from conversations join m using (conv_id)),
+    s as (select *, sum(n) over (partition by conv_id order by turn) as total from c),
+    g as (select conv_id, min(turn) filter (turn > 0 and turn % 5 = 4 and conv_id % 3 = 0) as idle_turn, min(turn) filter (total > 2000) as cap_turn from s group by conv_id),
+    w as (select conv_id, case when idle_turn is not null and (cap_turn is null or idle_turn <= cap_turn) then 'idle' when cap_turn is not null then 'max-bytes' end as reason, idle_turn from g where conv_id % 4 <> 0 or cap_turn is not null or idle_turn is not null),
+    t as (select conv_id, reason, string_agg(text, '' order by turn) as body from w join c using (conv_id) where reason is null or reason = 'max-bytes' or turn < idle_turn group by conv_id, reason)
+    select cast(w.conv_id as varchar) as payload_id, w.reason as reason, w.reason is not null as truncated, cast(case when w.reason = 'max-bytes' then 2000 else strlen(coalesce(body, '')) end as bigint) as bytes,
+      case when w.reason = 'max-bytes' then left(hex(encode(body)), 4000) else hex(encode(coalesce(body, ''))) end as content from w left join t using (conv_id)""",
 )
 def stream_payloads(t):
     last = t.conversations.groupBy("conv_id").agg(F.max("turn").alias("last"))
     # turns follow each other by one second; in every third conversation turn 4 comes after a long silence
     pause = F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") >= 4), 40).otherwise(0)
-    shaped = stream_of(t, "conversations").join(last, "conv_id").select(
+    shaped = t.conversations.join(last, "conv_id").select(
         F.col("conv_id").cast("string").alias("payload_id"), F.col("turn").alias("seq"), F.encode("text", "UTF-8").alias("data"),
         ((F.col("turn") == F.col("last")) & (F.col("conv_id") % 4 != 0)).alias("is_end"),
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") + pause).alias("ts"),
     )
-    out = drain(assemble_payloads(shaped, max_bytes=2000, lateness="1 hour"), scratch(t.spark))
-    return out.select("payload_id", "reason", "truncated")
+    folder = scratch(t.spark)
+    # chunks come in any order over six micro-batches, and some of them twice
+    twice = shaped.unionByName(shaped.where(shuffled("payload_id", "seq") < 10))
+    chunks = arriving(twice, F.floor(F.rand(5) * 6), 6, folder)
+    out = drain(assemble_payloads(chunks, max_bytes=2000, lateness="1 hour"), folder)
+    return out.select("payload_id", "reason", "truncated", "bytes", F.hex("content").alias("content"))
 
 
 @query("stream_ledger", "ST3", f"with {_LEDGER_SQL} select repo, day, views, 1 as copies from totals")
@@ -93,10 +114,12 @@ def stream_ledger(t):
 
 @query("stream_retention", "ST5", f"with {_RETENTION_SQL} select user_id, kind from kinds where kind <> 'unknown-shape'")
 def stream_retention(t):
-    stamps = stream_of(t, "events").where("event_type = 'purchase'")
-    out = drain(retention_stream(stamps, "user_id"), scratch(t.spark), "update")
+    folder = scratch(t.spark)
+    stamps = t.events.where("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    stream = arriving(stamps, F.floor(shuffled("event_id") * 6 / 100), 6, folder)
+    out = drain(retention_stream(stream, "user_id", "1000 days"), folder, "update")
     # the newest update of a key is its answer
-    return out.groupBy("user_id").agg(F.max_by("kind", "batch").alias("kind"))
+    return out.groupBy(F.col("key").cast("bigint").alias("user_id")).agg(F.max_by("kind", "batch").alias("kind"))
 
 
 @query(
@@ -108,11 +131,20 @@ def stream_retention(t):
     from last l left join since s using (user_id), now""",
 )
 def stream_session_weight(t):
-    activity = stream_of(t, "events").select(
-        "user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "view").cast("bigint").alias("commits"),
+    activity = t.events.select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "view").cast("bigint").alias("commits"),
         F.when(F.col("event_type") == "click", F.col("value")).otherwise(0.0).alias("lines"), (F.col("event_type") == "purchase").alias("is_savepoint"),
     )
-    out = drain(session_weight_stream(activity, "user_id"), scratch(t.spark), "update")
-    newest = out.groupBy("key").agg(F.max_by(F.struct("saved_at", "commits", "lines"), "batch").alias("s")).select("key", "s.*")
-    now = t.events.agg(F.max("ts")).scalar()
-    return weigh(newest, now).select("key", "commits", F.round("lines", 2).alias("lines"), "band")
+    now, first = t.events.agg(F.max("ts").cast("timestamp"), F.min("ts").cast("timestamp")).first()
+    # seven micro-batches by time; a third of the rows comes one or two batches late
+    span = (now - first).total_seconds() / 7
+    late = F.when(shuffled("event_id") < 33, shuffled("event_id", "user_id") % 2 + 1).otherwise(0)
+    part = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(first))) / 1e6 / span)
+    folder = scratch(t.spark)
+    # one row long after all others lets the last ones fall due
+    closing = t.spark.createDataFrame([(-1, -1, now + dt.timedelta(days=4000), 0, 0.0, False)], activity.schema)
+    rows = activity.withColumn("_p", F.least(part + late, F.lit(6))).unionByName(closing.withColumn("_p", F.lit(7).cast("bigint")))
+    stream = arriving(rows, F.col("_p"), 8, folder).drop("_p")
+    out = drain(session_weight_stream(stream, "user_id", f"{int(span * 4)} seconds"), folder)
+    newest = out.groupBy("key").agg(F.max_by(F.struct("saved_at", "commits", "lines"), "at").alias("s")).select("key", "s.*")
+    return weigh(newest, F.lit(now)).select("key", "commits", F.round("lines", 2).alias("lines"), "band")

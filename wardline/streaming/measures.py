@@ -12,6 +12,8 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 from wardline.functions.text import iso_week_id
 from wardline.operators.activity import append_ledger, weight_band
 
+DAY_MS = 24 * 3600 * 1000
+
 
 def ledger_stream(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Append ledger rows once per (repo, measurement day, traffic day), also when a batch is replayed."""
@@ -22,39 +24,110 @@ def ledger_stream(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWrit
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def retention_stream(stamps: DataFrame, key: str) -> DataFrame:
-    """Install or retained per key, kept as the first and the last ISO week seen: two values of state."""
-    weeks = stamps.groupBy(key).agg(F.min(iso_week_id(F.col("ts"))).alias("first_week"), F.max(iso_week_id(F.col("ts"))).alias("last_week"))
-    return weeks.withColumn("kind", F.when(F.col("first_week") == F.col("last_week"), "install").otherwise("retained"))
+class Retention(StatefulProcessor):
+    """The first and the last week of a key; forgotten after a silence."""
+
+    def __init__(self, silence_ms: int):
+        self.silence_ms = silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.weeks = handle.getValueState("weeks", "first string, last string, seen_ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self.weeks.get() if self.weeks.exists() else None
+        first, last, seen = before or (None, None, 0)
+        for pdf in rows:
+            low, high = pdf["week"].min(), pdf["week"].max()
+            first, last = min(first or low, low), max(last or high, high)
+            seen = max(seen, int(pdf["ts_ms"].max()))
+        if before is None or seen != before[2]:
+            self.handle.registerTimer(seen + self.silence_ms)
+        self.weeks.update((first, last, seen))
+        if before is None or (first, last) != tuple(before[:2]):
+            yield pd.DataFrame({"key": [str(key[0])], "first_week": [first], "last_week": [last]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.weeks.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.weeks.get()[2] + self.silence_ms:
+            self.weeks.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def retention_stream(stamps: DataFrame, key: str, lateness: str = "7 days", silence_days: int = 3660) -> DataFrame:
+    """Install or retained per key from ``(<key>, ts)``, from the first and the last ISO week seen, in any order of arrival.
+
+    A row is given whenever a key's weeks change; its state goes after ``silence_days`` without a stamp.
+    """
+    weeks = stamps.select(key, "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), iso_week_id(F.col("ts")).alias("week")).withWatermark("ts", lateness).groupBy(key)
+    found = weeks.transformWithStateInPandas(
+        Retention(silence_days * DAY_MS), outputStructType="key string, first_week string, last_week string", outputMode="Update", timeMode="EventTime"
+    )
+    return found.withColumn("kind", F.when(F.col("first_week") == F.col("last_week"), "install").otherwise("retained"))
 
 
 class SessionWeight(StatefulProcessor):
-    """Work since the last save-point of a key; a save-point resets it."""
+    """Work since the last save-point of a key; a save-point resets it.
+
+    Activity waits in a map by its time, added up, until the watermark says that nothing earlier can come; a timer then folds what is
+    due in order of time.
+    """
+
+    def __init__(self, silence_ms: int):
+        self.silence_ms = silence_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", "saved_at timestamp, commits long, lines double")
+        self.handle = handle
+        self.totals = handle.getValueState("totals", "saved_us long, at_us long, commits long, lines double")
+        self.waiting = handle.getMapState("waiting", "at_us long", "mark boolean, commits long, lines double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        saved, commits, lines = self.totals.get() if self.totals.exists() else (None, 0, 0.0)
-        pdf = pd.concat(list(rows))
-        marks = pdf.loc[pdf["is_savepoint"], "ts"]
-        if len(marks) and (saved is None or marks.max() > pd.Timestamp(saved)):
-            saved, commits, lines = marks.max(), 0, 0.0
-        if saved is not None:
-            work = pdf[(~pdf["is_savepoint"]) & (pdf["ts"] > pd.Timestamp(saved))]
-            commits, lines = int(commits + work["commits"].sum()), float(lines + work["lines"].sum())
-            self.totals.update((pd.Timestamp(saved).to_pydatetime(), commits, lines))
-            yield pd.DataFrame({"key": [str(key[0])], "saved_at": [pd.Timestamp(saved)], "commits": [commits], "lines": [lines]})
+        for pdf in rows:
+            for us, mark, commits, lines in zip(pdf["at_us"], pdf["is_savepoint"], pdf["commits"], pdf["lines"], strict=True):
+                if self.waiting.exists() and self.waiting.containsKey((us,)):
+                    held = self.waiting.getValue((us,))
+                    mark, commits, lines = bool(mark or held[0]), commits + held[1], lines + held[2]
+                else:
+                    self.handle.registerTimer(-(-int(us) // 1000))
+                self.waiting.updateValue((int(us),), (bool(mark), int(commits), float(lines)))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        saved, last, commits, lines = self.totals.get() if self.totals.exists() else (None, None, 0, 0.0)
+        due = sorted((k[0], tuple(v)) for k, v in self.waiting.iterator() if k[0] <= now_us) if self.waiting.exists() else []
+        for at, (mark, more_commits, more_lines) in due:
+            self.waiting.removeKey((at,))
+            last = at
+            if mark:
+                saved, commits, lines = at, 0, 0.0
+            elif saved is not None:
+                commits, lines = commits + more_commits, lines + more_lines
+        if due:
+            self.totals.update((saved, last, commits, lines))
+            self.handle.registerTimer(last // 1000 + 1 + self.silence_ms)
+            if saved is not None:
+                yield pd.DataFrame({"key": [str(key[0])], "at": [last], "saved_at": [saved], "commits": [commits], "lines": [lines]})
+        elif last is not None and now_us >= last + self.silence_ms * 1000:
+            self.totals.clear()
 
     def close(self) -> None:
         pass
 
 
-def session_weight_stream(activity: DataFrame, key: str) -> DataFrame:
-    """Running totals since the last save-point from ``(<key>, ts, commits, lines, is_savepoint)``, in order of time."""
-    return activity.groupBy(key).transformWithStateInPandas(
-        SessionWeight(), outputStructType="key string, saved_at timestamp, commits long, lines double", outputMode="Update", timeMode="None"
+def session_weight_stream(activity: DataFrame, key: str, lateness: str = "1 day", silence_days: int = 3660) -> DataFrame:
+    """Totals since the last save-point from ``(<key>, ts, commits, lines, is_savepoint)``, in any order of arrival within ``lateness``.
+
+    A row ``key, at, saved_at, commits, lines`` is given whenever activity is folded; the one with the greatest ``at`` is a key's newest.
+    Work at the very time of a save-point belongs to it. State goes after ``silence_days`` without activity.
+    """
+    timed = activity.withColumn("at_us", F.unix_micros(F.col("ts").cast("timestamp"))).withWatermark("ts", lateness)
+    folded = timed.groupBy(key).transformWithStateInPandas(
+        SessionWeight(silence_days * DAY_MS), outputStructType="key string, at long, saved_at long, commits long, lines double", outputMode="Append", timeMode="EventTime"
     )
+    return folded.withColumns({c: F.timestamp_micros(c) for c in ("at", "saved_at")})
 
 
 def weigh(totals: DataFrame, now) -> DataFrame:

@@ -162,10 +162,13 @@ def policy_state_stream(events: DataFrame, folder: str, checkpoint: str) -> Data
         spark = rows.sparkSession
         states = PolicyStates(spark, folder)
         rows = rows.withColumn("repo", F.col("repo").cast("string")).persist()
+        kept = [rows]
         try:
             touched = rows.select("repo").distinct()
             before = {name: states.read(name, batch).join(touched, "repo", "left_semi") for name in STATES}
             found, names = lifetimes(table_ops(rows), ["repo"], by_schema=True, start=before["names"], label=f"/{batch}")
+            found, names = found.persist(), names.persist()
+            kept += [found, names]
             body = F.to_json(F.struct(*[c for c in rows.columns if c not in ("repo", "seq")]))
             hits = found.where("role in ('ensure', 'use')").join(rows.select("repo", "seq", body.alias("event")), ["repo", "seq"])
             held = before["tables"].join(hits.select("repo", "entity").distinct(), ["repo", "entity"], "left_semi")
@@ -181,7 +184,8 @@ def policy_state_stream(events: DataFrame, folder: str, checkpoint: str) -> Data
             changed = _changes(_view(*before.values()), _view(*after.values()), ["repo", "table"], "v")
             changed.select("repo", "table", "v.*", F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{folder}/changes/part={batch}")
         finally:
-            rows.unpersist()
+            for frame in kept:
+                frame.unpersist()
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
