@@ -8,7 +8,9 @@ depends on which of its failing filters comes first.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import permutations
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,13 +52,21 @@ def earlier_copies(docs: DataFrame, counted: DataFrame) -> DataFrame:
     rows share are dealt by doc_id over ``SALTS`` parts, each of which meets a copy of that one row.
     """
     total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
-    hot = F.broadcast(counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > total / HOT_SHARE).select("h", F.lit(True).alias("hot")))
-    left = _hashed(docs, ["part", "doc_id", "h", "g", "text"]).where(F.col("doc_id").isNotNull()).join(hot, "h", "left")
-    left = left.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("hot")
-    least = _hashed(docs, ["doc_id", "h", "text"]).groupBy("h", "text").agg(F.min("doc_id").alias("least")).join(hot, "h", "left")
-    right = least.select("h", "text", "least", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    same = (left["h"] == right["h"]) & (left["salt"] == right["salt"]) & (left["text"] == right["text"])
-    return left.join(right, same & (right["least"] < left["doc_id"]), "left_semi").select("part", "doc_id", "h", "g")
+    hot = F.broadcast(counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > total / HOT_SHARE).select("h"))
+    left = _hashed(docs, ["part", "doc_id", "h", "g", "text"]).where(F.col("doc_id").isNotNull())
+    least = lambda rows: rows.groupBy("h", "text").agg(F.min("doc_id").alias("least"))
+    right = _hashed(docs, ["doc_id", "h", "text"])
+    # the other texts meet by (h, text), as their least ids were found, so that a text moves once for either side
+    found = left.join(hot, "h", "left_anti").alias("l").join(least(right.join(hot, "h", "left_anti")).alias("r"), _same("h", "text"), "left_semi")
+    dealt = left.join(hot, "h", "left_semi").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    copies = least(right.join(hot, "h", "left_semi")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found_hot = dealt.alias("l").join(copies.alias("r"), _same("h", "salt", "text"), "left_semi")
+    return found.unionByName(found_hot.drop("salt")).select("part", "doc_id", "h", "g")
+
+
+def _same(*columns: str) -> Column:
+    equal = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in columns]
+    return reduce(and_, equal) & (F.col("r.least") < F.col("l.doc_id"))
 
 
 def combinations(docs: DataFrame, labels: DataFrame) -> DataFrame:
