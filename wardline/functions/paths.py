@@ -163,8 +163,8 @@ def glob_regex(pattern: Column) -> Column:
     )
 
 
-def glob_literal(pattern: str) -> str:
-    """The regular expression of a glob known when the query is written (compiled once)."""
+def glob_literal(pattern: str, dot: str = ".", end: str = r"\z") -> str:
+    """The regular expression of a glob known when the query is written (compiled once); ``dot`` and ``end`` in the dialect at hand."""
     pat = re.sub(r"^\./", "", pattern.replace("\\", "/"))
     if not pat:
         return "(?!)"
@@ -172,10 +172,10 @@ def glob_literal(pattern: str) -> str:
         pat += "**"
     quote = lambda s: re.sub(r"([.+*?^${}()|\[\]\\])", r"\\\1", s)
     if pat.endswith("/**"):
-        return "(?s).*" if pat == "/**" else "(?s)^" + quote(pat[:-3]) + r"(?:/.*)?\z"
-    pieces = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+        return "(?s).*" if pat == "/**" else "(?s)^" + quote(pat[:-3]) + "(?:/.*)?" + end
+    pieces = {"**/": f"(?:{dot}*/)?", "**": f"{dot}*", "*": "[^/]*", "?": "[^/]"}
     body = "".join(pieces.get(t) or quote(t) for t in re.findall(r"\*\*/|\*\*|\*|\?|[^*?]+", pat))
-    return "^" + body + r"\z"
+    return "^" + body + end
 
 
 def glob_match(path: Column, pattern: Column | str) -> Column:
@@ -184,11 +184,6 @@ def glob_match(path: Column, pattern: Column | str) -> Column:
     return F.rlike(slashes(path), glob_regex(pattern))
 
 
-def first_glob(path: Column, patterns: Column) -> Column:
-    """The first glob of an array column that matches, else NULL."""
-    return F.get(F.filter(patterns, lambda g: F.rlike(slashes(path), glob_regex(g))), F.lit(0))
-
-
 # --- routing of paths ---------------------------------------------------------------
 
 

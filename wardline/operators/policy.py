@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import fixed_values as V
-from wardline.functions.paths import first_glob
 from wardline.functions.text import valid_json
+from wardline.operators.globs import first_globs
 from wardline.session import broadcast_if_small
 
 IGNORE_SCHEMA = (
@@ -110,7 +110,7 @@ def builtin_reason(raw: Column, pattern_id: Column) -> Column:
 def allow_decision(hits: DataFrame, policies: DataFrame) -> DataFrame:
     """Add ``allowed`` and ``reason`` to hits of ``(repo, path, pattern_id, raw, auth_id)``.
 
-    Policies hold one row per repo, so this is one equi join whatever the number of rules;
+    Policies hold one row per repo, and paths meet their globs by what a glob fixes;
     the order is built-in, pattern id, value, hash, path, and the first to match gives the reason.
     """
     rules = policies.select(
@@ -119,11 +119,12 @@ def allow_decision(hits: DataFrame, policies: DataFrame) -> DataFrame:
         F.col("pattern_ids").alias("_ids"),
         F.col("values").alias("_values"),
         F.col("hashes").alias("_hashes"),
-        F.col("paths").alias("_paths"),
     )
-    joined = hits.join(broadcast_if_small(rules), "repo", "left")
+    globs = policies.where("trusted").select("repo", F.posexplode("paths").alias("pos", "glob"))
+    named = first_globs(hits, globs, ["repo"]).withColumnRenamed("glob", "_glob")
+    joined = hits.join(broadcast_if_small(rules), "repo", "left").join(named, ["repo", "path"], "left")
     unique = ~F.col("pattern_id").isin(V.NON_UNIQUE_DETECTORS)
-    glob = first_glob(F.col("path"), F.col("_paths"))
+    glob = F.col("_glob")
     reason = F.coalesce(
         builtin_reason(F.col("raw"), F.col("pattern_id")),
         F.when(
@@ -139,23 +140,14 @@ def allow_decision(hits: DataFrame, policies: DataFrame) -> DataFrame:
     return (
         joined.withColumn("reason", reason)
         .withColumn("allowed", F.col("reason").isNotNull())
-        .drop("_trusted", "_ids", "_values", "_hashes", "_paths")
+        .drop("_trusted", "_ids", "_values", "_hashes", "_glob")
     )
 
 
 def allow_by_path(hits: DataFrame, rules: DataFrame) -> DataFrame:
     """Hits whose path a policy glob of the same repo matches, with the first such glob."""
-    globs = (
-        rules.where("kind = 'path'")
-        .groupBy("repo")
-        .agg(F.array_sort(F.collect_set(F.col("value"))).alias("_globs"))
-    )
-    return (
-        hits.join(broadcast_if_small(globs), "repo")
-        .withColumn("glob", first_glob(F.col("path"), F.col("_globs")))
-        .where("glob is not null")
-        .drop("_globs")
-    )
+    globs = rules.where("kind = 'path'").select("repo", F.col("value").alias("glob"), F.col("value").alias("pos"))
+    return hits.join(first_globs(hits, globs, ["repo"]), ["repo", "path"]).select(*hits.columns, "glob")
 
 
 def _json_strings(values: Column) -> Column:

@@ -8,6 +8,7 @@ from wardline.functions import fixed_values as V
 from wardline.functions import paths as P
 from wardline.functions.text import credential_key, receipt_fields, repo_from_remote, scrub_map
 from wardline.operators import scope as S
+from wardline.operators.globs import match_globs
 from wardline.plans.registry import query
 
 # --- one path per document: the id picks a shape -----------------------------------------------------
@@ -146,6 +147,34 @@ def dirty_status(t):
 GLOBS = ["src/*.ts", "**/*.ts", "docs/", "app/**/route.ts", "*.md", "?ib/*", "supabase/**", "**", "a//b", ".env", "src/app.ts"]
 
 
+def _glob_table(t):
+    """A glob of one of eight shapes for every part."""
+    n = F.col("p_partkey")
+    k, a, b = n.cast("string"), (n % 20).cast("string"), (n % 7).cast("string")
+    shapes = [
+        F.concat(F.lit("src"), a, F.lit("/**")), F.concat(F.lit("**/"), k, F.lit(".md")), F.concat(F.lit("src"), a, F.lit("/*/"), k, F.lit(".ts")), F.concat(F.lit("**/*"), k, F.lit(".x"), b),
+        F.concat(F.lit("src?/en/"), k, F.lit("*")), F.concat(F.lit("./src"), a, F.lit("\\de/")), F.concat(F.lit("src"), a, F.lit("/en/"), k, F.lit(".x"), b), F.concat(F.lit("**/f?/*"), k, F.lit("*")),
+    ]
+    return t.part.select(F.get(F.array(*shapes), (n % 8).cast("int")).alias("glob"), n.alias("pos"))
+
+
+@query(
+    "glob_table", "FLT6 JN1",
+    """with paths as (select doc_id, source || '/' || lang || '/' || doc_id || case doc_id % 3 when 0 then '.md' when 1 then '.ts' else '.x' || doc_id % 7 end as path from documents),
+    g as (select p_partkey as n, p_partkey::varchar as k, 'src' || p_partkey % 20 as a, '.x' || p_partkey % 7 as x from part),
+    m as (select doc_id, n, path from paths, g where case n % 8
+      when 0 then starts_with(path, a || '/') when 1 then ends_with(path, '/' || k || '.md') when 2 then starts_with(path, a || '/') and ends_with(path, '/' || k || '.ts')
+      when 3 then ends_with(path, k || x) when 4 then regexp_matches(path, '^src[^/]/en/' || k || '[^/]*$') when 5 then starts_with(path, a || '/de/')
+      when 6 then path = a || '/en/' || k || x else regexp_matches(path, '/f[^/]/[^/]*' || k || '[^/]*$') end)
+    select path, cast(count(*) as bigint) as matches, min(n) as first_pos from m group by path""",
+)
+def glob_table(t):
+    """Every document as a path against a glob for every part."""
+    ext = F.when(F.col("doc_id") % 3 == 0, ".md").when(F.col("doc_id") % 3 == 1, ".ts").otherwise(F.concat(F.lit(".x"), (F.col("doc_id") % 7).cast("string")))
+    paths = t.documents.select(F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), ext).alias("path"))
+    return match_globs(paths, _glob_table(t), []).groupBy("path").agg(F.count("*").alias("matches"), F.min("pos").alias("first_pos"))
+
+
 @query(
     "glob_match", "FLT7 FLT6",
     f"""with {_PATHS}, g as (select unnest([
