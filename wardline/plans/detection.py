@@ -11,6 +11,7 @@ from wardline.operators import detect as D
 from wardline.operators.findings import collapse_view_rows, findings_by_file
 from wardline.operators.gate import gate, proof_record
 from wardline.operators.policy import allow_by_path, allow_decision, allow_rules, remediation_snippet
+from wardline.operators.terms import match_terms
 from wardline.plans.planted import PLANTED_CTE, fp_sql, hits_cte, offsets_cte, planted_documents
 from wardline.plans.registry import query
 
@@ -93,6 +94,19 @@ def match_denylist(t):
     return D.match_denylist(t.documents, "text", ["doc_id"], DENIED)
 
 
+@query(
+    "denied_terms", "DET4",
+    r"""with t as (select distinct unnest(regexp_extract_all(text, '[^ \n\t]+')) as term from benchmark), w as (select term from t where length(term) >= 4),
+    h as (select doc_id, term, string_split(text, term) as p from documents, w where contains(text, term)),
+    o as (select doc_id, term, unnest(list_transform(range(1, len(p)), lambda k: list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * length(term))) as place from h)
+    select doc_id, term, cast(place as bigint) as place from o""",
+)
+def denied_terms(t):
+    """Every word of the benchmark as a denied term, with all its offsets."""
+    terms = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit(r"([^ \n\t]+)"), 1)).alias("term")).where(F.length("term") >= 4)
+    return match_terms(t.documents, "text", ["doc_id"], terms).select("doc_id", "term", F.col("index").alias("place"))
+
+
 @query(
     "denylist_hits", "DET4",
     "select doc_id, instr(text, term) - 1 as first_index, cast((length(text) - length(replace(text, term, ''))) / length(term) as bigint) as hits, sha256(term) as auth_id from documents, (select unnest(["
