@@ -9,6 +9,8 @@ from wardline.functions import fixed_values as V
 from wardline.functions.text import (
     collapse_score, let, line_count, looks_generated, move_for, normalized_lines, size_tier,
 )
+from wardline.operators.graph import components
+from wardline.session import cut_lineage
 
 WINDOW_KEY = ["w1", "w2"]
 
@@ -46,17 +48,17 @@ def line_windows(df: DataFrame, text: str, keys: list[str], k: int = V.DUP_WINDO
     return df.select(*keys, F.inline(let(normalized_lines(F.col(text)), windows)))
 
 
-def window_id() -> Column:
-    return F.left(F.base64(F.unhex(F.sha1(F.concat_ws(":", "w1", "w2")))), F.lit(16))
-
-
 def hot_windows(windows: DataFrame, min_occurrences: int = V.DUP_MIN_OCCURRENCES) -> DataFrame:
     """Windows that occur often enough. Counts combine before the shuffle, so a hot window is cheap."""
     return windows.groupBy(*WINDOW_KEY).agg(F.count("*").alias("occurrences")).where(F.col("occurrences") >= min_occurrences)
 
 
 def hot_members(windows: DataFrame, min_occurrences: int = V.DUP_MIN_OCCURRENCES) -> DataFrame:
-    """The occurrences of hot windows: a join against one row per hot window (AQE splits a skewed side)."""
+    """The occurrences of hot windows: a join against one row per hot window (AQE splits a skewed side).
+
+    The windows are written once, a few numbers each, so that no text is cut twice.
+    """
+    windows = cut_lineage(windows)
     return windows.join(hot_windows(windows, min_occurrences), WINDOW_KEY)
 
 
@@ -82,44 +84,30 @@ def merge_blocks(members: DataFrame, keys: list[str], k: int = V.DUP_WINDOW) ->
     )
 
 
-def shared_with(members: DataFrame, keys: list[str], show: int = 2) -> DataFrame:
-    """Per file: how many hot windows it has, in how many another file appears, and the first other files by name.
+def shared_members(members: DataFrame, keys: list[str]) -> DataFrame:
+    """The complete relation: one row ``(*keys, w1, w2, files)`` per file and hot window that it has, with the number of files that have it."""
+    occurrences = members.select(*keys, *WINDOW_KEY).distinct()
+    return occurrences.join(occurrences.groupBy(*WINDOW_KEY).agg(F.count("*").alias("files")), WINDOW_KEY).select(*keys, *WINDOW_KEY, "files")
+
 
-    The membership rows are the complete relation; file pairs are never formed. The
-    first ``show`` partners come from the few smallest files of each window, which a
-    group limit keeps small before the shuffle.
+def shared_with(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Per file: its class, how many files that has, and its links.
+
+    Files with a hot window in common are of one class, and so are those that other files join; a class is named by its least file. Links
+    are ``hot_windows``, the file's, ``shared_windows``, those that another file has, too, and ``shared_files``, the other files of
+    each, added up. Which files share which window is in ``shared_members``; file pairs are never formed: the graph has a link from each
+    file to the least file of each of its windows.
     """
-    file = F.struct(*keys)
-    occurrences = members.select(*WINDOW_KEY, file.alias("file")).distinct()
-    spread = occurrences.groupBy(*WINDOW_KEY).agg(F.count("*").alias("files"))
-    ranked = Window.partitionBy(*WINDOW_KEY).orderBy("file")
-    heads = (
-        occurrences.withColumn("rn", F.row_number().over(ranked))
-        .where(F.col("rn") <= show + 1)
-        .groupBy(*WINDOW_KEY)
-        .agg(F.array_sort(F.collect_list("file")).alias("heads"))
-    )
-    per_window = (
-        occurrences.join(spread, WINDOW_KEY)
-        .join(heads, WINDOW_KEY)
-        .select("file", "files", F.slice(F.filter("heads", lambda h: h != F.col("file")), 1, show).alias("others"))
-    )
-    counts = per_window.groupBy("file").agg(
-        F.count("*").alias("hot_windows"),
-        F.count_if(F.col("files") > 1).alias("shared_windows"),
-    )
-    first = Window.partitionBy("file").orderBy("other")
-    partners = (
-        per_window.select("file", F.explode("others").alias("other"))
-        .distinct()
-        .withColumn("rn", F.row_number().over(first))
-        .where(F.col("rn") <= show)
-        .groupBy("file")
-        .agg(F.array_sort(F.collect_list("other")).alias("partners"))
-    )
-    return counts.join(partners, "file", "left").select(
-        "file.*", "hot_windows", "shared_windows", F.coalesce("partners", F.array().cast(partners.schema["partners"].dataType)).alias("partners")
+    rows = cut_lineage(shared_members(members, keys).select(F.struct(*keys).alias("file"), *WINDOW_KEY, "files"))
+    least = rows.groupBy(*WINDOW_KEY).agg(F.min("file").alias("least"))
+    links = rows.join(least, WINDOW_KEY).select(F.col("file").alias("a"), F.col("least").alias("b"))
+    roots = cut_lineage(components(links))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("class_files"))
+    counts = rows.groupBy("file").agg(
+        F.count("*").alias("hot_windows"), F.count_if(F.col("files") > 1).alias("shared_windows"), F.sum(F.col("files") - 1).alias("shared_files")
     )
+    found = counts.join(roots, F.col("file") == F.col("node")).join(sizes, "root")
+    return found.select("file.*", F.col("root").alias("class"), "class_files", "hot_windows", "shared_windows", "shared_files")
 
 
 # --- churn ---------------------------------------------------------------------------------

@@ -57,20 +57,26 @@ def duplicate_blocks(t):
     return A.merge_blocks(A.hot_members(_windows(t)), ["doc_id"], K)
 
 
+_SHARED_CTE = f"""{_WINDOWS_CTE}, occ as (select distinct win, doc_id from members), spread as (select win, count(*) as files, min(doc_id) as first from occ group by win)"""
+
+
 @query(
     "shared_with", "JN11",
-    f"""with {_WINDOWS_CTE}, occ as (select distinct win, doc_id from members),
-    spread as (select win, count(*) as files from occ group by win),
-    pairs as (select distinct a.doc_id, b.doc_id as other from occ a join occ b on a.win = b.win and a.doc_id <> b.doc_id),
-    firsts as (select doc_id, string_agg(cast(other as varchar), ',' order by other) as partners from (select *, row_number() over (partition by doc_id order by other) as rn from pairs) where rn <= 2 group by doc_id)
-    select doc_id, count(*) as hot_windows, count(*) filter (files > 1) as shared_windows, coalesce(max(partners), '') as partners
-    from occ join spread using (win) left join firsts using (doc_id) group by doc_id""",
+    f"""with recursive {_SHARED_CTE}, near as (select distinct o.doc_id as a, s.first as b from occ o join spread s using (win)),
+    ways as (select a, b from near union select b, a from near),
+    walk as (select distinct a as node, a as seen from ways union select w.node, x.b from walk w join ways x on w.seen = x.a),
+    roots as (select node, min(seen) as root from walk group by node)
+    select doc_id, root as class, cast(count(*) over (partition by root) as bigint) as class_files, hot_windows, shared_windows, shared_files from
+      (select doc_id, count(*) as hot_windows, count(*) filter (files > 1) as shared_windows, cast(sum(files - 1) as bigint) as shared_files from occ join spread using (win) group by doc_id) join roots on doc_id = node""",
 )
 def shared_with_query(t):
-    shared = A.shared_with(A.hot_members(_windows(t)), ["doc_id"])
-    return shared.select(
-        "doc_id", "hot_windows", "shared_windows", F.array_join(F.transform("partners", lambda p: p["doc_id"].cast("string")), ",").alias("partners")
-    )
+    return A.shared_with(A.hot_members(_windows(t)), ["doc_id"]).withColumn("class", F.col("class.doc_id"))
+
+
+@query("shared_members", "JN11", f"with {_SHARED_CTE} select doc_id, cast(files as bigint) as files, count(*) as windows from occ join spread using (win) group by all")
+def shared_members_query(t):
+    """Every file's memberships, added up by how many files share a window."""
+    return A.shared_members(A.hot_members(_windows(t)), ["doc_id"]).groupBy("doc_id", "files").agg(F.count("*").alias("windows"))
 
 
 # --- churn ----------------------------------------------------------------------------------------
