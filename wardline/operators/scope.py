@@ -358,32 +358,37 @@ def staleness(digests: DataFrame, markers: DataFrame) -> DataFrame:
     )
 
 
-def since_last_handoff(commits: DataFrame, markers: DataFrame, cap: int = 20) -> DataFrame:
-    """Per repo: commits after the marker, the newest ``cap`` of them, and how many are not shown."""
-    newer = commits.join(broadcast_if_small(markers.select("repo", F.col("ts").alias("marker_ts"))), "repo").where(
-        F.col("ts") > F.col("marker_ts")
+def changes_since(changes: DataFrame, markers: DataFrame) -> DataFrame:
+    """The changes ``(repo, path, commit, ts, tracked)`` of each repo after its last hand-off, all of them, with ``marker_ts``.
+
+    ``markers`` is ``(repo, ts)`` with any number of hand-offs per repo; a repo without one is all new. A change at the very time of the
+    hand-off belongs to it.
+    """
+    last = markers.groupBy("repo").agg(F.max("ts").alias("marker_ts"))
+    return changes.join(broadcast_if_small(last), "repo", "left").where(F.col("marker_ts").isNull() | (F.col("ts") > F.col("marker_ts")))
+
+
+def since_last_handoff(changes: DataFrame, markers: DataFrame, show: int | None = None) -> DataFrame:
+    """Per repo with changes or hand-offs: commits, files, tracked and untracked ones since the last hand-off.
+
+    A file counts once, as its newest change says. With ``show`` the newest commits are listed, too, and how many more there are; the
+    rows themselves are in ``changes_since``.
+    """
+    newer = changes_since(changes, markers)
+    files = newer.groupBy("repo", "path").agg(F.max_by("tracked", F.struct("ts", "commit")).alias("tracked")).groupBy("repo").agg(
+        F.count("*").alias("files"), F.count_if("tracked").alias("tracked"), F.count_if(~F.col("tracked")).alias("untracked")
     )
-    counts = newer.groupBy("repo").agg(F.count("*").alias("commits"))
+    commits = newer.where("commit is not null").groupBy("repo", "commit").agg(F.max("ts").alias("ts"))
+    counts = commits.groupBy("repo").agg(F.count("*").alias("commits"))
+    repos = changes.select("repo").unionByName(markers.select("repo")).distinct()
+    numbers = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("commits", "files", "tracked", "untracked")]
+    found = repos.join(counts, "repo", "left").join(files, "repo", "left").select("repo", *numbers)
+    if show is None:
+        return found
     rank = Window.partitionBy("repo").orderBy(F.desc("ts"), F.desc("commit"))
-    shown = (
-        newer.withColumn("rn", F.row_number().over(rank))
-        .where(F.col("rn") <= cap)
-        .groupBy("repo")
-        .agg(F.array_sort(F.collect_list(F.struct("rn", "commit"))).alias("s"))
-        .select("repo", F.transform("s", lambda x: x["commit"]).alias("shown"))
+    heads = commits.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= show).groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("rn", "commit"))).alias("s"))
+    heads = heads.select("repo", F.transform("s", lambda x: x["commit"]).alias("shown"))
+    none = F.array().cast(heads.schema["shown"].dataType)
+    return found.join(heads, "repo", "left").select(
+        *found.columns, F.coalesce("shown", none).alias("shown"), F.greatest(F.col("commits") - show, F.lit(0)).alias("more")
     )
-    return (
-        markers.select("repo")
-        .join(counts, "repo", "left")
-        .join(shown, "repo", "left")
-        .select(
-            "repo",
-            F.coalesce("commits", F.lit(0)).cast("bigint").alias("commits"),
-            F.coalesce("shown", F.array().cast(shown.schema["shown"].dataType)).alias("shown"),
-            F.greatest(F.coalesce("commits", F.lit(0)) - cap, F.lit(0)).cast("bigint").alias("more"),
-        )
-    )
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

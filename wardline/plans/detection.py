@@ -10,7 +10,7 @@ from wardline.functions.text import auth_id, fingerprint, line_col
 from wardline.operators import detect as D
 from wardline.operators.findings import collapse_view_rows, findings_by_file
 from wardline.operators.gate import gate, proof_record
-from wardline.operators.policy import allow_by_path, allow_decision, allow_rules, remediation_snippet
+from wardline.operators.policy import allow_by_path, allow_decision, allow_rules, load_policy, remediation_snippet
 from wardline.operators.terms import match_terms
 from wardline.plans.planted import PLANTED_CTE, fp_sql, hits_cte, offsets_cte, planted_documents
 from wardline.plans.registry import query
@@ -220,6 +220,30 @@ def collapse_every_view(t):
 _DOC0_KEY = "concat('sk_live_', substr({sha}, 1, 26))"
 
 
+@query(
+    "load_policy", "DET10",
+    """with p as (select c_custkey as repo, sha256(cast(c_custkey as varchar)) as h, c_custkey % 9 as k from customer),
+    w as (select repo, h, k, k in (0, 1, 2, 7, 8) as trusted from p)
+    select repo, case when k = 8 then 'new.json' else 'a.json' end as source, trusted, case when trusted and k <> 8 then h else '' end as hashes, case when trusted and k in (0, 2) then 'docs/' || repo || '/' else '' end as paths, case when trusted and k = 1 then 'aws,jwt' else '' end as pattern_ids,
+      case when k in (0, 7, 8) then 0 else 1 end as warnings from w""",
+)
+def load_policy_query(t):
+    """A policy file in one of nine states for every customer's repo."""
+    n, k = F.col("c_custkey").cast("string"), F.col("c_custkey") % 9
+    h = F.sha2(n, 256)
+    plain = F.concat(F.lit('{"version":1,"secrets":{"ignore":{"hashes":["sha256:'), F.upper(h), F.lit('"],"paths":["docs/'), n, F.lit('/"]}}}'))
+    flat = F.concat(F.lit('{"ignore":{"hashes":["'), h, F.lit('","short"],"patterns":["aws","jwt","aws"]}}'))
+    texts = [plain, flat, plain, F.lit("[1]"), F.concat(plain, F.lit("}")), F.lit('{"version":3}'), plain, F.concat(F.lit('{"ignore":{"fingerprints":["'), h, F.lit('"]}}')), F.lit("{}")]
+    first = t.customer.select(
+        F.col("c_custkey").alias("repo"), F.when(k == 8, "new.json").otherwise("a.json").alias("source"), F.lit(0).alias("marker_rank"), (k != 6).alias("in_index"),
+        F.get(F.array(*texts), k.cast("int")).alias("index_text"), F.when(k.isin(2, 6), "edited").otherwise(F.get(F.array(*texts), k.cast("int"))).alias("worktree_text"),
+    )
+    # a second file of a lower rank never counts
+    both = first.unionByName(first.withColumns({"source": F.lit("b.json"), "marker_rank": F.lit(1), "index_text": F.lit('{"ignore":{"paths":["**"]}}')}))
+    joined = [F.array_join(c, ",").alias(c) for c in ("hashes", "paths", "pattern_ids")]
+    return load_policy(both).select("repo", "source", "trusted", *joined, F.size("warnings").alias("warnings"))
+
+
 def _policies(t):
     """One policy per repo, derived from the sources of the documents."""
     repo = F.col("repo")

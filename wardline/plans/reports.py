@@ -53,7 +53,7 @@ def _findings(t):
 @query(
     "verdict", "AGG1",
     f"""with {_CHECKS_SQL}, {_VERDICTS_SQL} select *, case when fails > 0 then 'NO-GO' else 'GO' end as verdict, case when fails > 0 then 1 else 0 end as exit_code,
-    case when fails > 0 then fails || ' blocking issue' || case when fails = 1 then '' else 's' end when warns > 0 then 'with ' || warns || ' warning' || case when warns = 1 then '' else 's' end else 'all applicable checks clear' end as note from verdicts""",
+    case when fails > 0 then 'failed: ' || fails when warns > 0 then 'to look at: ' || warns else 'nothing open' end as note from verdicts""",
 )
 def verdict(t):
     return R.verdict(_checks(t))
@@ -61,7 +61,7 @@ def verdict(t):
 
 @query(
     "errored_checks", "AGG1",
-    f"with {_CHECKS_SQL} select \"check\", case when run_id % 9 = 0 then 'fail' else status end as status, case when run_id % 9 = 0 then 'Check errored: lost ' || run_id else detail end as detail from checks",
+    f"with {_CHECKS_SQL} select \"check\", case when run_id % 9 = 0 then 'fail' else status end as status, case when run_id % 9 = 0 then 'could not run: lost ' || run_id else detail end as detail from checks",
 )
 def errored_checks(t):
     error = F.when(F.col("run_id") % 9 == 0, F.concat(F.lit("lost "), F.col("run_id").cast("string")))
@@ -142,11 +142,14 @@ def run_documents(t):
 
 @query(
     "ingest_bodies", "SNK7",
-    f"""with {_LISTED_SQL}, b as (select run_id, '{{"project":{{"repo":"customer/' || run_id || '","name":"' || repeat('n', 120) || '"}},"kind":"check","verdict":"' || verdict || '","exitCode":' || exit_code || ',"payload":' as head, document, verdict, exit_code from docs)
-    select run_id, strlen(head || document || '}}') > 600 as truncated, case when strlen(head || document || '}}') > 600 then head || '{{"command":"check","verdict":"' || verdict || '","exitCode":' || exit_code || ',"truncated":true,"note":"full report exceeded the ingest size cap; verdict + outcome retained, detail dropped"}}}}' else head || document || '}}' end as body from b""",
+    f"""with {_LISTED_SQL}, b as (select run_id, '{{"project":{{"repo":"customer/' || run_id || '","name":"' || repeat('n', 300) || '"}},"kind":"check","verdict":"' || verdict || '","exitCode":' || exit_code as head, document from docs),
+    c as (select *, strlen(head) + strlen(document) + 12 <= 900 as fits, case when strlen(head) + strlen(document) + 12 <= 900 then 1 else (length(document) + 149) // 150 end as parts from b),
+    p as (select *, unnest(range(1, parts + 1)) as part from c)
+    select run_id, cast(part as int) as part, cast(parts as int) as parts, case when fits then head || ',"payload":' || document || '}}'
+      else head || ',"part":' || part || ',"parts":' || parts || ',"payload":' || to_json(substr(document, (part - 1) * 150 + 1, 150))::varchar || '}}' end as body from p""",
 )
 def ingest_bodies(t):
-    return R.ingest_body(_documents(t), F.concat(F.lit("customer/"), F.col("run_id").cast("string")), F.repeat(F.lit("n"), 300), max_bytes=600)
+    return R.ingest_body(_documents(t), F.concat(F.lit("customer/"), F.col("run_id").cast("string")), F.repeat(F.lit("n"), 300), max_bytes=900, part_chars=150)
 
 
 _PLAN_SQL = f"""{_CHECKS_SQL}, n as (select l_orderkey, count(*) as n from lineitem group by l_orderkey), c as (select ch.*, coalesce(n, 0) as findings from checks ch left join n on l_orderkey = "check" where status in ('fail','warn')),
@@ -169,19 +172,37 @@ def summary_plan(t):
     return R.summary_plan(_counted(t)).select("run_id", "check", "rank", "shown", "more")
 
 
+_CELL = "coalesce('src/part ' || l_partkey || '.ts:' || start_line || ' · ' || fp || coalesce(' · ' || message, '') || ' · auth ' || auth_id, c.detail)"
+
+
+@query(
+    "summary_rows", "SNK8 W8",
+    f"""with {_CHECKS_SQL}, {_FINDINGS_SQL.replace("as file,", "as file, l_partkey,")}, r as (select *, row_number() over (partition by run_id order by (status <> 'fail')::int, pos) as rank from checks where status in ('fail', 'warn'))
+    select c.run_id, c."check", rank, finding, status, label as label_cell, {_CELL} as detail_cell from r c left join findings f on c.run_id = f.run_id and c."check" = f."check\"""",
+)
+def summary_rows(t):
+    """Every finding of every run as a line of the summary, whole."""
+    return R.summary_rows(_checks(t), _findings(t))
+
+
 @query(
     "summary_markdown", "SNK8 W8",
-    f"""with {_PLAN_SQL}, rows as (select run_id, cast(sum(greatest(shown, 1) + (more > 0)::int) as int) as table_rows from plan group by run_id),
-    all_runs as (select run_id, count(*) filter (status in ('fail','warn')) as interesting, case when count(*) filter (status = 'fail') > 0 then 'NO-GO' else 'GO' end as verdict from checks group by run_id)
-    select run_id, interesting, verdict, coalesce(table_rows, 0) as table_rows, false as too_long from all_runs left join rows using (run_id)""",
+    f"""with {_PLAN_SQL}, {_FINDINGS_SQL.replace("as file,", "as file, l_partkey,")}, nf as (select *, row_number() over (partition by run_id, "check" order by finding) as r from findings),
+    rows as (select p.run_id, p.rank, coalesce(r, 0) as r, c.label, '| ' || case c.status when 'fail' then 'FAIL' else 'WARN' end || ' | ' || left(c.label, 80) || ' | ' as head, left({_CELL}, 240) as detail, more, shown, r is not null as has from plan p join checks c using (run_id, "check")
+      left join nf f on f.run_id = p.run_id and f."check" = p."check" and f.r <= 8 where r is null or r <= shown),
+    lines as (select *, head || detail || ' |' || case when more > 0 and r >= shown then chr(10) || head || 'and ' || more || ' more |' else '' end as line, case when has then '- ' || left(label, 80) || chr(10) || '  remove it' || chr(10) || '  rotate it' end as fix,
+      count(*) filter (has) over (partition by run_id order by rank, r) as nth from rows),
+    pages as (select run_id, string_agg(line, chr(10) order by rank, r) as lines, string_agg(fix, chr(10) order by rank, r) filter (has and nth <= 5) as fixes, count(distinct rank) as shown_checks from lines group by run_id),
+    all_runs as (select run_id, count(*) filter (status in ('fail','warn')) as interesting, count(*) filter (status = 'fail') > 0 as bad from checks group by run_id),
+    bodies as (select run_id, interesting, '### check' || chr(10) || chr(10) || '**' || case when bad then 'NO-GO** · exit `1`' else 'GO** · exit `0`' end || chr(10) || chr(10) ||
+      case when interesting = 0 then 'Nothing failed.' else '| Status | Check | Detail |' || chr(10) || '| --- | --- | --- |' || chr(10) || lines end
+      || case when interesting > coalesce(shown_checks, 0) then chr(10) || chr(10) || 'Checks not listed here: ' || (interesting - coalesce(shown_checks, 0)) else '' end
+      || case when fixes is not null then chr(10) || chr(10) || '**What to do**' || chr(10) || fixes else '' end || chr(10) as body from all_runs left join pages using (run_id))
+    select run_id, interesting, body from bodies""",
 )
 def summary_markdown(t):
     checks = _counted(t)
-    out = R.summary_markdown(checks, _findings(t), R.verdict(checks))
-    rows = F.regexp_count("body", F.lit(r"(?m)^\| (?:FAIL|WARN) \|"))
-    return out.select(
-        "run_id", "interesting", F.regexp_extract("body", r"\*\*(NO-GO|GO)\*\*", 1).alias("verdict"), rows.alias("table_rows"), (F.length("body") > 12000).alias("too_long")
-    )
+    return R.summary_markdown(checks, _findings(t), R.verdict(checks))
 
 
 @query(

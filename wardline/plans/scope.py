@@ -486,14 +486,21 @@ def staleness_query(t):
 
 @query(
     "since_last_handoff", "AGG22 SRT3",
-    """with c as (select o_orderpriority as repo, o_orderkey as commit, o_orderdate as ts from orders), m as (select repo, max(ts) - interval 30 day as mts from c group by repo),
-    n as (select c.repo, commit, row_number() over (partition by c.repo order by ts desc, commit desc) as rn from c join m using (repo) where ts > mts)
-    select repo, count(*) as commits, string_agg(cast(commit as varchar), ',' order by rn) filter (rn <= 20) as shown, greatest(count(*) - 20, 0) as more from n group by repo""",
+    """with f as (select o_orderpriority as repo, 'part' || l_partkey as path, o_orderkey as commit, o_orderdate as ts, l_returnflag <> 'A' as tracked from lineitem join orders on l_orderkey = o_orderkey),
+    m as (select o_orderpriority as repo, max(o_orderdate) as mts from orders where o_orderkey % 97 = 0 and o_orderpriority <> '5-LOW' group by all),
+    n as (select f.* from f left join m using (repo) where mts is null or ts > mts),
+    files as (select repo, count(*) as files, count(*) filter (tracked) as tracked, count(*) filter (not tracked) as untracked from (select repo, path, arg_max(tracked, (ts, commit, tracked)) as tracked from n group by all) group by repo),
+    c as (select repo, commit, row_number() over (partition by repo order by max(ts) desc, commit desc) as rn from n group by repo, commit),
+    s as (select repo, count(*) as commits, string_agg(cast(commit as varchar), ',' order by rn) filter (rn <= 20) as shown, greatest(count(*) - 20, 0) as more from c group by repo)
+    select * from files join s using (repo)""",
 )
 def since_last_handoff_query(t):
-    commits = t.orders.select(F.col("o_orderpriority").alias("repo"), F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("ts"))
-    markers = commits.groupBy("repo").agg((F.max("ts") - F.expr("interval 30 days")).alias("ts"))
-    out = S.since_last_handoff(commits, markers)
+    orders = t.orders.select(F.col("o_orderkey").alias("commit"), F.col("o_orderpriority").alias("repo"), F.col("o_orderdate").alias("ts"))
+    items = t.lineitem.select(F.col("l_orderkey").alias("commit"), F.concat(F.lit("part"), F.col("l_partkey").cast("string")).alias("path"), (F.col("l_returnflag") != "A").alias("tracked"))
+    # of several lines of a commit with one path, a tracked one counts
+    changes = items.join(orders, "commit").groupBy("repo", "path", "commit", "ts").agg(F.max("tracked").alias("tracked"))
+    markers = orders.where("commit % 97 = 0 and repo <> '5-LOW'").select("repo", "ts")
+    out = S.since_last_handoff(changes, markers, show=20)
     return out.withColumn("shown", F.array_join(F.transform("shown", lambda x: x.cast("string")), ","))
 
 
