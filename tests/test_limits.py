@@ -45,8 +45,9 @@ def test_gates_far_into_a_statement(spark):
 
 def test_edge_writes_far_from_their_table(spark):
     far = "const q = db.from('items')" + " " * 500 + ".insert({});"
-    files = spark.createDataFrame([("r", "a", far), ("r", "b", "requireAuth(r); " + far), ("r", "c", "db.from(name).delete();"), ("r", "d", "db.from('x').select('*');")], "repo string, path string, text string")
-    assert {r.path: (r.status, r.methods) for r in ungated_mutations(files).collect()} == {"a": ("warn", "insert"), "c": ("incomplete", None)}
+    files = spark.createDataFrame([("r", f"supabase/functions/{n}/index.ts", t) for n, t in [("a", far), ("b", "requireAuth(r); " + far), ("c", "/* one\n two */\n// three\ndb.from(name).delete();"), ("d", "db.from('x').select('*');")]] + [("r", "src/a.ts", far)], "repo string, path string, text string")
+    found = {r.path.split("/")[2]: (r.status, r.methods, r.line, r.rule_id) for r in ungated_mutations(files).collect()}
+    assert found == {"a": ("warn", "insert", 1, "edge/ungated-write"), "c": ("incomplete", None, 4, "edge/not-judged")}
 
 
 def test_two_measurements_of_a_day_are_one_row(spark, tmp_path):

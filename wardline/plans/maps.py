@@ -234,15 +234,31 @@ def estate(t):
     return M.estate(files).withColumn("langs", F.array_join("langs", ","))
 
 
-@query(
-    "estate_files", "AGG15",
-    """with f as (select page_id, ['app/x.ts','.github/a.yml','README.md','vendor/x.go','lib/a.PY','app/b.unknown','docs/r.md'][page_id % 7 + 1] as path from pages)
-    select dir, lang, count(*) as files from (select string_split(path, '/')[1] as dir, case path when 'app/x.ts' then 'TypeScript' when 'lib/a.PY' then 'Python' when 'docs/r.md' then 'Markdown' end as lang from f where path in ('app/x.ts','lib/a.PY','app/b.unknown','docs/r.md')) group by all""",
-)
-def estate_files(t):
+_PATHS_SQL = """f as (select page_id, ['app/x.ts','.github/a.yml','README.md','vendor/x.go','lib/a.PY','app/b.unknown','docs/r.md'][page_id % 7 + 1] as path, string_split(url, '/')[3] as host from pages),
+    e as (select host, case when contains(path, '/') then string_split(path, '/')[1] end as dir, case path when 'app/x.ts' then 'TypeScript' when 'lib/a.PY' then 'Python' when 'docs/r.md' then 'Markdown' when 'README.md' then 'Markdown' end as lang
+      from f where path not in ('.github/a.yml', 'vendor/x.go'))"""
+
+
+def _estate(t):
     names = ["app/x.ts", ".github/a.yml", "README.md", "vendor/x.go", "lib/a.PY", "app/b.unknown", "docs/r.md"]
     path = F.get(F.array(*[F.lit(n) for n in names]), (F.col("page_id") % 7).cast("int"))
-    return M.estate_files(t.pages.select(F.lit("r").alias("repo"), path.alias("path"))).groupBy("dir", "lang").agg(F.count("*").alias("files"))
+    return M.estate_files(t.pages.select(F.get(F.split("url", "/"), F.lit(2)).alias("repo"), path.alias("path")))
+
+
+@query("estate_files", "AGG15", f"with {_PATHS_SQL} select dir, lang, count(*) as files from e group by all")
+def estate_files(t):
+    return _estate(t).groupBy("dir", "lang").agg(F.count("*").alias("files"))
+
+
+@query(
+    "estate_overview", "AGG15",
+    f"""with {_PATHS_SQL}, l as (select host, lang, count(*) as n from e where lang is not null group by all), g as (select host, string_agg(lang || ' ' || n, ',' order by n desc, lang) as languages from l group by host)
+    select e.host as repo, count(distinct dir) as folders, count(dir) as files, count(*) filter (dir is null) as loose_files, coalesce(any_value(languages), '') as languages from e left join g using (host) group by e.host""",
+)
+def estate_overview(t):
+    """Each host's pages as files of a repo."""
+    named = F.transform("languages", lambda x: F.concat_ws(" ", x["lang"], x["files"].cast("string")))
+    return M.estate_overview(_estate(t)).withColumn("languages", F.array_join(named, ","))
 
 
 EDGE = [
@@ -258,12 +274,21 @@ EDGE = [
 
 @query(
     "ungated_mutations", "FN16",
-    "select page_id, ['warn',null,'incomplete',null,null,null,'warn'][page_id % 7 + 1] as status, case page_id % 7 when 0 then 'insert' when 6 then 'update/delete' end as methods from pages where page_id % 7 in (0, 2, 6)",
+    r"""with f as (select doc_id, text || chr(10) || '/* ' || chr(10) || ' */ ' || ['const { data } = await sb.from(''items'').insert({ a: 1 });','await sb.auth.getUser(); await sb.from(''items'').delete().eq(''id'', 1);','const t = req.t; await sb.from(t).update({ a: 1 });',
+      'const c = createClient(url, SERVICE_ROLE_KEY); await c.from(''items'').upsert({});','await sb.from(''items'').select(''*'');','// sb.from(''items'').insert({})','await sb.from(''a'').update({}); await sb.from(''b'').delete();'][doc_id % 7 + 1] as body from documents where doc_id % 5 <> 0),
+    s as (select *, contains(body, '.from(t)') as computed, regexp_extract_all(body, '\.from\(''[a-z]+''\)\.(insert|update|delete)', 1) as verbs from f)
+    select doc_id, case when computed then 'incomplete' else 'warn' end as status, case when not computed then array_to_string(list_distinct_in_order, '/') end as methods, cast(len(string_split(body, chr(10))) as int) as line,
+      case when computed then 'edge/not-judged' else 'edge/ungated-write' end as rule_id
+    from (select *, list_sort(list_distinct(verbs), 'desc') as list_distinct_in_order from s) where computed or (len(verbs) > 0 and not contains(body, 'getUser') and not contains(body, '// sb.from'))""",
 )
 def ungated_mutations(t):
-    text = F.get(F.array(*[F.lit(e[0]) for e in EDGE]), (F.col("page_id") % 7).cast("int"))
-    files = t.pages.select(F.lit("r").alias("repo"), F.col("page_id").cast("string").alias("path"), text.alias("text"))
-    return M.ungated_mutations(files).select(F.col("path").cast("bigint").alias("page_id"), "status", "methods")
+    """Each document with a source of an edge function at its end."""
+    code = F.get(F.array(*[F.lit(e[0].split("\n")[0]) for e in EDGE]), (F.col("doc_id") % 7).cast("int"))
+    folder = F.when(F.col("doc_id") % 5 == 0, "src/f").otherwise("supabase/functions/f")
+    files = t.documents.select(
+        F.lit("r").alias("repo"), F.concat(folder, F.col("doc_id").cast("string"), F.lit("/index.ts")).alias("path"), F.concat("text", F.lit("\n/* \n */ "), code).alias("text")
+    )
+    return M.ungated_mutations(files).select(F.regexp_extract("path", r"/f(\d+)/", 1).cast("bigint").alias("doc_id"), "status", "methods", "line", "rule_id")
 
 
 # --- file contents ------------------------------------------------------------------------------------------------------
