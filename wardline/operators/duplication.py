@@ -172,8 +172,9 @@ def complexity(text: Column, norm_lines: Column) -> Column:
 
 
 def line_counts(files: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    lines = files.where(~looks_generated(F.col(text))).select(*keys, line_count(F.col(text)).alias("lines"))
-    return lines.withColumn("size_tier", size_tier(F.col("lines")))
+    """``lines, generated, size_tier`` of every file; a generated file has no tier."""
+    rows = files.select(*keys, line_count(F.col(text)).alias("lines"), looks_generated(F.col(text)).alias("generated"))
+    return rows.withColumn("size_tier", F.when(~F.col("generated"), size_tier(F.col("lines"))))
 
 
 def file_metrics(sizes: DataFrame, churned: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:

@@ -150,37 +150,22 @@ def allow_by_path(hits: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.join(first_globs(hits, globs, ["repo"]), ["repo", "path"]).select(*hits.columns, "glob")
 
 
-def _json_strings(values: Column) -> Column:
-    return F.to_json(values)
+def remediation_snippet(findings: DataFrame, entries: int = V.REMEDIATION_CAP) -> DataFrame:
+    """Ignore documents that would allow all findings of a repo, in parts of about ``entries`` entries each.
 
-
-def remediation_snippet(findings: DataFrame, cap: int = V.REMEDIATION_CAP) -> DataFrame:
-    """One merged ignore document per repo from its first ``cap`` findings (by file, label).
-
-    Unique patterns contribute digests; patterns whose match is not unique to one
-    secret contribute their path only. ``omitted`` counts the findings beyond the cap.
+    Unique patterns contribute digests; patterns whose match is not unique to one secret contribute their path only. Entries are
+    distinct and dealt to parts by their hash, so that no repo is sorted or gathered whole. Returns ``repo, part, parts, hashes, paths,
+    snippet`` with the numbers of entries of either kind.
     """
-    order = Window.partitionBy("repo").orderBy("file", "label")
     unique = ~F.col("pattern_id").isin(V.NON_UNIQUE_DETECTORS) & F.col("auth_id").isNotNull()
-    merged = (
-        findings.withColumn("_n", F.row_number().over(order))
-        .groupBy("repo")
-        .agg(
-            F.count("*").alias("findings"),
-            F.array_sort(F.collect_set(F.when((F.col("_n") <= cap) & unique, F.col("auth_id")))).alias("hashes"),
-            F.array_sort(
-                F.collect_set(F.when((F.col("_n") <= cap) & ~unique, F.replace(F.col("file"), F.lit("\\"), F.lit("/"))))
-            ).alias("paths"),
-        )
-    )
-    body = F.concat_ws(
-        ",",
-        F.when(F.size("hashes") > 0, F.concat(F.lit('"hashes":'), _json_strings(F.col("hashes")))),
-        F.when(F.size("paths") > 0, F.concat(F.lit('"paths":'), _json_strings(F.col("paths")))),
-    )
-    return merged.select(
-        "repo",
-        "findings",
-        F.greatest(F.col("findings") - cap, F.lit(0)).alias("omitted"),
-        F.concat(F.lit('{"version":1,"secrets":{"ignore":{'), body, F.lit("}}}")).alias("snippet"),
+    path = F.replace(F.col("file"), F.lit("\\"), F.lit("/"))
+    rows = findings.select("repo", F.when(unique, "hashes").otherwise("paths").alias("kind"), F.when(unique, F.col("auth_id")).otherwise(path).alias("entry")).distinct()
+    parts = rows.groupBy("repo").agg(F.ceil(F.count("*") / entries).cast("int").alias("parts"))
+    number = F.conv(F.left(F.sha2("entry", 256), F.lit(8)), 16, 10).cast("bigint")
+    dealt = rows.join(broadcast_if_small(parts), "repo").withColumn("part", (number % F.col("parts")).cast("int"))
+    listed = dealt.groupBy("repo", "parts", "part").agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("entry")))).alias(kind) for kind in ("hashes", "paths")]
     )
+    body = F.concat_ws(",", *[F.when(F.size(kind) > 0, F.concat(F.lit(f'"{kind}":'), F.to_json(kind))) for kind in ("hashes", "paths")])
+    snippet = F.concat(F.lit('{"version":1,"secrets":{"ignore":{'), body, F.lit("}}}"))
+    return listed.select("repo", "part", "parts", F.size("hashes").alias("hashes"), F.size("paths").alias("paths"), snippet.alias("snippet"))

@@ -305,11 +305,11 @@ def allow_by_path_query(t):
     f"""with {PLANTED_CTE}, {hits_cte()}, {_DECIDED_CTE},
     firsts as (select repo, path, label, arg_min(pattern_id, rank * 100000 + pos) as pattern_id, arg_min(sha256(raw), rank * 100000 + pos) as auth_id
       from decided where reason is null group by all),
-    numbered as (select *, row_number() over (partition by repo order by path, label) as n from firsts),
-    grouped as (select repo, count(*) as findings,
-      list_sort(list_distinct(list(auth_id) filter (n <= 30 and pattern_id <> 'private-key-incomplete'))) as hashes,
-      list_sort(list_distinct(list(path) filter (n <= 30 and pattern_id = 'private-key-incomplete'))) as paths from numbered group by repo)
-    select repo, findings, greatest(findings - 30, 0) as omitted, '{{"version":1,"secrets":{{"ignore":{{' || concat_ws(',',
+    entries as (select distinct repo, case when pattern_id <> 'private-key-incomplete' then auth_id end as h, case when pattern_id = 'private-key-incomplete' then path end as p from firsts),
+    counted as (select repo, cast(ceil(count(*) / 30.0) as int) as parts from entries group by repo),
+    grouped as (select repo, parts, cast(cast('0x' || substr(sha256(coalesce(h, p)), 1, 8) as bigint) % parts as int) as part, list_sort(list(h) filter (h is not null)) as hashes, list_sort(list(p) filter (p is not null)) as paths
+      from entries join counted using (repo) group by all)
+    select repo, part, parts, cast(coalesce(len(hashes), 0) as int) as hashes, cast(coalesce(len(paths), 0) as int) as paths, '{{"version":1,"secrets":{{"ignore":{{' || concat_ws(',',
       case when len(hashes) > 0 then '"hashes":["' || array_to_string(hashes, '","') || '"]' end,
       case when len(paths) > 0 then '"paths":["' || array_to_string(paths, '","') || '"]' end) || '}}}}}}' as snippet from grouped""",
 )
@@ -505,14 +505,10 @@ def gate_proofs(t):
     "select 'pii', pattern_id from pii union all select 'denylist', 'denylist' from (select unnest(regexp_extract_all(text, 'tion')) from planted)) group by all",
 )
 def hit_kinds(t):
-    docs = planted_documents(t.documents)
-    parts = [
-        D.detect(docs, "text", ["doc_id"], secrets=True),
-        D.detect(docs, "text", ["doc_id"], secrets=False, pii=True),
-        D.detect(docs, "text", ["doc_id"], secrets=False, denylist=["tion"]),
-    ]
-    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return union.groupBy("kind", "pattern_id").agg(F.count("*").alias("hits"))
+    # all three kinds in one pass over the texts
+    found = D.detect(planted_documents(t.documents), "text", ["doc_id"], secrets=True, pii=True, denylist=["tion"])
+    return found.groupBy("kind", "pattern_id").agg(F.count("*").alias("hits"))
+
 
 
 # --- identity of texts -----------------------------------------------------------------------------------------

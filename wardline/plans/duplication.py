@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardline.functions import fixed_values as V
-from wardline.functions.text import collapse_score, line_count, looks_generated, move_case, normalized_lines
+from wardline.functions.text import collapse_score, line_count, move_case, normalized_lines
 from wardline.operators import duplication as A
 from wardline.plans.registry import QUERIES, query
 
@@ -237,10 +237,11 @@ def severe_hotspots_query(t):
 @query(
     "line_counts", "AGG3 FLT9",
     """select doc_id, cast(length(text) - length(replace(text, chr(10), '')) + case when ends_with(text, chr(10)) then 0 else 1 end as int) as lines,
-    len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 5000)) > 0 as generated from documents""",
+    len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 5000)) > 0 as generated,
+    case when not generated then case when lines > 1800 then 'flag' when lines > 1000 then 'warn' when lines > 600 then 'notice' end end as size_tier from documents""",
 )
 def line_counts_query(t):
-    return t.documents.select("doc_id", line_count(F.col("text")).alias("lines"), looks_generated(F.col("text")).alias("generated"))
+    return A.line_counts(t.documents, "text", ["doc_id"])
 
 
 # --- complexity ---------------------------------------------------------------------------------------------

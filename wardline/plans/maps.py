@@ -104,7 +104,7 @@ def surface_summary(t):
 
 @query(
     "route_tags", "AGG13",
-    f"select url, methods, case when session_gated then 'auth-gated' when secret_gated then 'secret-gated (cron/shared)' when mutates then 'PUBLIC + mutates ⚠' else 'public (read-only)' end as tag from ({_ALL})",
+    f"select url, methods, case when session_gated then 'session' when secret_gated then 'secret' when mutates then 'open-write' else 'open-read' end as tag from ({_ALL})",
 )
 def route_tags(t):
     return _flat(_all_routes(t)).select("url", "methods", M.route_tag().alias("tag"))
@@ -184,7 +184,7 @@ def _facts(t):
 @query(
     "detect_stack", "FN15",
     """select c_custkey as repo, ['node','node','next','node','python','python','go'][c_custkey % 7 + 1] as kind,
-    ['Express project','Vite + React project','Next.js project','Node project (package.json exists but could not be parsed)','Python (Flask) project','Python (FastAPI) project','Go project'][c_custkey % 7 + 1] as label,
+    ['express','vite+react','next','unreadable-manifest','flask','fastapi','plain'][c_custkey % 7 + 1] as label,
     c_custkey % 7 = 1 as frontend, c_custkey % 7 = 0 and c_custkey % 3 = 0 as typecheckable, case when c_custkey % 7 < 4 then 'npm' end as package_manager from customer""",
 )
 def detect_stack(t):
@@ -208,7 +208,7 @@ def client_orientation(t):
     c as (select c_custkey as repo, unnest(['/api/cron/' || c_custkey, '/api/gone']) as url, unnest(['0 * * * *', '(no schedule)']) as schedule from customer where c_custkey % 4 <> 0),
     j as (select coalesce(h.repo, c.repo) as repo, coalesce(h.url, c.url) as url, schedule, gated from h full outer join c on h.repo = c.repo and h.url = c.url)
     select repo, url, schedule, gated, schedule is not null as scheduled, gated is null as missing, gated is not null and schedule is null as orphan,
-    case when gated is null then 'no handler found ⚠' when not gated then 'UNGATED ⚠ (publicly triggerable)' else 'gated (CRON_SECRET)' end as tag from j where schedule is not null or starts_with(url, '/api/cron')""",
+    case when gated is null then 'no-handler' when not gated then 'open' else 'gated' end as tag from j where schedule is not null or starts_with(url, '/api/cron')""",
 )
 def schedule_map(t):
     k = F.col("c_custkey")

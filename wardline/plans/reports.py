@@ -79,6 +79,51 @@ def scoreboard(t):
     return R.scoreboard(expected, observed)
 
 
+_CASES = ["leak", "build-leak", "tracked-env", "clean", "dirty", "client-app", "server-map"]
+
+
+@query(
+    "acceptance_cases", "AGG25",
+    """with c as (select doc_id, doc_id % 7 as k, case when doc_id % 7 in (0, 1) then text || ' sk_live_' || substr(sha256(cast(doc_id as varchar)), 1, 26) || ' ' else text end as body from documents),
+    o as (select doc_id, ['leak','build-leak','tracked-env','clean','dirty','client-app','server-map'][k + 1] as judge, case when k = 5 then 'vite+react, 0 routes' when k = 6 then '2 routes, 1 open-write'
+      when regexp_matches(body, 'sk_live_[0-9a-z]{26}') or k in (2, 4) then 'NO-GO' else 'GO' end as observed from c)
+    select doc_id as id, judge, case judge when 'clean' then 'GO' when 'client-app' then 'vite+react, 0 routes' when 'server-map' then '2 routes, 1 open-write' else 'NO-GO' end as expected, observed,
+      case when expected = observed then 'GREEN' else 'RED' end as state from o""",
+)
+def acceptance_cases(t):
+    """Every document is a repo of one of seven judged kinds; its text lies in the file that is judged."""
+    from wardline.operators import maps as M
+    from wardline.operators import scope as S
+    from wardline.operators.detect import detect
+    from wardline.sources import files as sources
+
+    k = F.col("doc_id") % 7
+    key = F.concat(F.lit(" sk_live_"), F.left(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(26)), F.lit(" "))
+    docs = t.documents.select(F.col("doc_id").alias("repo"), k.alias("k"), F.when(k.isin(0, 1), F.concat("text", key)).otherwise(F.col("text")).alias("text"))
+    path = F.when(F.col("k") == 1, "dist/bundle.js.map").when(F.col("k") == 2, ".env").otherwise("src/app.js")
+    files = docs.select("repo", "k", path.alias("path"), "text")
+    leaks = detect(files, "text", ["repo"]).select("repo").distinct().withColumn("status", F.lit("fail"))
+    tracked = files.select("repo", "path", F.lit(True).alias("tracked"), F.lit(False).alias("ignored"))
+    env = S.tracked_env_status(tracked).select("repo", "status")
+    dirty = S.dirty_status(files.where("k = 4").select("repo", "path", F.lit(" M").alias("code"))).select("repo", "status")
+    judged = R.verdict(leaks.unionByName(env).unionByName(dirty).withColumnRenamed("repo", "run_id"))
+    safe = docs.where("k < 5").select("repo").join(judged.select(F.col("run_id").alias("repo"), "verdict"), "repo", "left").select("repo", F.coalesce("verdict", F.lit("GO")).alias("observed"))
+    # maps: a client's manifest without routes, a server with two routes below the document's text in a comment
+    manifest = docs.where("k = 5").select("repo", F.lit("package.json").alias("path"), F.lit('{"dependencies":{"vite":"5","react":"18"}}').alias("text"))
+    stack = M.detect_stack(M.repo_facts(manifest.select("repo", "path"), sources.declared_deps(manifest), sources.package_states(manifest)))
+    server = "\nconst app = require('express')();\napp.get('/items', (req, res) => res.json([]));\napp.post('/items', (req, res) => res.status(201).end());\n"
+    commented = F.concat(F.lit("/* "), F.replace("text", F.lit("*/"), F.lit("* /")), F.lit(" */"))
+    code = docs.where("k > 4").select("repo", F.lit("server.js").alias("path"), F.concat(commented, F.when(F.col("k") == 6, server).otherwise("")).alias("text"))
+    surface = M.surface_summary(M.express_routes(code))
+    counted = docs.where("k > 4").select("repo", "k").join(surface, "repo", "left").join(stack.select("repo", "label"), "repo", "left")
+    routes = F.coalesce("routes", F.lit(0)).cast("string")
+    seen = F.when(F.col("k") == 5, F.concat("label", F.lit(", "), routes, F.lit(" routes"))).otherwise(F.concat(routes, F.lit(" routes, "), F.col("dangerous").cast("string"), F.lit(" open-write")))
+    expected = F.when(F.col("k") == 3, "GO").when(F.col("k") == 5, "vite+react, 0 routes").when(F.col("k") == 6, "2 routes, 1 open-write").otherwise("NO-GO")
+    board = R.scoreboard(docs.select(F.col("repo").alias("id"), "k", expected.alias("expected")), safe.unionByName(counted.select("repo", seen.alias("observed"))).withColumnRenamed("repo", "id"))
+    names = F.get(F.array(*[F.lit(c) for c in _CASES]), (F.col("id") % 7).cast("int"))
+    return board.select("id", names.alias("judge"), "expected", "observed", "state")
+
+
 @query("fnv1a", "FN5", "select page_id, " + _FNV.format(s="url") + " as hash from pages")
 def fnv1a(t):
     return t.pages.select("page_id", fnv1a32(F.col("url")).alias("hash"))
