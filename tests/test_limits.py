@@ -1,6 +1,7 @@
 """Nothing hides behind a length, a count or a depth."""
 
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
