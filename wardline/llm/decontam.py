@@ -27,6 +27,8 @@ from wardline.llm.common import narrow, words_of, worker_cache
 from wardline.llm.repeats import given_id, keyed, texts_of, word_codes
 from wardline.session import cut_lineage
 
+#: Values of the bits of a shingle's hash that are looked at first.
+SEEN = 1 << 20
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 20, 4
 BLOCK_BITS = 64 // BLOCKS
@@ -65,6 +67,15 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def shared_shingles(words, size: int):
+    """Shingles that a window of so many words shares with an item of ``size`` words at least where they are similar enough.
+
+    With n and m shingles and s of them shared the similarity is s / (n + m - s).
+    """
+    n, m = np.maximum(words - SHINGLE + 1, 1), max(size - SHINGLE + 1, 1)
+    return SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-9
+
+
 def near_blocks(radius: int = RADIUS, blocks: int = BLOCKS) -> np.ndarray:
     """All differences of a block with at most radius // blocks bits."""
     values = np.arange(1 << (64 // blocks), dtype=np.uint32)
@@ -87,6 +98,8 @@ class Items:
             if len(words) >= SHINGLE:
                 every.append(shingles)
         self.shingles = np.unique(np.concatenate(every)) if every else np.zeros(0, U)
+        self.seen = np.zeros(SEEN, bool)
+        self.seen[(self.shingles & U(SEEN - 1)).astype(np.int64)] = True
         self.tables = {size: self._table(np.array([p for _, _, p in found], U)) for size, found in self.by_size.items()}
 
     @staticmethod
@@ -124,24 +137,27 @@ class Items:
         found = np.zeros(0, np.int64)
         if len(words) >= SHINGLE and len(self.shingles):
             text = shingle_hashes(words)
-            at = np.searchsorted(self.shingles, text)
-            found = np.flatnonzero(self.shingles[np.minimum(at, len(self.shingles) - 1)] == text)
+            # most shingles fail a look at some of their bits already
+            maybe = np.flatnonzero(self.seen[(text & U(SEEN - 1)).astype(np.int64)])
+            at = np.searchsorted(self.shingles, text[maybe])
+            found = maybe[self.shingles[np.minimum(at, len(self.shingles) - 1)] == text[maybe]]
         if not len(found) and not short:
             return []
         sums, out = None, []
+        known = np.zeros(max(len(words) - SHINGLE + 1, 0) + 1, np.int32)
+        known[found + 1] = 1
+        known = np.cumsum(known)  # how many shingles of the items begin before each word
         for size, own in self.by_size.items():
             least = least_words(size)
-            if least > len(words):
+            if least > len(words) or (size >= SHINGLE and len(found) < shared_shingles(least, size)):
                 continue
             # places of whole windows, from the first to the last that has ``least`` words within the text
-            first, places = least - size, len(words) + size - 2 * least + 1
-            if size < SHINGLE:
-                starts = np.arange(places)
-            else:
-                edge = np.zeros(places + 1, np.int32)
-                np.add.at(edge, np.clip(found - (size - SHINGLE) - first, 0, places), 1)
-                np.add.at(edge, np.clip(found + 1 - first, 0, places), -1)
-                starts = np.flatnonzero(np.cumsum(edge[:places]) > 0) + first
+            starts = np.arange(len(words) + size - 2 * least + 1) + least - size
+            if size >= SHINGLE:
+                # windows with fewer of the items' shingles than any similar window has
+                a, b = np.maximum(starts, 0), np.minimum(starts + size, len(words))
+                held = known[np.maximum(b - SHINGLE + 1, a)] - known[a]
+                starts = starts[held >= shared_shingles(b - a, size)]
             if not len(starts):
                 continue
             starts, ends = np.maximum(starts, 0), np.minimum(starts + size, len(words))
