@@ -20,6 +20,7 @@ HEADLINE = [
     "gate_summary", "detect_secrets", "evasion_views", "hot_windows", "duplicate_blocks", "shared_with", "churn", "collapse_candidates",
     "collision_map", "sequential_admission", "retention", "traffic_days", "session_weight", "scope_violations", "dataset_digest",
     "verdict", "sarif_documents", "summary_plan", "upsert_savepoints", "sanitize_markdown", "summary_markdown", "stream_gate", "stream_retention",
+    "policy_state", "glob_table", "denied_terms",
 ]
 
 
