@@ -5,6 +5,7 @@ import random
 import cases
 import numpy as np
 
+from wardline.llm import dart
 from wardline.llm.components import components
 from wardline.llm.dart import band_keys, keep_one, near_duplicates, shingles, signature, similarity
 
@@ -81,3 +82,26 @@ def test_components(spark):
     want = {x: find(x) for e in links for x in e if e[0] != e[1]}
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == want
+
+
+def test_a_template_family_links_only_what_is_similar(spark):
+    rng, frame = random.Random(8), cases.passage(3, 60).split()
+    data = []
+    for i in range(40):
+        own = cases.passage(1000 + i // 2, 26).split()
+        if i % 2:
+            own[rng.randrange(len(own))] = "other"
+        data.append((i, " ".join(frame[:30] + own + frame[30:]), "en", "s", 0))
+    got = sorted(tuple(r) for r in near_duplicates(cases.table(spark, data)).collect())
+    assert got == sorted(classes(data)) and len({c for _, c in got}) > 10
+
+
+def test_word_hashes_of_pieces_of_any_length(monkeypatch):
+    rng = random.Random(1)
+    for _ in range(200):
+        data = bytes(rng.choice(b"ab \t\n\x0b\x0c\r\x1c\xc2\xa0") for _ in range(rng.randint(1, 60)))
+        monkeypatch.setattr(dart, "PIECE", 1 << 20)
+        whole = dart.word_hashes(data)
+        monkeypatch.setattr(dart, "PIECE", 7)
+        assert (dart.word_hashes(data) == whole).all() and len(whole) == len(data.split())
+        assert len(dict(zip(data.split(), whole.tolist(), strict=True))) == len(set(whole.tolist()))

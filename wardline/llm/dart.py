@@ -14,14 +14,16 @@ between texts that share a bucket is lost, and no table of pairs is made. Every
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.anchors import Rolling, U, mixed
+from wardline.llm.anchors import PIECE, Rolling, U, mixed
 from wardline.llm.common import worker_cache
 from wardline.llm.components import components
-from wardline.llm.repeats import NO_ID, given_id, keyed, packed, texts_of, word_codes
+from wardline.llm.repeats import NO_ID, byte_symbols, given_id, keyed, packed, texts_of
 from wardline.session import cut_lineage
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -32,21 +34,41 @@ ORDERS = 2
 #: Texts of a bucket that meet as many others of it in one task.
 BLOCK = 1024
 #: Rank bands start with [0, 2**FIRST); later ones reach 2**STEP times as far.
-FIRST, STEP = -14, 2
+FIRST, STEP = -2, 1
 #: More darts than this fall on a cell of at most one on average with a probability under 1e-17.
 DARTS = 20
+_GAP = re.compile(rb"[ \t-\r]")
+_IN_WORD = np.array([_GAP.fullmatch(bytes([b])) is None for b in range(256)])
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word (cut at the space and U+0009 to U+000D), from running sums over about ``PIECE`` bytes at a time."""
+    codes, out, at = np.frombuffer(data, np.uint8), [], 0
+    while at < len(codes):
+        gap = _GAP.search(data, at + PIECE)
+        end = gap.start() if gap else len(codes)
+        part = codes[at:end]
+        inside = np.zeros(len(part) + 2, bool)
+        inside[1:-1] = _IN_WORD[part]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        out.append(mixed(Rolling(byte_symbols(part)).stretch(0, edges[::2], edges[1::2])))
+        at = end
+    return np.concatenate(out) if len(out) != 1 else out[0]
 
 
 def shingles(data: bytes, size: int = SHINGLE) -> np.ndarray:
     """Hashes of the elements of a text, a repeated shingle once for each occurrence; a shorter text is one shingle."""
-    words = word_codes(data)
+    words = word_hashes(data) if data else np.zeros(0, U)
     if not len(words):
         return words
     n = max(1, len(words) - size + 1)
-    found = mixed(Rolling(words).every(0, min(size, len(words)), 0, n))
-    values, counts = np.unique(found, return_counts=True)
-    cell = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
-    return mixed(np.repeat(values, counts) + cell.astype(U) * U(0x9E3779B97F4A7C15))
+    found = np.sort(mixed(Rolling(words).every(0, min(size, len(words)), 0, n)))
+    fresh = np.concatenate([[True], found[1:] != found[:-1]])
+    if fresh.all():
+        return mixed(found)
+    place = np.arange(n)
+    cell = place - np.maximum.accumulate(np.where(fresh, place, 0))
+    return mixed(found + cell.astype(U) * U(0x9E3779B97F4A7C15))
 
 
 def _poisson(mean: float) -> list[int]:
@@ -71,46 +93,52 @@ class _Cells:
         self.bounds = _poisson(self.width)
 
 
-def _bands(count: int) -> list[_Cells]:
-    kept = worker_cache("dart_bands", list)
-    while len(kept) < count:
-        band = FIRST + STEP * len(kept)
-        kept.append(_Cells(2.0 ** (band - STEP) if kept else 0.0, band))
-    return kept[:count]
+def _cells(done: int, upto: int) -> tuple[np.ndarray, ...]:
+    """Salts, low ends, widths and bounds of the cells of some rank bands, a row for each cell."""
+    kept = worker_cache("dart_cells", dict)
+    if (done, upto) not in kept:
+        bands = [_Cells(2.0 ** (FIRST + STEP * (k - 1)) if k else 0.0, FIRST + STEP * k) for k in range(done, upto)]
+        n = [len(c.low) for c in bands]
+        kept[done, upto] = (
+            np.concatenate([c.salt for c in bands])[:, None], np.concatenate([c.low for c in bands]), np.repeat([c.width for c in bands], n),
+            np.ascontiguousarray(np.repeat(np.array([c.bounds for c in bands], U), n, axis=0).T),
+        )
+    return kept[done, upto]
 
 
-def _thrown(elements: np.ndarray, bands: list[_Cells]) -> tuple[np.ndarray, np.ndarray]:
+def _thrown(elements: np.ndarray, done: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and rank of every dart of the elements in some bands."""
-    salt, low = np.concatenate([c.salt for c in bands]), np.concatenate([c.low for c in bands])
-    width = np.concatenate([np.full(len(c.low), c.width) for c in bands])
-    bounds = np.concatenate([np.tile(np.array(c.bounds, U), (len(c.low), 1)) for c in bands])
-    cells = mixed(elements[None, :] ^ salt[:, None])
-    darts, ranks = [], []
-    row, column = np.nonzero(cells < bounds[:, :1])
+    salt, low, width, bounds = _cells(done, upto)
+    cells = mixed(elements ^ salt)
+    row, column = np.nonzero(cells < bounds[0][:, None])
     hit = cells[row, column]
+    hits, rows = [], []
     for n in range(DARTS):
         if n:
-            more = hit < bounds[row, n]
+            more = np.flatnonzero(hit < bounds[n][row])
             row, hit = row[more], hit[more]
         if not len(hit):
             break
-        dart = mixed(hit + U((n + 1) * 0xD1B54A32D192ED03 % 2**64))
-        darts.append(dart)
-        ranks.append(low[row] + width[row] * ((mixed(dart ^ U(0x5851F42D4C957F2D)) >> U(11)).astype(np.float64) * 2.0**-53))
-    return np.concatenate([np.zeros(0, U), *darts]), np.concatenate([np.zeros(0), *ranks])
+        hits.append(hit + U((n + 1) * 0xD1B54A32D192ED03 % 2**64))
+        rows.append(row)
+    if not hits:
+        return np.zeros(0, U), np.zeros(0)
+    dart, row = mixed(np.concatenate(hits)), np.concatenate(rows)
+    return dart, low[row] + width[row] * ((mixed(dart ^ U(0x5851F42D4C957F2D)) >> U(11)).astype(np.float64) * 2.0**-53)
 
 
 def signature(elements: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
-    """The earliest dart of each coordinate."""
+    """The earliest dart of each coordinate; of equal ranks the one with the least hash."""
     earliest, names = np.full(k, np.inf), np.zeros(k, U)
     wanted = k * (np.log(k) + 2) / len(elements)
     done, upto = 0, max(1, int(np.ceil((np.log2(wanted) - FIRST) / STEP)) + 1)
     while True:
-        dart, rank = _thrown(elements, _bands(upto)[done:])
+        dart, rank = _thrown(elements, done, upto)
         place = (dart % U(k)).astype(np.int64)
-        order = np.lexsort((dart, rank))[::-1]
-        first, name = np.full(k, np.inf), np.zeros(k, U)
-        first[place[order]], name[place[order]] = rank[order], dart[order]  # of equal places the last one stays, which is the earliest
+        first, name = np.full(k, np.inf), np.full(k, U(2**64 - 1))
+        np.minimum.at(first, place, rank)
+        least = np.flatnonzero(rank == first[place])
+        np.minimum.at(name, place[least], dart[least])
         better = first < earliest
         earliest[better], names[better] = first[better], name[better]
         if np.isfinite(earliest).all():
