@@ -13,7 +13,7 @@ from wardline.llm import gam
 from wardline.llm.decontam import contaminated, drop_contaminated
 from wardline.llm.lengths import at_limits, length_histogram, quantiles, suffix_sums
 from wardline.llm.packing import LENGTH, pack
-from wardline.llm.rules import bucket, bucket_start, keep_good, quality_verdicts
+from wardline.llm.rules import bucket, bucket_start, keep_good, quality_verdicts, thresholds
 from wardline.llm.tokens import PieceEncoder, tokenizer_path
 
 
@@ -49,6 +49,26 @@ def test_thresholds_adapt_to_the_group(spark):
     assert {r.doc_id for r in df.select("doc_id").collect()} - {r.doc_id for r in kept.select("doc_id").collect()} == {5000}
 
 
+def test_junk_of_two_fifths_of_a_group_goes(spark):
+    text = lambda i, mark: " ".join(w + mark for w in cases.passage(i, 60).split())
+    clean = [(i, text(i, ""), "en", "a", 0) for i in range(180)]
+    junk = [(1000 + i, text(500 + i, "*" * (1 + i % 3)), "en", "a", 0) for i in range(120)]
+    other = [(2000 + i, text(2000 + i, ""), "en", "b", 0) for i in range(250)]
+    few = [(3000 + i, text(4000 + i, ""), None, None, 0) for i in range(3)]
+    kept = {r.doc_id for r in quality_verdicts(cases.with_clashes(cases.table(spark, clean + junk + other + few)).drop("n_words", "kept")).where("kept").collect()}
+    assert kept == {r[0] for r in clean + other + few}
+
+
+def test_limits_follow_the_group_without_a_step(spark):
+    row = lambda source, n, v: [("en", source, "word_length", int(b), n) for b in [v]]
+    at = {v: spark.range(1).select(bucket(F.lit(v)).alias("b")).first().b for v in (4000, 5000, 8000)}
+    highs = []
+    for n in (10, 199, 200, 201, 100_000):
+        sketch = spark.createDataFrame(row("most", 5000, at[4000]) + row("own", n, at[8000]) + row("wide", n, at[5000]), "lang string, source string, measure string, bucket long, n long")
+        highs.append({r.source: r.word_length_high for r in thresholds(sketch).collect()})
+    assert highs[1] == highs[2] == highs[3] and highs[0]["own"] < highs[4]["own"] and highs[4]["wide"] < highs[4]["own"]
+
+
 def test_buckets_hold_their_values(spark):
     df = spark.range(0, 200_000, 7).select("id", bucket(F.col("id")).alias("b"))
     for r in df.select("id", bucket_start(F.col("b")).alias("s"), bucket_start(F.col("b") + 1).alias("e")).collect():

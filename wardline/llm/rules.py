@@ -2,7 +2,11 @@
 
 A sketch is a set of counted buckets whose bounds do not depend on the data: whole numbers below 32 have a bucket each, above
 that every power of two is cut into 32. Sketches merge by adding counts, give the same result in any order, and place a
-quantile within 1/32 of its value. Groups with few documents use the merged sketch of their language, then of the corpus.
+quantile within 1/32 of its value. A group's sketch is blended with those of its language and of the corpus, which weigh as much as
+a fixed number of documents: small groups follow their language, large ones themselves, and no group changes at a size.
+
+A threshold lies a multiple of the median deviation away from the median. Neither moves much while less than half of a group is junk,
+and a group's distance is at most a fixed multiple of its language's.
 """
 
 from __future__ import annotations
@@ -16,14 +20,14 @@ from wardline.session import bind, cut_lineage
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-#: A group's own sketch is used from this many documents on.
-MIN_GROUP = 200
+#: What the sketches of a group's language and of the corpus weigh in its own, in documents, and the parts that a document is counted in.
+LANG_WEIGHT, CORPUS_WEIGHT, PARTS = 150, 50, 10_000
 #: Measured per 1,000 words (lines for dup_rate): the least distance of a threshold from the median, as a group in which
 #: nearly all values are equal has no spread of its own. The lower side is judged for word length only.
-LEAST_SPREAD = {"symbol_rate": 250, "dup_rate": 400, "repeat_rate": 250, "word_length": 2500}
+LEAST_SPREAD = {"symbol_rate": 250, "dup_rate": 400, "repeat_rate": 250, "word_length": 1500}
 BELOW = {"word_length"}
-#: A threshold lies this many times the distance between the median and the 10 % or 90 % quantile away from the median.
-REACH = 3
+#: A threshold lies this many median deviations away from the median, and at most so many times as far as its language's.
+REACH, WIDEST = 6, 4
 
 
 def with_measures(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
@@ -81,28 +85,36 @@ def sketches(measured: DataFrame) -> DataFrame:
     return each.groupBy("lang", "source", "measure", bucket(F.col("v")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def blended(sketch: DataFrame) -> DataFrame:
+    """``k, lang, source, measure, bucket, w``: the sketches of groups (k = 0) and languages (k = 1) with those above them added by weight."""
+    lang = sketch.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
+    corpus = lang.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
+    part = lambda docs, keys: F.expr(f"(n * {docs * PARTS}L) div sum(n) OVER (PARTITION BY {keys})").alias("w")
+    own = lang.select("lang", "measure", "bucket", part(LANG_WEIGHT, "lang, measure"))
+    above = lang.select("lang", "measure").distinct().join(corpus.select("measure", "bucket", part(CORPUS_WEIGHT, "measure")), "measure")
+    base = own.unionByName(above).groupBy("lang", "measure", "bucket").agg(F.sum("w").alias("w"))
+    key = F.struct("lang", "measure").alias("g")  # a struct is equal to another where both have NULLs
+    groups = sketch.select("source", key).distinct()
+    given = groups.join(base.select(key, "bucket", "w"), "g").select("g.lang", "source", "g.measure", "bucket", "w")
+    counted = sketch.select("lang", "source", "measure", "bucket", (F.col("n") * PARTS).alias("w"))
+    each = given.unionByName(counted).groupBy("lang", "source", "measure", "bucket").agg(F.sum("w").alias("w"))
+    return each.select(F.lit(0).alias("k"), "*").unionByName(base.select(F.lit(1).alias("k"), "lang", F.lit(None).cast("string").alias("source"), "measure", "bucket", "w"))
+
+
 def thresholds(sketch: DataFrame) -> DataFrame:
     """``lang, source, <measure>_low, <measure>_high`` per group; a group has at most a few hundred buckets for each measure."""
-    levels = F.expr("CASE k WHEN 0 THEN struct(0 AS k, lang, source) WHEN 1 THEN struct(1 AS k, lang, CAST(NULL AS STRING) AS source) ELSE struct(2 AS k, CAST(NULL AS STRING) AS lang, CAST(NULL AS STRING) AS source) END")
-    merged = sketch.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).groupBy(levels.alias("g"), "measure", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy("g", "measure")
-    order = group.orderBy("bucket")
-    ranked = merged.select("g", "measure", "bucket", F.sum("n").over(order).alias("upto"), F.sum("n").over(group).alias("total"))
-    q = lambda tenths: bucket_start(F.min(F.when(F.col("upto") * 10 >= F.col("total") * tenths, F.col("bucket"))))
-    cut = ranked.groupBy("g", "measure").agg(q(1).alias("q1"), q(5).alias("q5"), q(9).alias("q9"), F.max("total").alias("total"))
-    least = F.create_map(*[F.lit(x) for kv in LEAST_SPREAD.items() for x in kv])[F.col("measure")]
-    fences = cut.select(
-        "g", "measure", "total", (F.col("q5") - F.greatest((F.col("q5") - F.col("q1")) * REACH, least)).alias("low"), (F.col("q5") + F.greatest((F.col("q9") - F.col("q5")) * REACH, least)).alias("high")
-    )
-    pick = lambda m, side: F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}")
-    columns = [pick(m, "high") for m in LEAST_SPREAD] + [pick(m, "low") for m in LEAST_SPREAD if m in BELOW]
-    per = fences.groupBy("g").agg(F.max("total").alias("total"), *columns)
-    names = [c for c in per.columns if c not in ("g", "total")]
-    groups = sketch.select("lang", "source").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    wide = groups.select("lang", "source", levels.alias("g")).join(per, "g")
-    usable = F.when((F.col("total") >= MIN_GROUP) | (F.col("g.k") == 2), F.col("g.k"))
-    chosen = wide.groupBy("lang", "source").agg(F.min_by(F.struct(*names), usable).alias("limits"))
-    return chosen.select("lang", "source", "limits.*")
+    group = Window.partitionBy("k", "lang", "source", "measure")
+    half = lambda order: F.sum("w").over(group.orderBy(order)) * 2 >= F.sum("w").over(group)
+    b = blended(sketch).select("k", "lang", "source", "measure", "w", bucket_start(F.col("bucket")).alias("v"))
+    b = b.withColumn("enough", half("v")).withColumn("median", F.min(F.when(F.col("enough"), F.col("v"))).over(group)).withColumn("off", F.abs(F.col("v") - F.col("median")))
+    b = b.withColumn("enough", half("off")).groupBy("k", "lang", "source", "measure").agg(F.max("median").alias("median"), F.min(F.when(F.col("enough"), F.col("off"))).alias("off"))
+    floor = F.create_map(*[F.lit(x) for kv in LEAST_SPREAD.items() for x in kv])[F.col("measure")]
+    b = cut_lineage(b.select("k", F.struct("lang", "measure").alias("g"), "source", "median", F.greatest(F.col("off") * REACH, floor).alias("reach")))
+    widest = b.where("k = 1").select("g", (F.col("reach") * WIDEST).alias("most"))
+    fences = b.where("k = 0").join(widest, "g").select("g.*", "source", "median", F.least("reach", "most").alias("reach"))
+    pick = lambda m, side: F.max(F.when(F.col("measure") == m, side)).alias
+    columns = [pick(m, F.col("median") + F.col("reach"))(f"{m}_high") for m in LEAST_SPREAD] + [pick(m, F.col("median") - F.col("reach"))(f"{m}_low") for m in LEAST_SPREAD if m in BELOW]
+    return fences.groupBy("lang", "source").agg(*columns)
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:

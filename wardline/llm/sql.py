@@ -1,6 +1,6 @@
 """DuckDB SQL of the operators that SQL can express on whole tables."""
 
-_RATES = {"symbol_rate": ("n_symbols", "n_words", 250), "dup_rate": ("n_dup_lines", "n_lines", 400), "repeat_rate": ("n_repeat_words", "n_words", 250), "word_length": ("word_chars", "n_words", 2500)}
+_RATES = {"symbol_rate": ("n_symbols", "n_words", 250), "dup_rate": ("n_dup_lines", "n_lines", 400), "repeat_rate": ("n_repeat_words", "n_words", 250), "word_length": ("word_chars", "n_words", 1500)}
 _SHIFT = "greatest(length(bin(v)) - 6, 0)"
 _START = "((b - 32 * greatest(b // 32 - 1, 0)) * CAST(pow(2, greatest(b // 32 - 1, 0)) AS BIGINT))"
 
@@ -17,15 +17,24 @@ m AS (SELECT w.r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 v AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {least} AS least, {a} * 1000 // {b} AS v FROM f WHERE NOT base_failed AND {b} > 0" for k, (a, b, least) in _RATES.items())}),
 c AS (SELECT lang, source, measure, least, {_SHIFT} * 32 + (v >> {_SHIFT}) AS b, count(*) AS n FROM v GROUP BY ALL),
-l AS (SELECT 0 AS k, * FROM c UNION ALL SELECT 1, lang, NULL, measure, least, b, n FROM c UNION ALL SELECT 2, NULL, NULL, measure, least, b, n FROM c),
-e AS (SELECT k, lang, source, measure, least, b, sum(n) AS n FROM l GROUP BY ALL),
-u AS (SELECT *, sum(n) OVER (PARTITION BY k, lang, source, measure ORDER BY b) AS upto, sum(n) OVER (PARTITION BY k, lang, source, measure) AS total FROM e),
-q AS (SELECT k, lang, source, measure, least, total, min(CASE WHEN upto * 10 >= total THEN {_START} END) AS q1,
-      min(CASE WHEN upto * 10 >= total * 5 THEN {_START} END) AS q5, min(CASE WHEN upto * 10 >= total * 9 THEN {_START} END) AS q9 FROM u GROUP BY ALL),
-h AS (SELECT k, lang, source, max(total) AS total, {", ".join(f"max(CASE WHEN measure = '{m}' THEN q5 + greatest((q9 - q5) * 3, least) END) AS {m}_high" for m in _RATES)},
-      max(CASE WHEN measure = 'word_length' THEN q5 - greatest((q5 - q1) * 3, least) END) AS word_length_low FROM q GROUP BY ALL),
-t AS (SELECT o.lang, o.source, {", ".join(f"CASE WHEN o.total >= 200 THEN o.{c} WHEN g.total >= 200 THEN g.{c} ELSE a.{c} END AS {c}" for c in [*(f"{m}_high" for m in _RATES), "word_length_low"])}
-      FROM h o JOIN h g ON g.k = 1 AND g.lang IS NOT DISTINCT FROM o.lang JOIN h a ON a.k = 2 WHERE o.k = 0)
+n AS (SELECT lang, measure, least, b, sum(n) AS n FROM c GROUP BY ALL),
+a AS (SELECT measure, b, sum(n) AS n FROM c GROUP BY ALL),
+z AS (SELECT lang, measure, least, b, n * 1500000 // sum(n) OVER (PARTITION BY lang, measure) AS w FROM n
+      UNION ALL SELECT k.lang, k.measure, k.least, o.b, o.w FROM (SELECT DISTINCT lang, measure, least FROM n) k
+      JOIN (SELECT measure, b, n * 500000 // sum(n) OVER (PARTITION BY measure) AS w FROM a) o ON k.measure = o.measure),
+l AS (SELECT 0 AS k, lang, source, measure, least, b, n * 10000 AS w FROM c
+      UNION ALL SELECT 0, z.lang, k.source, z.measure, z.least, z.b, z.w FROM (SELECT DISTINCT lang, source, measure FROM c) k
+      JOIN z ON z.lang IS NOT DISTINCT FROM k.lang AND z.measure = k.measure
+      UNION ALL SELECT 1, lang, NULL, measure, least, b, w FROM z),
+e AS (SELECT k, lang, source, measure, least, {_START} AS v, sum(w) AS w FROM l GROUP BY ALL),
+u AS (SELECT *, sum(w) OVER (PARTITION BY k, lang, source, measure ORDER BY v) * 2 >= sum(w) OVER (PARTITION BY k, lang, source, measure) AS enough FROM e),
+i AS (SELECT *, min(CASE WHEN enough THEN v END) OVER (PARTITION BY k, lang, source, measure) AS median FROM u),
+j AS (SELECT *, abs(v - median) AS off FROM i),
+x AS (SELECT *, sum(w) OVER (PARTITION BY k, lang, source, measure ORDER BY off) * 2 >= sum(w) OVER (PARTITION BY k, lang, source, measure) AS close FROM j),
+h AS (SELECT k, lang, source, measure, median, greatest(min(CASE WHEN close THEN off END) * 6, least) AS reach FROM x GROUP BY k, lang, source, measure, median, least),
+y AS (SELECT o.lang, o.source, o.measure, o.median, least(o.reach, 4 * g.reach) AS reach FROM h o JOIN h g ON g.k = 1 AND g.lang IS NOT DISTINCT FROM o.lang AND g.measure = o.measure WHERE o.k = 0),
+t AS (SELECT lang, source, {", ".join(f"max(CASE WHEN measure = '{m}' THEN median + reach END) AS {m}_high" for m in _RATES)},
+      max(CASE WHEN measure = 'word_length' THEN median - reach END) AS word_length_low FROM y GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND {" AND ".join(f"coalesce({a} * 1000 // nullif({b}, 0) <= {k}_high, true)" for k, (a, b, _) in _RATES.items())}
   AND coalesce(word_chars * 1000 // nullif(n_words, 0) >= word_length_low, true) AS kept
