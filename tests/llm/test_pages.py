@@ -1,5 +1,6 @@
 """WARC round trips and main text."""
 
+import time
 import gzip
 import glob
 import hashlib
@@ -141,3 +142,12 @@ def test_long_pages_fill_frames(spark):
     trees = fitted(spark.createDataFrame([(k, "u", h) for k, h in enumerate(longs)], SCHEMA))
     nodes = dom.parse(pages()[0])
     assert set(cases.passage(5, 6).split()) <= set(" ".join(dom.decode(nodes, trees.share(dom.features(nodes)))).split())
+
+
+def test_tags_that_match_nothing_cost_one_step_each():
+    start = time.monotonic()
+    for page in ("<div>" * 60_000 + "</x>" * 60_000 + "t", "<div>" * 60_000 + "<li></li>" * 30_000, "<ul>" + "<div>" * 40_000 + "<li>" * 40_000):
+        assert len(dom.parse(page)) > 60_000
+    assert time.monotonic() - start < 30
+    names = [(x.tag, x.depth) for x in dom.parse("<ul><li>a<div><p>b<li>c</ul></x></li>d")]
+    assert names == [("#root", 0), ("ul", 1), ("li", 2), ("#text", 3), ("div", 3), ("p", 4), ("#text", 5), ("li", 2), ("#text", 3), ("#text", 1)]

@@ -106,11 +106,24 @@ def parse(page: str) -> list[Node]:
     """All block nodes in page order, the root first. A run of text between block borders is a node ``#text`` of its own."""
     root = Node("#root", None, 0)
     nodes, now = [root], root
+    open_by: dict[str, list[Node]] = {}
     run: list[str] = []
     state = {"link": False, "links": 0}
     quotes = {'"': True, "'": True}
     closings: dict[str, tuple[list[int], list[int]]] = {}
 
+    def nearest(tags) -> Node | None:
+        """The innermost open node of some tags."""
+        return max((open_by[t][-1] for t in tags if open_by.get(t)), key=lambda x: x.depth, default=None)
+
+    def leave(target: Node) -> Node:
+        """Close the open nodes up to a node and that itself; its parent is where the page goes on."""
+        x = now
+        while x.depth >= target.depth:
+            open_by[x.tag].pop()
+            x = x.parent
+        return x
+
     def flush() -> None:
         if run:
             text = " ".join("".join(run).split())
@@ -176,21 +189,17 @@ def parse(page: str) -> list[Node]:
             continue
         flush()
         if closing:
-            target = now
-            while target is not root and target.tag != tag:
-                target = target.parent
-            if target is not root:
-                now = target.parent
+            target = nearest((tag,))
+            if target:
+                now = leave(target)
             continue
         if now.tag == "p":
-            now = now.parent
+            now = leave(now)
         if tag in CLOSES:
             same, stop = CLOSES[tag]
-            target = now
-            while target is not root and target.tag not in stop and target.tag not in same:
-                target = target.parent
-            if target.tag in same:
-                now = target.parent
+            target = nearest((*same, *stop))
+            if target and target.tag in same:
+                now = leave(target)
         if tag in ("html", "body") and any(n.tag == tag for n in nodes[:4]):
             continue
         node = Node(tag, now, len(nodes), attributes)
@@ -198,6 +207,7 @@ def parse(page: str) -> list[Node]:
         nodes.append(node)
         if tag not in VOID and not attributes.endswith("/"):
             now = node
+            open_by.setdefault(tag, []).append(node)
     flush()
     return nodes
 
