@@ -198,3 +198,12 @@ def test_findings_of_migration_files(spark):
         ("public.writable", "permissive-write-policy"): ("fail", "001.sql", 7),
         ("public.fresh", "policy-not-checkable"): ("warn", "002.sql", 5),
     }
+
+
+def test_files_are_dealt_before_they_are_parsed_and_parsed_once(spark):
+    files = spark.createDataFrame([("r", "supabase/migrations/1.sql", "create table a (id int);")], "repo string, path string, sql string")
+    plan = ddl_events(files)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt = next(i for i, line in enumerate(plan) if "RepartitionByExpression" in line)
+    parsed = [i for i, line in enumerate(plan) if "regexp_extract_all" in line]
+    assert parsed and max(parsed) < dealt
+    assert not any("regexp_extract" in line.split("Filter", 1)[1] for line in plan if "Filter (" in line)

@@ -10,7 +10,7 @@ from wardline.functions.paths import is_fixture_path, is_migration_sql
 from wardline.functions.text import let, prefix_sums, table_name
 from wardline.operators.lineage import lifetimes, schema_of
 from wardline.operators.running import chunk_of, running
-from wardline.session import cut_lineage
+from wardline.session import bind, cut_lineage, spread
 
 # --- events -------------------------------------------------------------------------------------
 
@@ -102,8 +102,10 @@ def ddl_events(files: DataFrame) -> DataFrame:
     matched against literal patterns: one row per file in, narrow, no Python. A DO block that contains
     DDL becomes a ``not_checkable`` event instead of being interpreted.
     """
-    wanted = files.where(is_migration_sql(F.col("path")) & ~is_fixture_path(F.col("path")))
-    masked = wanted.select("repo", "path", mask_literals(F.col("sql")).alias("m"))
+    dealt = spread(files.select("repo", "path", "sql"), "repo", "path")
+    wanted = bind(dealt, "_wanted", is_migration_sql(F.col("path")) & ~is_fixture_path(F.col("path"))).where("_wanted")
+    # each step is bound: the optimizer filters what is exploded by its size, by a second evaluation and before the rows are dealt
+    masked = bind(wanted.select("repo", "path", "sql"), "m", mask_literals(F.col("sql")))
     pieces = F.split(F.col("m.text"), ";", -1)
     starts = let(pieces, lambda p: let(prefix_sums(F.transform(p, lambda s: (F.length(s) + 1).cast("long"))), lambda e: F.transform(p, lambda s, i: F.get(e, i) - F.length(s) - 1)))
     lines = let(
@@ -114,8 +116,8 @@ def ddl_events(files: DataFrame) -> DataFrame:
         ),
     )
     statements = (
-        masked.select("repo", "path", F.col("m.do_at").alias("do_at"), F.arrays_zip(pieces.alias("s"), starts.alias("start"), lines.alias("line")).alias("z"))
-        .select("repo", "path", "do_at", F.explode("z").alias("z"))
+        bind(masked, "z", F.arrays_zip(pieces.alias("s"), starts.alias("start"), lines.alias("line")))
+        .select("repo", "path", F.col("m.do_at").alias("do_at"), F.explode("z").alias("z"))
         .select("repo", "path", "do_at", F.col("z.s").alias("s"), F.col("z.start").alias("start"), F.col("z.line").alias("line0"))
     )
     s = F.col("s")
@@ -192,7 +194,7 @@ def ddl_events(files: DataFrame) -> DataFrame:
             )
         ]
     )
-    rows = statements.select("repo", "path", "start", "line0", "s", F.explode(events).alias("e"))
+    rows = bind(statements, "_events", events).select("repo", "path", "start", "line0", "s", F.explode("_events").alias("e"))
     head = F.left("s", F.col("e.at").cast("int"))
     newlines = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
     return rows.select("repo", "path", (F.col("start") + F.col("e.at")).alias("index"), (F.col("line0") + newlines + 1).cast("int").alias("line"), "e.*").drop("at")
@@ -212,7 +214,8 @@ def _split_fields(ddl: str) -> list[str]:
 
 def sequence_events(events: DataFrame) -> DataFrame:
     """Number a repo's events by path, position and line. Paths are the chunks, so a repo is never sorted in one task."""
-    return running(events, ["repo"], ["path", "index", "line"], "path", {"seq": ("number", "")})
+    # numbering reads its rows twice, and parsing them takes long
+    return running(cut_lineage(events), ["repo"], ["path", "index", "line"], "path", {"seq": ("number", "")})
 
 
 # --- state ------------------------------------------------------------------------------------------------------
