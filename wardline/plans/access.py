@@ -71,10 +71,10 @@ def stream_policy_state(t):
     from wardline.streaming.policies import newest_policy_state, policy_state_stream
 
     folder = scratch(t.spark)
-    events = _events(t).withColumn("repo", F.col("repo").cast("string"))
+    events = cut_lineage(_events(t).withColumn("repo", F.col("repo").cast("string")))
     # five files of a range of seq each are five micro-batches
     last = events.agg(F.max("seq").alias("n")).first()["n"]
-    events = cut_lineage(events.withColumn("slice", F.floor((F.col("seq") - 1) * 5 / last).cast("int")))
+    events = events.withColumn("slice", F.floor((F.col("seq") - 1) * 5 / last).cast("int"))
     for k in range(5):
         events.where(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     source = t.spark.readStream.schema(events.drop("slice").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from wardline.functions import fixed_values as V
 from wardline.operators.access import table_ops
 from wardline.operators.lineage import lifetimes, schema_of
+from wardline.session import spread
 
 COMPACT = 16
 #: State tables: their keys and values. A NULL value takes the row away.
@@ -161,7 +162,8 @@ def policy_state_stream(events: DataFrame, folder: str, checkpoint: str) -> Data
     def step(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         states = PolicyStates(spark, folder)
-        rows = rows.withColumn("repo", F.col("repo").cast("string")).persist()
+        # a batch may be one file, and so one task
+        rows = spread(rows.withColumn("repo", F.col("repo").cast("string")), "repo", "seq").persist()
         kept = [rows]
         try:
             touched = rows.select("repo").distinct()
