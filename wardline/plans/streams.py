@@ -28,8 +28,8 @@ def scratch(spark) -> str:
 
 
 def stream_of(t, name: str) -> DataFrame:
-    frame = getattr(t, name)
-    return t.spark.readStream.schema(frame.schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+    """A table as a stream, be it one file or a folder of files; a stream takes a file only by a pattern."""
+    return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.folder}/{name}.parque[t]")
 
 
 def finish(writer) -> None:
