@@ -4,7 +4,7 @@ import random
 import re
 
 from wardline.functions.paths import glob_literal
-from wardline.operators.globs import first_globs, match_globs
+from wardline.operators.globs import first_globs, glob_key, match_globs, plain_glob
 
 SEGMENTS = ["src", "a", "lib", "x.ts", "y.md", "", ".env", "a.b.ts", "read me", "été", "{x}", "a(b)"]
 
@@ -30,3 +30,9 @@ def test_the_first_glob_of_a_list(spark):
     globs = spark.createDataFrame([("r", "src/**", 2), ("r", "src/*.ts", 1), ("r", "**/b.ts", 0), ("q", "**", 0)], "repo string, glob string, pos int")
     paths = spark.createDataFrame([("r", "src/a.ts"), ("r", "src/b.ts"), ("r", "src/x/c.md"), ("r", "z")], "repo string, path string")
     assert {tuple(r) for r in first_globs(paths, globs, ["repo"]).collect()} == {("r", "src/a.ts", "src/*.ts"), ("r", "src/b.ts", "**/b.ts"), ("r", "src/x/c.md", "src/**")}
+
+
+def test_globs_are_looked_up_by_all_that_they_fix(spark):
+    shapes = {"src1/*/77.ts": "under tail5", "**/*77.x3": "any tail5", "src?/en/77*": "any head2", "**/f?/*77*": "any mid2", "src1/a*.b": "under tail2", "**/x**": "any", "src/**/*": "under"}
+    df = spark.createDataFrame([(g,) for g in shapes], "glob string")
+    assert {r.glob: r.kind for r in df.select("glob", glob_key(plain_glob(df.glob))["kind"].alias("kind")).collect()} == shapes
