@@ -1,11 +1,53 @@
 """Streams over the given tables in the forms that they come in."""
 
+from types import SimpleNamespace
+
+import pandas as pd
+
 from wardline.plans.registry import Tables
 from wardline.plans.streams import finish, stream_of
+from wardline.streaming.measures import SessionWeight
 
 SMALL = "/root/testdata/sf0.001"
 
 
+class Held:
+    """A value or a list of state."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def appendList(self, rows):
+        self.value = [*(self.value or []), *rows]
+
+    def clear(self):
+        self.value = None
+
+
+class Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getValueState(self, name, schema):
+        return Held()
+
+    getListState = getValueState
+
+    def registerTimer(self, at_ms):
+        self.timers.append(at_ms)
+
+
 def test_a_table_may_be_a_file_or_a_folder_of_files(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
@@ -16,3 +58,16 @@ def test_a_table_may_be_a_file_or_a_folder_of_files(spark, tmp_path):
             .option("checkpointLocation", str(tmp_path / f"check-{k}"))
         )
         assert sum(seen) == docs.count()
+
+
+def test_waiting_activity_is_folded_once_for_all_that_is_due():
+    session = SessionWeight(10**9)
+    session.init(Handle())
+    rows = pd.DataFrame({"at_us": [5000, 1000, 3000, 9000, 3000], "is_savepoint": [False, True, False, False, False], "commits": [1, 0, 2, 8, 4], "lines": [0.5, 0.0, 1.0, 2.0, 1.0]})
+    list(session.handleInputRows((7,), iter([rows]), None))
+    assert session.handle.timers == [1]
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 6)
+    due = lambda ms: list(session.handleExpiredTimer((7,), now, SimpleNamespace(getExpiryTimeInMs=lambda: ms)))
+    (out,) = due(1)
+    assert out.iloc[0].to_dict() == {"key": "7", "at": 5000, "saved_at": 1000, "commits": 7, "lines": 2.5}
+    assert session.handle.timers == [1, 9] and due(1) == []

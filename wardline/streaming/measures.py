@@ -71,8 +71,8 @@ def retention_stream(stamps: DataFrame, key: str, lateness: str = "7 days", sile
 class SessionWeight(StatefulProcessor):
     """Work since the last save-point of a key; a save-point resets it.
 
-    Activity waits in a map by its time, added up, until the watermark says that nothing earlier can come; a timer then folds what is
-    due in order of time.
+    Activity waits in a list until the watermark says that nothing earlier can come. A key has one timer at a
+    time, for the first of what waits; when it falls due, all that the watermark has passed is folded in order of time at once.
     """
 
     def __init__(self, silence_ms: int):
@@ -81,25 +81,34 @@ class SessionWeight(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.totals = handle.getValueState("totals", "saved_us long, at_us long, commits long, lines double")
-        self.waiting = handle.getMapState("waiting", "at_us long", "mark boolean, commits long, lines double")
+        self.waiting = handle.getListState("waiting", "at_us long, mark boolean, commits long, lines double")
+        self.timer = handle.getValueState("timer", "at_ms long")
+
+    def _wake(self, at_ms: int) -> None:
+        self.handle.registerTimer(at_ms)
+        self.timer.update((at_ms,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for us, mark, commits, lines in zip(pdf["at_us"], pdf["is_savepoint"], pdf["commits"], pdf["lines"], strict=True):
-                if self.waiting.exists() and self.waiting.containsKey((us,)):
-                    held = self.waiting.getValue((us,))
-                    mark, commits, lines = bool(mark or held[0]), commits + held[1], lines + held[2]
-                else:
-                    self.handle.registerTimer(-(-int(us) // 1000))
-                self.waiting.updateValue((int(us),), (bool(mark), int(commits), float(lines)))
+        come = [r for pdf in rows for r in zip(*(pdf[c].tolist() for c in ("at_us", "is_savepoint", "commits", "lines")), strict=True)]
+        self.waiting.appendList(come)
+        first = -(-min(r[0] for r in come) // 1000)
+        # a later timer that stays behind is told by its time, see below
+        if not self.timer.exists() or first < self.timer.get()[0]:
+            self._wake(first)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        if not self.timer.exists() or expiredTimerInfo.getExpiryTimeInMs() != self.timer.get()[0]:
+            return
+        now_us = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
         saved, last, commits, lines = self.totals.get() if self.totals.exists() else (None, None, 0, 0.0)
-        due = sorted((k[0], tuple(v)) for k, v in self.waiting.iterator() if k[0] <= now_us) if self.waiting.exists() else []
-        for at, (mark, more_commits, more_lines) in due:
-            self.waiting.removeKey((at,))
+        held: dict[int, tuple] = {}
+        for at, mark, more_commits, more_lines in self.waiting.get() if self.waiting.exists() else ():
+            before = held.get(at, (False, 0, 0.0))
+            held[at] = (mark or before[0], more_commits + before[1], more_lines + before[2])
+        due = sorted(at for at in held if at <= now_us)
+        for at in due:
+            mark, more_commits, more_lines = held.pop(at)
             last = at
             if mark:
                 saved, commits, lines = at, 0, 0.0
@@ -107,11 +116,19 @@ class SessionWeight(StatefulProcessor):
                 commits, lines = commits + more_commits, lines + more_lines
         if due:
             self.totals.update((saved, last, commits, lines))
-            self.handle.registerTimer(last // 1000 + 1 + self.silence_ms)
-            if saved is not None:
-                yield pd.DataFrame({"key": [str(key[0])], "at": [last], "saved_at": [saved], "commits": [commits], "lines": [lines]})
-        elif last is not None and now_us >= last + self.silence_ms * 1000:
+            if held:
+                self.waiting.put([(at, *held[at]) for at in sorted(held)])
+            else:
+                self.waiting.clear()
+        if held:
+            self._wake(-(-min(held) // 1000))
+        elif due or last is not None and now_us < last + self.silence_ms * 1000:
+            self._wake(last // 1000 + 1 + self.silence_ms)
+        else:
             self.totals.clear()
+            self.timer.clear()
+        if due and saved is not None:
+            yield pd.DataFrame({"key": [str(key[0])], "at": [last], "saved_at": [saved], "commits": [commits], "lines": [lines]})
 
     def close(self) -> None:
         pass
