@@ -104,3 +104,29 @@ def test_empty_tables_and_single_labels(spark):
     assert {round(r.score, 6) for r in cnn.scored(cases.table(spark), model).collect()} <= {round(float(x), 6) for x in np.linspace(0, 1, 1_000_001)}
     ones = cnn.train(cases.table(spark), spark.createDataFrame([(d, 1, 1) for d in range(1, 16)], "doc_id long, quality int, toxic int"))
     assert all(0 <= r.score <= 1 for r in cnn.scored(cases.table(spark), ones).collect())
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    docs, labels = rows_with_bad_words()
+    # a word that only whole long texts hold
+    docs += [(2000 + i, " ".join(["calm"] * 50_001 + ["only"] + [f"spoken{i}"]), "en", "s", 0) for i in range(12)]
+    labels += [(2000 + i, 1, 0) for i in range(12)]
+    table, marks = cases.table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(cnn, "CHUNK_ROWS", 500)
+    model = cnn.train(table, marks)
+    assert model.embeddings[cnn.word_rows("only")[0, 0]].any()
+    assert set(model.thresholds) == {"en", "de"}
+    judged = [r for r in cnn.scored(table, model).collect() if r.held_out]
+    assert np.mean([r.predicted == (r.doc_id < 1400 and r.doc_id % 5 == 0) for r in judged]) > 0.95
+    again = cnn.train(table.repartition(3), marks)
+    assert np.array_equal(again.embeddings, model.embeddings) and again.thresholds == model.thresholds
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    texts = [cnn.word_rows(t) for t in ["one", cases.passage(1, 30), "", cases.passage(2, 301), "a b"]]
+    model = some_model(texts)
+    pool, words = cnn._winners(model, texts)
+    assert np.allclose(pool, cnn.pooled(model, texts), atol=1e-5)
+    monkeypatch.setattr(cnn, "PART_WORDS", 10)
+    in_parts, others = cnn._winners(model, texts)
+    assert np.allclose(pool, in_parts, atol=1e-5) and all((a[1] == b[1]).all() and (a[3] == b[3]).all() for a, b in zip(words, others, strict=True))
