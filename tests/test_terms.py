@@ -1,5 +1,6 @@
 """Tables of denied terms against searching every term in every text."""
 
+import pathlib
 import random
 import re
 
@@ -32,3 +33,24 @@ def test_many_terms(spark):
     terms = spark.range(100_000).selectExpr("concat('term', id, 'x') as term")
     texts = spark.range(2000).selectExpr("id as key", "concat('some term', id * 50, 'x and term', id * 50 + 1, 'y') as body")
     assert {(r.key, r.term) for r in match_terms(texts, "body", ["key"], terms).collect()} == {(k, f"term{50 * k}x") for k in range(2000)}
+
+
+def worker_peak():
+    """The largest memory that a Python worker of this machine has had, in MB."""
+    peaks = [0]
+    for p in pathlib.Path("/proc").glob("[0-9]*"):
+        try:
+            if b"pyspark.daemon" in (p / "cmdline").read_bytes():
+                peaks.append(int((p / "status").read_text().split("VmHWM:")[1].split()[0]) // 1024)
+        except (OSError, IndexError):
+            pass
+    return max(peaks)
+
+
+def test_long_text_with_many_matches(spark):
+    # the text repeated for each match would be 4.5 GB
+    texts = spark.range(1).selectExpr("id as key", "repeat('abcd ', 30000) as body")
+    before = worker_peak()
+    found = match_terms(texts, "body", ["key"], spark.createDataFrame([("abcd",)], "term string"))
+    assert sorted(r["index"] for r in found.select("index").collect()) == list(range(0, 150_000, 5))
+    assert worker_peak() <= max(before, 2000)

@@ -18,8 +18,8 @@ from wardline.session import cut_lineage
 
 #: Code points of the terms of one part; an automaton takes about 100 bytes for each.
 PART_CHARS = 4_000_000
-#: Rows of texts that are Python objects at a time.
-SLICE = 64
+#: Rows of texts and matches that are Python objects at a time.
+SLICE, MATCHES = 64, 1 << 16
 
 
 @functools.lru_cache(1)
@@ -33,16 +33,14 @@ def _automaton(terms: tuple[str, ...]):
     return found
 
 
-def occurrences(terms: tuple[str, ...], text: str) -> list[tuple[int, int]]:
+def occurrences(machine, text: str) -> Iterator[tuple[int, int]]:
     """(number of the term, start) of each term's occurrences that do not overlap others of the same term, from the left."""
     free: dict[int, int] = {}
-    out = []
-    for last, (number, size) in _automaton(terms).iter(text):
+    for last, (number, size) in machine.iter(text):
         start = last - size + 1
         if start >= free.get(number, 0):
             free[number] = last + 1
-            out.append((number, start))
-    return out
+            yield number, start
 
 
 def _parts(terms: DataFrame, size: int) -> Iterator[tuple[int, tuple[str, ...]]]:
@@ -71,18 +69,27 @@ def match_terms(df: DataFrame, text: str, keys: list[str], terms: DataFrame, par
             import pyarrow as pa
 
             words = shared.value
+            machine = _automaton(words)
+
+            def rows_of(piece, at, found, starts):
+                # only the keys are repeated for each match, never the text
+                held = [piece.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
+                columns = [*held, pa.array([words[n] for n in found], pa.string()), pa.array(starts, pa.int64()), pa.array([len(words[n]) for n in found], pa.int32())]
+                return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
             for batch in batches:
                 for a in range(0, batch.num_rows, SLICE):
                     piece = batch.slice(a, SLICE)
                     at, found, starts = [], [], []
-                    for i, body in enumerate(piece.column(len(keys)).to_pylist()):
-                        for number, start in occurrences(words, body):
+                    for i in range(piece.num_rows):
+                        for number, start in occurrences(machine, piece.column(len(keys))[i].as_py()):
                             at.append(i)
-                            found.append(words[number])
+                            found.append(number)
                             starts.append(start)
-                    held = piece.take(pa.array(at, pa.int64()))
-                    columns = [*held.columns[: len(keys)], pa.array(found, pa.string()), pa.array(starts, pa.int64()), pa.array(list(map(len, found)), pa.int32())]
-                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                            if len(at) == MATCHES:
+                                yield rows_of(piece, at, found, starts)
+                                at, found, starts = [], [], []
+                    yield rows_of(piece, at, found, starts)
 
         return rows.mapInArrow(work, schema)
 
