@@ -88,6 +88,38 @@ def test_outbound_redaction_covers_every_detector(spark):
         assert name in hits[name], name
 
 
+def test_outbound_redaction_searches_only_for_anchors_that_can_occur(spark):
+    catalogue = [(anchors, pattern) for _, _, anchors, pattern in V.SECRET_DETECTORS]
+    rules = [*V.OUTBOUND_REDACTIONS, *catalogue]
+    assert all(anchors for anchors, _ in rules)
+    pieces = [*V.OUTBOUND_SHARED, *(a.removeprefix("i:") for anchors, _ in rules for a in anchors)]
+    assert not any(p in V.OUTBOUND_MASK.lower() or p in V.OUTBOUND_MASK for p in pieces)
+    texts = {
+        "a bEaReR  abcdefgh1 z": "a [REDACTED] z", "REDIS://u:p@h/x MongoDB+SRV://u@h PostGres://q": "[REDACTED] [REDACTED] [REDACTED]", "see http://a.b/c": "see http://a.b/c",
+        "sk_test_" + "a" * 20 + " ghs_" + "b" * 20 + " gho_" + "c" * 20 + " ghu_" + "d" * 20 + " ghr_" + "e" * 20: " ".join(["[REDACTED]"] * 5),
+        "xghs_" + "b" * 20 + " sk_te": "xghs_" + "b" * 20 + " sk_te", "bearer": "bearer", "": "", None: "",
+        "Bearer sk-ant-" + "a" * 24 + " and sk-" + "b" * 24 + " é日": "[REDACTED] and [REDACTED] é日",
+    }
+    df = spark.createDataFrame([(t, want) for t, want in texts.items()], "text string, want string")
+    for r in df.select("want", redact_all(F.col("text")).alias("out")).collect():
+        assert r.out == r.want
+
+
+def test_outbound_redaction_of_plain_text_costs_less_than_three_patterns(spark):
+    pattern = V.OUTBOUND_REDACTIONS[-1][-1]
+    df = spark.range(0, 64, 1, 8).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit(" plain words of prose"), 10_000)).alias("text"))
+
+    def seconds(column):
+        runs = []
+        for _ in range(3):
+            start = time.time()
+            df.select(column.alias("out")).write.format("noop").mode("overwrite").save()
+            runs.append(time.time() - start)
+        return min(runs)
+
+    assert seconds(redact_all(F.col("text"))) < 3 * seconds(F.regexp_replace("text", pattern, V.OUTBOUND_MASK))
+
+
 def test_validators_reject_placeholders(spark):
     quiet = [
         "sk-circle-fade-dot-before-anim-long", "postgres://u:mypassword@db/x", "postgres://u:realpass99@127.0.0.1:5432/x", "Bearer abcdefghijklmnopqrstuvwx",

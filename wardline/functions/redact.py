@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardline.functions import fixed_values as V
-from wardline.functions.text import replace_all
+from wardline.functions.text import let, replace_all
 
 
 def redact_credentials(text: Column) -> Column:
@@ -18,9 +18,20 @@ def redact_credentials(text: Column) -> Column:
 
 def redact_all(text: Column) -> Column:
     """Outbound text: wide shapes first, then every catalogue detector without its validator."""
-    rules = [(p, "[REDACTED]") for p in V.OUTBOUND_REDACTIONS]
-    rules += [(pattern, "[REDACTED]", anchors) for _, _, anchors, pattern in V.SECRET_DETECTORS]
-    return replace_all(F.coalesce(text, F.lit("")), rules)
+    rules = [*V.OUTBOUND_REDACTIONS, *((anchors, pattern) for _, _, anchors, pattern in V.SECRET_DETECTORS)]
+
+    def chain(given: Column) -> Column:
+        # the mask brings no anchor and no shared part, so what the given text lacks stays absent along the chain
+        return replace_all(
+            given["text"],
+            [
+                (pattern, V.OUTBOUND_MASK, anchors, [given[f"part{i}"] for i, part in enumerate(V.OUTBOUND_SHARED) if all(part in a for a in anchors)])
+                for anchors, pattern in rules
+            ],
+        )
+
+    parts = lambda t: [F.contains(t, F.lit(part)).alias(f"part{i}") for i, part in enumerate(V.OUTBOUND_SHARED)]
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.struct(t.alias("text"), *parts(t)), chain))
 
 
 def redact_paths_user(text: Column, home_dir: str = "", username: str = "") -> Column:

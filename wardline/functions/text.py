@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -126,13 +127,16 @@ def contains_any(text: Column, anchors: list[str]) -> Column:
 
 
 def replace_all(text: Column, rules: list[tuple]) -> Column:
-    """Replacements in order. A rule with anchors runs its pattern only where one of them occurs."""
+    """Replacements in order. A rule with anchors runs its pattern only where one of them occurs; with
+    conditions, too, the anchors are searched only where all of those hold."""
 
     def step(current: Column, rule: tuple) -> Column:
-        pattern, replacement, *anchors = rule
+        pattern, replacement, *rest = rule
+        anchors, conditions = (*rest, [], [])[:2]
         if not anchors:
             return F.regexp_replace(current, pattern, replacement)
-        return let(current, lambda t: F.when(contains_any(t, anchors[0]), F.regexp_replace(t, pattern, replacement)).otherwise(t))
+        wanted = lambda t: functools.reduce(lambda left, right: left & right, [*conditions, contains_any(t, anchors)])
+        return let(current, lambda t: F.when(wanted(t), F.regexp_replace(t, pattern, replacement)).otherwise(t))
 
     for rule in rules:
         text = step(text, rule)
