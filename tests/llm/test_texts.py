@@ -1,5 +1,6 @@
 """Quality rules, scores, decontamination, packing and lengths on awkward rows."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 from wardline.llm import gam
 from wardline.llm.decontam import contaminated, drop_contaminated
 from wardline.llm.lengths import at_limits, length_histogram, quantiles, suffix_sums
-from wardline.llm.packing import LENGTH, pack
+from wardline.llm.packing import BINS, LENGTH, Index, pack
 from wardline.llm.rules import bucket, bucket_start, keep_good, quality_verdicts, thresholds
 from wardline.llm.tokens import PieceEncoder, tokenizer_path
 
@@ -157,6 +158,34 @@ def test_pieces_encode_like_whole_texts():
     assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == ids_of(texts)
 
 
+def test_words_of_pieces_are_encoded_once_and_together():
+    rng = random.Random(5)
+    signs = "abcXYZ019'sStTdDlLmMvVrReE<|>/w_-.,!\"#~ÀÉßöÿ×÷İıſ日é́ª²Σς"
+    pieces = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 12))) for _ in range(5000)] + ["</w>", "a</w>b", "'LL'x", "it's'STart", "x" * 3000, "<|startoftext|", "a<|endoftext|>b"]
+    enc = PieceEncoder(tokenizer_path())
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(pieces)] == ids_of(pieces)
+    enc, asked = PieceEncoder(tokenizer_path()), []
+    whole, words = enc.encode_all, enc.encode_words
+    enc.encode_all = lambda given: asked.append(("pieces", given)) or whole(given)
+    enc.encode_words = lambda given: asked.append(("words", sorted(given))) or words(given)
+    texts = ["Hello, hello HELLO. (hello)", "hello; world-hello"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == ids_of(texts)
+    assert asked == [("words", sorted(["hello", ",", ".", "(", ")", ";", "world", "-"]))]
+
+
+def test_an_index_without_used_documents_scores_the_others_alike():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(2, 400, rng.integers(0, 90)).astype("<u4") for _ in range(64)]
+    idf = rng.random(BINS).astype(np.float32)
+    index, whole, free = Index(texts, idf, 40.0), Index(texts, idf, 40.0), np.ones(64, bool)
+    for k in rng.permutation(64)[:60]:
+        free[k] = False
+        index.forget_used(free)
+        query = index.of[k][0]
+        assert (index.scores(query, 64)[free] == whole.scores(query, 64)[free]).all()
+    assert len(index.doc) < len(whole.doc) / 4
+
+
 def test_length_histogram(spark):
     data = cases.rows()
     lengths = sorted(map(len, ids_of([r[1] for r in data])))

@@ -57,12 +57,13 @@ def unpacked(z: bytes) -> np.ndarray:
 
 def terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids of a text and how often each occurs."""
-    counts = np.bincount(ids, minlength=0) if len(ids) > 4096 else None
-    if counts is None:
-        values, n = np.unique(ids, return_counts=True)
-        return values.astype(np.int64), n
-    values = np.flatnonzero(counts)
-    return values, counts[values]
+    if len(ids) > 4096:
+        counts = np.bincount(ids)
+        values = np.flatnonzero(counts)
+        return values, counts[values]
+    ordered = np.sort(ids.astype("<u2"), kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[first].astype(np.int64), np.concatenate([first[1:], [len(ordered)]]) - first if len(ordered) else first
 
 
 def corpus_statistics(texts: DataFrame) -> tuple[np.ndarray, float]:
@@ -123,9 +124,24 @@ class Index:
         length = np.array([n.sum() for _, n in self.of], np.float32)
         weight = idf[bins] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean, 1e-9)))
         order = np.argsort(bins, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        ends = np.cumsum(np.bincount(bins, minlength=BINS))
-        self.ends, self.starts = ends, ends - np.bincount(bins, minlength=BINS)
+        self.doc, self.weight = doc[order], weight[order].astype(np.float64)
+        self.live = len(texts)
+        self._settle(np.bincount(bins, minlength=BINS))
+
+    def _settle(self, counts: np.ndarray) -> None:
+        """Where the postings of each id start and end."""
+        self.ends = np.cumsum(counts)
+        self.starts = self.ends - counts
+
+    def forget_used(self, free: np.ndarray) -> None:
+        """Leave out the postings of used documents, each time another quarter of the documents is used; other scores stay as they are."""
+        live = int(np.count_nonzero(free))
+        if live > 0.75 * self.live:
+            return
+        self.live, keep = live, free[self.doc]
+        kept = np.concatenate([[0], np.cumsum(keep)])
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
+        self._settle(kept[self.ends] - kept[self.starts])
 
     def scores(self, query: np.ndarray, n: int) -> np.ndarray:
         """Score of each of the n documents for the query's terms."""
@@ -188,6 +204,7 @@ class Packer:
             query, seed = index.of[seed], None
             if not self.used or not free.any():
                 continue
+            index.forget_used(free)
             rank = np.where(free, index.scores(query[0], n), -1.0)
             for k in _best_first(rank, int(free.sum())):
                 free[k] = False

@@ -2,11 +2,17 @@
 
 The tokenizer treats white space as a boundary and drops it, so the ids of a text are the ids of its pieces between
 white space, in order. Each worker remembers the pieces it has met first, up to a bound; others are encoded again.
+
+Where the tokenizer normalizes and splits by the rules named below, a piece of Latin letters, digits and signs is cut into the
+tokenizer's own words here; the words of many pieces are encoded by its model in one call, and each ends with a token that marks
+the end of a word. Any other piece, and any other tokenizer, goes through the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
@@ -14,7 +20,9 @@ from wardline.llm.common import worker_cache
 
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces a worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
+#: Words a worker remembers.
+REMEMBERED_WORDS = 700_000
 #: Python splits at these, the tokenizer does not.
 NOT_WHITE_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -25,40 +33,99 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: The rules by which a piece may be cut into words outside the tokenizer.
+WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, "Lowercase"]
+END_OF_WORD = "</w>"
+#: Pieces for which Python and the tokenizer agree on case, letters and digits, and their words in lower case.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def _word_ends(tokenizer) -> np.ndarray | None:
+    """Which ids end a word, if the tokenizer goes by the rules above; else None."""
+    given = json.loads(tokenizer.to_str())
+    normalizers = [n["type"] if set(n) == {"type"} else n for n in (given["normalizer"] or {}).get("normalizers", [])]
+    splits = (given["pre_tokenizer"] or {}).get("pretokenizers", [])
+    model = given["model"]
+    ruled = (
+        normalizers == NORMALIZERS
+        and [s["type"] for s in splits] == ["Split", "ByteLevel"]
+        and splits[0] == {"type": "Split", "pattern": {"Regex": WORD_RULE}, "behavior": "Removed", "invert": True}
+        and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
+        and model["type"] == "BPE" and model["end_of_word_suffix"] == END_OF_WORD and not model["dropout"]
+        and all(a["content"].startswith("<|") for a in given["added_tokens"])
+    )
+    if not ruled:
+        return None
+    ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+    ends[[i for token, i in model["vocab"].items() if token.endswith(END_OF_WORD)]] = True
+    return ends
+
+
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.known_words: dict[str, bytes] = {}
+        self.ends = _word_ends(self.tokenizer)
+        if self.ends is not None:
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def encode_all(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def learn(self, texts: list[list[str]]) -> dict[str, bytes]:
-        """Encode what the texts hold beyond the remembered pieces; returns what did not fit."""
-        known = self.known
-        new = list({p for pieces in texts for p in pieces if p not in known})
-        fresh = dict(zip(new, self.encode_all(new), strict=True)) if new else {}
-        room = REMEMBERED - len(known)
-        if room <= 0:
-            return fresh
-        for p in new[:room]:
-            known[p] = fresh.pop(p)
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words by the model, all in one call, cut behind each id that ends a word."""
+        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(words) or cuts[-1] != 4 * len(ids):
+            return self.encode_all(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of each piece: by its words where it is plain, else by the tokenizer."""
+        if self.ends is None:
+            return dict(zip(pieces, self.encode_all(pieces), strict=True))
+        cut = {p: PLAIN_WORDS.findall(p.lower()) for p in pieces if PLAIN.fullmatch(p) and "<|" not in p}
+        rest = [p for p in pieces if p not in cut]
+        known = self.known_words
+        new = list({w for words in cut.values() for w in words if w not in known})
+        fresh = dict(zip(new, self.encode_words(new), strict=True)) if new else {}
+        known.update((w, fresh[w]) for w in new[: max(REMEMBERED_WORDS - len(known), 0)])
+        ids_of = lambda w: known.get(w) or fresh[w]
+        out = {p: ids_of(words[0]) if len(words) == 1 else b"".join(map(ids_of, words)) for p, words in cut.items()}
+        if rest:
+            out.update(zip(rest, self.encode_all(rest), strict=True))
+        return out
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Encode pieces that are not remembered; those that there is room for are."""
+        fresh = self.encode_pieces(new)
+        room = REMEMBERED - len(self.known)
+        if room >= len(new):
+            self.known.update(fresh)
+        elif room > 0:
+            self.known.update((p, fresh[p]) for p in new[:room])
         return fresh
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         whole = {i for i, t in enumerate(texts) if t and any(c in t for c in NOT_WHITE_SPACE)}
         split = [t.split() if t and i not in whole else [] for i, t in enumerate(texts)]
-        fresh = self.learn(split)
-        look = self.known.__getitem__ if not fresh else {}.get
-        if fresh:
-            known = self.known
-            look = lambda p: known.get(p) or fresh.get(p, b"")
-        out = [b"".join(map(look, pieces)) for pieces in split]
+        found = [list(map(self.known.get, pieces)) for pieces in split]
+        partly = [i for i, ids in enumerate(found) if None in ids]
+        if partly:
+            fresh = self.learn(list({p for i in partly for p, ids in zip(split[i], found[i], strict=True) if ids is None}))
+            for i in partly:
+                found[i] = [fresh[p] if ids is None else ids for p, ids in zip(split[i], found[i], strict=True)]
+        out = [b"".join(ids) for ids in found]
         for i in whole:
             out[i] = self.encode_all([texts[i]])[0]
         return out
