@@ -1,16 +1,19 @@
 """Quality rules, scores, decontamination, packing and lengths on awkward rows."""
 
+import itertools
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import cases
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wardline.llm import gam
+from wardline.llm import gam, tokens
 from wardline.llm.decontam import contaminated, drop_contaminated
 from wardline.llm.lengths import at_limits, length_histogram, quantiles, suffix_sums
 from wardline.llm.packing import BINS, LENGTH, Index, pack
@@ -173,6 +176,35 @@ def test_words_of_pieces_are_encoded_once_and_together():
     assert asked == [("words", sorted(["hello", ",", ".", "(", ")", ";", "world", "-"]))]
 
 
+def test_a_worker_remembers_words_in_little_memory():
+    enc = PieceEncoder(tokenizer_path())
+    enc.encode(["warm up"])
+    words = ["".join(w) + end for w in itertools.product("abcdefghij", repeat=5) for end in ("", ",")]
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    enc.encode([" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)])
+    taken = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert taken < 10_000_000
+
+
+def test_batches_cut_anywhere_encode_alike(monkeypatch):
+    texts = [r[1] for r in cases.rows()] + ["", None, " \t\n", "one two\x1dthree", "eins zwei drei, vier. " * 9, "日本 don't İst", "\x1e", "one two three"]
+    column = pa.array(["left out", *texts, "left out", "left out"]).slice(1, len(texts))
+    enc, want = PieceEncoder(tokenizer_path()), ids_of(texts)
+    for name, value in (("REMEMBERED", 3), ("TEXT_BYTES", 40), ("IDS_BYTES", 30), ("WORDS", 2)):
+        monkeypatch.setattr(tokens, name, value)
+    for _ in range(2):
+        at, found = 0, []
+        for start, ids in enc.encode_column(column):
+            assert start == at
+            at += len(ids)
+            found += [np.frombuffer(b, "<u4").tolist() for b in ids.to_pylist()]
+        assert found == want
+    assert len(enc.known) == len(enc.known_ids) <= 4
+    assert enc.encode([]) == [] and list(enc.encode_column(pa.array([], pa.string()))) in ([], [(0, pa.array([], pa.large_binary()))])
+
+
 def test_an_index_without_used_documents_scores_the_others_alike():
     rng = np.random.default_rng(3)
     texts = [rng.integers(2, 400, rng.integers(0, 90)).astype("<u4") for _ in range(64)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import narrow
-from wardline.llm.tokens import encoder, slices, tokenizer_path
+from wardline.llm.tokens import encoder, tokenizer_path
 from wardline.operators.running import running
 from wardline.session import cut_lineage
 
@@ -26,11 +26,12 @@ def length_histogram(docs: DataFrame, text: str = "text", tokenizer: str | None
 
     def count(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         total: Counter[int] = Counter()
         for batch in batches:
-            for _, texts in slices(batch.column(0)):
-                total.update(len(ids) // 4 for ids in encoder(path).encode(texts))
+            for _, ids in encoder(path).encode_column(batch.column(0)):
+                total.update(pc.divide(pc.binary_length(ids), 4).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["n_tokens", "n"])
 
     counted = narrow(docs, t=F.col(text)).mapInArrow(count, "n_tokens long, n long")

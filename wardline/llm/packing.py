@@ -12,6 +12,7 @@ all ids of all documents. Texts are encoded once and travel as ids.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.repeats import NO_ID, keyed, texts_of
-from wardline.llm.tokens import encoder, slices, tokenizer_path
+from wardline.llm.tokens import encoder, tokenizer_path
 from wardline.session import cut_lineage
 
 LENGTH = 2048
@@ -39,11 +40,13 @@ def encoded(rows: DataFrame, tokenizer: str) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
-        squeeze, encode = zstandard.ZstdCompressor(level=1).compress, encoder(tokenizer).encode
+        squeeze, encode = zstandard.ZstdCompressor(level=1).compress, encoder(tokenizer).encode_column
         for batch in batches:
-            for start, texts in slices(batch.column("text")):
-                z = [squeeze(np.frombuffer(ids, "<u4").astype("<u2").tobytes()) for ids in encode(texts)]
-                part = batch.slice(start, len(texts))
+            for start, ids in encode(batch.column("text")):
+                ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1] // 2
+                data = np.frombuffer(ids.buffers()[2], "<u4", int(ends[-1]) // 2).astype("<u2").data.cast("B")
+                z = [squeeze(data[a:b]) for a, b in itertools.pairwise(ends.tolist())]
+                part = batch.slice(start, len(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(z, pa.binary())], names=["doc_id", "text_key", "ids"])
 
     return rows.mapInArrow(work, "doc_id long, text_key long, ids binary")
