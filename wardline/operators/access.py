@@ -234,14 +234,14 @@ def open_write(p: Column) -> Column:
     return opened & (F.size(client_roles(p["roles"])) > 0)
 
 
-def table_ops(events: DataFrame) -> DataFrame:
-    """What each event does to the names of a repo's tables."""
+def table_ops(events: DataFrame, *more: str) -> DataFrame:
+    """What each event does to the names of a repo's tables, and ``more`` of its columns."""
     kind = F.col("kind")
     op = (
         F.when(kind == "drop_table", "end").when(kind == "drop_policy", "use").when(kind.isin("rename_table", "set_schema"), "move")
         .when(kind == "drop_schema", "end_all").when(kind == "rename_schema", "move_all").when(F.col("table").isNotNull(), "ensure")
     )
-    return events.select("repo", "seq", op.alias("op"), F.coalesce("table", "schema").alias("name"), F.coalesce("to_table", "to_schema").alias("to")).where("op is not null")
+    return events.select("repo", "seq", op.alias("op"), F.coalesce("table", "schema").alias("name"), F.coalesce("to_table", "to_schema").alias("to"), *more).where("op is not null")
 
 
 def _policy_ops(placed: DataFrame) -> DataFrame:

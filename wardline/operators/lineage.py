@@ -124,7 +124,7 @@ def _batches(rows: Iterator[tuple], schema: str) -> Iterator:
 
 SUMMARY = "g string, chunk long, kind string, name string, value string"
 STARTS = "g string, chunk long, name string, entity string"
-FOUND = "g string, seq long, role string, entity string"
+FOUND = "g string, seq long, role string, entity string, body string"
 
 
 def _summaries(by_schema: bool, label: str):
@@ -207,7 +207,7 @@ def _resolve(by_schema: bool, label: str):
                     names = names or Names(by_schema, start, label)
                     for role, value in names.apply(op, name, to, seq):
                         if value:
-                            yield g, seq, role, value[0][1]
+                            yield g, seq, role, value[0][1], to if op in ("ensure", "use") else None
 
         return _batches(rows(), FOUND)
 
@@ -236,7 +236,6 @@ def lifetimes(
     lifetime that is dropped or replaced, ``in`` for one that arrives under a new name; and ``(*group, name, entity)`` of the names that
     exist at the end, those of ``start`` that nothing touched included.
     """
-    types = {f.name: f.dataType for f in ops.schema.fields}
     if start is None:
         start = ops.where(F.lit(False)).select(*group, "name", F.lit("").alias("entity"))
     wide = F.col("op").isin(*WIDE)
@@ -261,15 +260,28 @@ def lifetimes(
     last = last.join(resting, [*group, "name"], "full").withColumn("_ends", F.coalesce("_ends", F.lit(0)))
     alive = last.where((F.col("made") > F.coalesce("gone", F.lit(-1))) | (F.col("gone").isNull() & F.col("_held").isNotNull())).select(*group, "name", own.alias("entity"))
 
+    found_moving, left = moved_lifetimes(
+        marked.where(F.col("_t") | wide).select(*group, "seq", "op", "name", "to"), begun.where("_t").select(*group, "name", "entity"), group, by_schema, chunk, label
+    )
+    return found.unionByName(found_moving.drop("body")), alive.unionByName(left)
+
+
+def moved_lifetimes(
+    moving: DataFrame, begun: DataFrame, group: list[str], by_schema: bool = False, chunk: int = CHUNK, label: str = ""
+) -> tuple[DataFrame, DataFrame]:
+    """``lifetimes`` of the names that move or whose schema does, from all operations on them; ``begun`` is what they are at the start.
+
+    What ``to`` holds in an ``ensure`` or a ``use`` is given back beside the lifetime, as ``body``.
+    """
+    types = {f.name: f.dataType for f in moving.schema.fields}
     # the group as one string, so that the passes need not know its columns
     key = F.to_json(F.struct(*group), {"ignoreNullFields": "false"})
-    moving = marked.where(F.col("_t") | wide).select(key.alias("g"), F.floor(F.col("seq") / chunk).cast("long").alias("chunk"), "seq", "op", "name", "to")
+    moving = moving.select(key.alias("g"), F.floor(F.col("seq") / chunk).cast("long").alias("chunk"), "seq", "op", "name", "to")
     summaries = _sorted(moving, ["g", "chunk"], ["seq"]).mapInArrow(_summaries(by_schema, label), SUMMARY)
-    held = begun.where("_t").select(key.alias("g"), F.lit(-1).cast("long").alias("chunk"), F.lit("held").alias("kind"), "name", F.col("entity").alias("value"))
+    held = begun.select(key.alias("g"), F.lit(-1).cast("long").alias("chunk"), F.lit("held").alias("kind"), "name", F.col("entity").alias("value"))
     carried = _sorted(summaries.unionByName(held), ["g"], ["chunk", "kind"]).mapInArrow(_carry(by_schema), STARTS)
     starts = carried.where("chunk >= 0").select("g", "chunk", F.lit(-1).cast("long").alias("seq"), F.lit("start").alias("op"), "name", F.col("entity").alias("to"))
     resolved = _sorted(starts.unionByName(moving), ["g", "chunk"], ["seq"]).mapInArrow(_resolve(by_schema, label), FOUND)
     back = F.from_json("g", ", ".join(f"{c} {types[c].simpleString()}" for c in group))
     parts = [back[c].alias(c) for c in group]
-    found = found.unionByName(resolved.select(*parts, "seq", "role", "entity"))
-    return found, alive.unionByName(carried.where("chunk < 0").select(*parts, "name", "entity"))
+    return resolved.select(*parts, "seq", "role", "entity", "body"), carried.where("chunk < 0").select(*parts, "name", "entity")

@@ -1,9 +1,10 @@
 """Access-policy state on a stream of events, micro-batch by micro-batch.
 
-Two keyed steps follow each other in every batch. The first turns names into lifetimes, by the maps of ``operators/lineage.py`` that
-continue from the names that exist; so a rename moves no state. The second folds the events of each lifetime of a table, keyed by
-(repo, lifetime), so that a repo's tables are spread over all tasks. What exists is kept as tables of changes in a shared folder, one
-folder per batch, which a replayed batch overwrites; every ``COMPACT`` batches all changes are written as one.
+Tables are told by their names, keyed by (repo, name), so that a repo's tables are spread over all tasks. In a batch the events of a
+name that nothing renames are folded in one pass. Names that move, alone or with their schema, are first turned into lifetimes by the
+maps of ``operators/lineage.py``, then the events of each lifetime are folded and its state is put under the name that it ends with.
+What exists is kept as tables of changes in a shared folder, one folder per batch, which a replayed batch overwrites; every
+``COMPACT`` batches all changes are written as one. Each batch is a few dozen stages, whatever the events are.
 """
 
 from __future__ import annotations
@@ -11,23 +12,24 @@ from __future__ import annotations
 import itertools
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from wardline.functions import fixed_values as V
 from wardline.operators.access import table_ops
-from wardline.operators.lineage import lifetimes, schema_of
+from wardline.operators.lineage import WIDE, moved_lifetimes, schema_of
 from wardline.session import spread
 
 COMPACT = 16
 #: State tables: their keys and values. A NULL value takes the row away.
 STATES = {
-    "names": ("repo string, name string", "entity string"),
-    "tables": ("repo string, entity string", "state string"),
+    "named": ("repo string, name string", "state string"),
     "loose": ("repo string", "last_seq long"),
 }
 VIEW = "rls boolean, policies int, secured boolean, gap boolean"
+#: Of an event, where it stands and what it names; the fold needs the rest.
+PLACE = ("repo", "seq", "path", "index", "line", "table", "to_table", "schema", "to_schema")
 
 
 def open_to_clients(policy: dict) -> bool:
@@ -78,32 +80,85 @@ def fold_table(table: dict, seq: int, ev: dict) -> None:
         table["secure_seq"] = seq
 
 
-def _fold(batches):
-    """(repo, entity, seq, state, event) in order, the state first; gives the state after the last event of each lifetime."""
+def _rows(batches):
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _after(table: dict | None, seq: int, event: str) -> dict | None:
+    ev = json.loads(event)
+    if table is None and ev["kind"] == "drop_policy":
+        return None  # nothing to drop it from
+    table = table or new_table(ev["kind"])
+    fold_table(table, seq, ev)
+    return table
+
+
+def _batches(rows, schema: str):
     import pyarrow as pa
 
-    def rows():
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+    fields = [f.split() for f in schema.split(", ")]
+    types = {"string": pa.string(), "long": pa.int64()}
+    while part := list(itertools.islice(rows, 4096)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(zip(*part, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+FOLDED = "repo string, name string, state string"
+
+
+def _fold(batches):
+    """(repo, entity, rank, seq, state, event, name) in order: a lifetime's state, its events, the name that it has at the end, if any.
+
+    Gives the states of the names.
+    """
 
     def folded():
-        for (repo, entity), events in itertools.groupby(rows(), lambda r: r[:2]):
+        for (repo, _), rows in itertools.groupby(_rows(batches), lambda r: r[:2]):
             table = None
-            for _, _, seq, state, event in events:
-                if state is not None:
+            for _, _, rank, seq, state, event, name in rows:
+                if rank == 0:
                     table = json.loads(state)
-                    continue
-                ev = json.loads(event)
-                if table is None and ev["kind"] == "drop_policy":
-                    continue  # nothing to drop it from
-                table = table or new_table(ev["kind"])
-                fold_table(table, seq, ev)
-            if table is not None:
-                yield repo, entity, json.dumps(table, sort_keys=True)
+                elif rank == 1:
+                    table = _after(table, seq, event)
+                elif table is not None:
+                    yield repo, name, json.dumps(table, sort_keys=True)
+
+    return _batches(folded(), FOLDED)
 
-    out = folded()
-    while part := list(itertools.islice(out, 4096)):
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*part, strict=True)], names=["repo", "entity", "state"])
+
+SETTLED = "repo string, name string, seq long, op string, was string, state string, event string"
+
+
+def _settle(batches):
+    """(repo, name, rank, seq, op, wide, was, event) in order: whether the name moves (rank 0), its state (rank 1), its events.
+
+    A name that stays is folded: one ``settled`` row with the state before and after, NULL where it does not exist. The rows of a name
+    that moves are given on.
+    """
+
+    def settled():
+        for (repo, name), rows in itertools.groupby(_rows(batches), lambda r: r[:2]):
+            first = next(rows)
+            moves = first[2] == 0 or first[5]
+            was = state = table = None
+            changed = False
+            for _, _, rank, seq, op, _, held, event in itertools.chain([first], rows):
+                if rank == 0:
+                    continue
+                if moves:
+                    yield repo, name, seq, op, held, None, event
+                elif rank == 1:
+                    was = state = held
+                else:
+                    if not changed and was is not None:
+                        table = json.loads(was)
+                    changed, table = True, None if op == "end" else _after(table, seq, event)
+            if changed:
+                state = None if table is None else json.dumps(table, sort_keys=True)
+            if not moves and (was is not None or state is not None):
+                yield repo, name, None, "settled", was, state, None
+
+    return _batches(settled(), SETTLED)
 
 
 class PolicyStates:
@@ -135,21 +190,35 @@ class PolicyStates:
             self.read(name, batch + 1, batch - COMPACT).withColumn("at", F.lit(batch).cast("long")).write.mode("overwrite").parquet(self._path(name, batch, "all"))
 
 
-def _changes(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Keys whose value is another one after than before; NULL for those that are gone."""
-    both = before.withColumnRenamed(value, "_old").join(after, keys, "full")
-    return both.where(~F.col("_old").eqNullSafe(F.col(value))).select(*keys, value)
-
-
-def _view(names: DataFrame, tables: DataFrame, loose: DataFrame) -> DataFrame:
-    """``repo, table, v`` of the existing tables; a statement without a table leaves a gap in all public tables secured before it."""
-    state = F.from_json("state", "rls boolean, secure_seq long, gap boolean, policies map<string,string>")
-    rows = names.join(tables.withColumn("s", state), ["repo", "entity"]).join(loose, "repo", "left")
-    missed = (schema_of(F.col("name")) == "public") & (F.col("last_seq") >= F.col("s.secure_seq"))
+def _view(state: str, name: str, last_seq: str) -> Column:
+    """What a table's state shows, NULL without one; a statement without a table leaves a gap in all public tables secured before it."""
+    s = F.from_json(state, "rls boolean, secure_seq long, gap boolean, policies map<string,string>")
+    missed = (schema_of(F.col(name)) == "public") & (F.col(last_seq) >= s["secure_seq"])
     shown = F.struct(
-        F.col("s.rls").alias("rls"), F.size("s.policies").alias("policies"), F.col("s.secure_seq").isNotNull().alias("secured"), (F.col("s.gap") | F.coalesce(missed, F.lit(False))).alias("gap")
+        s["rls"].alias("rls"), F.size(s["policies"]).alias("policies"), s["secure_seq"].isNotNull().alias("secured"), (s["gap"] | F.coalesce(missed, F.lit(False))).alias("gap")
     )
-    return rows.select("repo", F.col("name").alias("table"), shown.alias("v"))
+    return F.when(F.col(state).isNotNull(), shown)
+
+
+def _moved(settled: DataFrame, moves: DataFrame) -> DataFrame:
+    """``repo, name, was, state`` of the names that move: the lifetimes' events are folded, then put under the names at the end."""
+    none = F.lit(None).cast("string")
+    # an end that no lifetime that is born has
+    begun = settled.where("op = 'held'").select("repo", "name", F.concat("name", F.lit("@")).alias("entity"), "was")
+    # a lifetime's events come back with it
+    ops = settled.where("event is not null").select("repo", "seq", "op", "name", F.col("event").alias("to")).unionByName(moves)
+    found, names = moved_lifetimes(ops, begun.drop("was"), ["repo"], by_schema=True)
+
+    def row(rank: int, **columns: Column) -> list[Column]:
+        values = {"rank": F.lit(rank), "seq": F.lit(0).cast("long"), "state": none, "event": none, "name": none, **columns}
+        return [F.col("repo"), F.col("entity"), *[v.alias(c) for c, v in values.items()]]
+
+    course = begun.select(row(0, state=F.col("was")))
+    course = course.unionByName(found.where("role in ('ensure', 'use')").select(row(1, seq=F.col("seq"), event=F.col("body"))))
+    course = course.unionByName(names.select(row(2, name=F.col("name"))))
+    after = course.repartition("repo", "entity").sortWithinPartitions("repo", "entity", "rank", "seq").mapInArrow(_fold, FOLDED)
+    both = begun.select("repo", "name", "was", none.alias("state")).unionByName(after.select("repo", "name", none.alias("was"), "state"))
+    return both.groupBy("repo", "name").agg(F.max("was").alias("was"), F.max("state").alias("state"))
 
 
 def policy_state_stream(events: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
@@ -162,29 +231,46 @@ def policy_state_stream(events: DataFrame, folder: str, checkpoint: str) -> Data
     def step(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         states = PolicyStates(spark, folder)
+        rows = rows.withColumn("repo", F.col("repo").cast("string"))
+        body = F.to_json(F.struct(*[c for c in rows.columns if c not in PLACE]))
         # a batch may be one file, and so one task
-        rows = spread(rows.withColumn("repo", F.col("repo").cast("string")), "repo", "seq").persist()
+        rows = spread(rows, "repo", "seq").select("repo", "seq", "kind", "table", "to_table", "schema", "to_schema", body.alias("event")).persist()
         kept = [rows]
         try:
-            touched = rows.select("repo").distinct()
-            before = {name: states.read(name, batch).join(touched, "repo", "left_semi") for name in STATES}
-            found, names = lifetimes(table_ops(rows), ["repo"], by_schema=True, start=before["names"], label=f"/{batch}")
-            found, names = found.persist(), names.persist()
-            kept += [found, names]
-            body = F.to_json(F.struct(*[c for c in rows.columns if c not in ("repo", "seq")]))
-            hits = found.where("role in ('ensure', 'use')").join(rows.select("repo", "seq", body.alias("event")), ["repo", "seq"])
-            held = before["tables"].join(hits.select("repo", "entity").distinct(), ["repo", "entity"], "left_semi")
+            ops = table_ops(rows, "event")
+            wide, moves = F.col("op").isin(*WIDE), F.col("op") == "move"
+            loose = F.max(F.when(F.expr("kind = 'not_checkable' and table is null"), F.col("seq")))
+            repos = rows.groupBy("repo").agg(loose.alias("loose")).join(states.read("loose", batch).withColumnRenamed("last_seq", "last_was"), "repo", "left")
+            repos = repos.select("repo", "loose", "last_was", F.coalesce("loose", "last_was").alias("last_now")).persist()
+            kept.append(repos)
+            repos.count()  # its true size tells whether it is broadcast
+            has_wide, has_moves = ops.agg(F.bool_or(wide), F.bool_or(moves)).first()
             none = F.lit(None).cast("string")
-            course = hits.select("repo", "entity", "seq", none.alias("state"), "event").unionByName(held.select("repo", "entity", F.lit(-1).cast("long").alias("seq"), "state", none.alias("event")))
-            folded = course.repartition("repo", "entity").sortWithinPartitions("repo", "entity", "seq").mapInArrow(_fold, "repo string, entity string, state string")
-            states.write("names", batch, _changes(before["names"], names, ["repo", "name"], "entity"))
-            living = names.select("repo", "entity")
-            ended = before["tables"].join(living, ["repo", "entity"], "left_anti").select("repo", "entity", none.alias("state"))
-            states.write("tables", batch, folded.join(living, ["repo", "entity"], "left_semi").unionByName(ended))
-            states.write("loose", batch, rows.where("kind = 'not_checkable' and table is null").groupBy("repo").agg(F.max("seq").alias("last_seq")))
-            after = {name: states.read(name, batch + 1).join(touched, "repo", "left_semi") for name in STATES}
-            changed = _changes(_view(*before.values()), _view(*after.values()), ["repo", "table"], "v")
-            changed.select("repo", "table", "v.*", F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{folder}/changes/part={batch}")
+            names = F.when(moves, F.array_compact(F.array("name", "to"))).otherwise(F.array("name"))
+            entries = ops.where(~wide).select("repo", F.explode(names).alias("name"), F.when(moves, 0).otherwise(2).alias("rank"), "seq", "op", none.alias("was"), "event").where("name is not null")
+            held = states.read("named", batch).join(repos, "repo", "left_semi")
+            entries = entries.unionByName(held.select("repo", "name", F.lit(1).alias("rank"), F.lit(-1).cast("long").alias("seq"), F.lit("held").alias("op"), F.col("state").alias("was"), none.alias("event")))
+            if has_wide:
+                schemas = ops.where(wide).select("repo", F.explode(F.array_compact(F.array("name", "to"))).alias("_s"), F.lit(True).alias("wide")).distinct()
+                entries = entries.withColumn("_s", schema_of(F.col("name"))).join(schemas, ["repo", "_s"], "left")
+            else:
+                entries = entries.withColumn("wide", F.lit(False))
+            entries = entries.repartition("repo", "name").sortWithinPartitions("repo", "name", "rank", "seq")
+            settled = entries.select("repo", "name", "rank", "seq", "op", "wide", "was", "event").mapInArrow(_settle, SETTLED)
+            after = settled
+            if has_wide or has_moves:
+                settled = settled.persist()
+                kept.append(settled)
+                after = settled.where("op = 'settled'").select("repo", "name", "was", "state").unionByName(_moved(settled, ops.where(wide | moves).drop("event")))
+            after = after.select("repo", "name", "was", "state").join(repos, "repo").persist()
+            kept.append(after)
+            other = ~F.col("was").eqNullSafe(F.col("state"))
+            states.write("named", batch, after.where(other).select("repo", "name", "state"))
+            states.write("loose", batch, repos.where("loose is not null").select("repo", F.col("loose").alias("last_seq")))
+            shown = after.where(other | ~F.col("last_was").eqNullSafe(F.col("last_now")))
+            shown = shown.select("repo", F.col("name").alias("table"), _view("was", "name", "last_was").alias("_old"), _view("state", "name", "last_now").alias("v"))
+            changed = shown.where(~F.col("_old").eqNullSafe(F.col("v"))).select("repo", "table", "v.*", F.lit(batch).cast("long").alias("batch"))
+            changed.write.mode("overwrite").parquet(f"{folder}/changes/part={batch}")
         finally:
             for frame in kept:
                 frame.unpersist()
