@@ -15,7 +15,7 @@ from wardline.plans.detection import _pii_cte
 from wardline.plans.registry import query
 from wardline.session import shared_folder, ship_package
 from wardline.streaming.gates import gate_stream
-from wardline.streaming.measures import ledger_stream, retention_stream, session_weight_stream, weigh
+from wardline.streaming.measures import ledger_stream, newest_session_weight, retention_stream, session_weight_batches, weigh
 from wardline.streaming.payloads import assemble_payloads
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -144,7 +144,11 @@ def stream_session_weight(t):
     # one row long after all others lets the last ones fall due
     closing = t.spark.createDataFrame([(-1, -1, now + dt.timedelta(days=4000), 0, 0.0, False)], activity.schema)
     rows = activity.withColumn("_p", F.least(part + late, F.lit(6))).unionByName(closing.withColumn("_p", F.lit(7).cast("bigint")))
-    stream = arriving(rows, F.col("_p"), 8, folder).drop("_p")
-    out = drain(session_weight_stream(stream, "user_id", f"{int(span * 4)} seconds"), folder)
-    newest = out.groupBy("key").agg(F.max_by(F.struct("saved_at", "commits", "lines"), "at").alias("s")).select("key", "s.*")
+    rows.write.partitionBy("_p").parquet(f"{folder}/dealt")
+    dealt = t.spark.read.schema(rows.schema).parquet(f"{folder}/dealt")
+    for k in range(8):  # the stream is stopped after each micro-batch and begins again where it was
+        dealt.where(F.col("_p") == k).drop("_p").write.mode("append").parquet(f"{folder}/in")
+        stream = t.spark.readStream.schema(activity.schema).parquet(f"{folder}/in")
+        finish(session_weight_batches(stream, "user_id", f"{folder}/state", f"{folder}/checkpoint", f"{int(span * 4)} seconds"))
+    newest = newest_session_weight(t.spark, f"{folder}/state")
     return weigh(newest, F.lit(now)).select("key", "commits", F.round("lines", 2).alias("lines"), "band")

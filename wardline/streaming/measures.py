@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from wardline.functions.text import iso_week_id
 from wardline.operators.activity import append_ledger, weight_band
+from wardline.session import delete_folder, spread
 
 DAY_MS = 24 * 3600 * 1000
+COMPACT = 16
+#: Before all times, in microseconds.
+NEVER = -(1 << 61)
+WAITING = "key string, at long, mark boolean, commits long, lines double"
+TOTALS = "key string, at long, saved_at long, commits long, lines double"
 
 
 def ledger_stream(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
@@ -138,7 +144,8 @@ def session_weight_stream(activity: DataFrame, key: str, lateness: str = "1 day"
     """Totals since the last save-point from ``(<key>, ts, commits, lines, is_savepoint)``, in any order of arrival within ``lateness``.
 
     A row ``key, at, saved_at, commits, lines`` is given whenever activity is folded; the one with the greatest ``at`` is a key's newest.
-    Work at the very time of a save-point belongs to it. State goes after ``silence_days`` without activity.
+    Work at the very time of a save-point belongs to it. State goes after ``silence_days`` without activity. Each key takes some calls
+    of Python in each batch; where keys are many and no stream operator follows, ``session_weight_batches`` does the same by joins.
     """
     timed = activity.withColumn("at_us", F.unix_micros(F.col("ts").cast("timestamp"))).withWatermark("ts", lateness)
     folded = timed.groupBy(key).transformWithStateInPandas(
@@ -147,6 +154,104 @@ def session_weight_stream(activity: DataFrame, key: str, lateness: str = "1 day"
     return folded.withColumns({c: F.timestamp_micros(c) for c in ("at", "saved_at")})
 
 
+class WeightStates:
+    """What a stream of activity leaves in a shared folder: rows, totals and the latest time, one folder for each batch.
+
+    A replayed batch overwrites its folders. Every ``COMPACT`` batches the rows that wait and the newest totals are written as one.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def path(self, name: str, batch: int, kind: str = "batch") -> str:
+        return f"{self.folder}/{name}/{kind}={batch}"
+
+    def write(self, name: str, batch: int, rows: DataFrame, kind: str = "batch") -> None:
+        rows.write.mode("overwrite").parquet(self.path(name, batch, kind))
+
+    def _since(self, name: str, schema: str, batch: int, base: int) -> DataFrame:
+        """The last compaction before this batch and the batches since; this one's too, where it has been written."""
+        paths = [self.path(name, base, "all")] if base else [self.path(name, 0)]
+        return self.spark.read.schema(schema).parquet(*paths, *(self.path(name, b) for b in range(base + 1, batch)))
+
+    def waiting(self, batch: int, after: int) -> DataFrame:
+        """The rows after a time that came up to this batch."""
+        return self._since("rows", WAITING, batch + 1, max(batch - 1, 0) // COMPACT * COMPACT).where(F.col("at") > after)
+
+    def totals(self, batch: int, after: int) -> DataFrame:
+        """The totals before this batch of the keys that were active after a time."""
+        if not batch:
+            return self.spark.createDataFrame([], TOTALS)
+        return _newest(self._since("totals", TOTALS, batch, (batch - 1) // COMPACT * COMPACT)).where(F.col("at") > after)
+
+    def clock(self, batch: int) -> int | None:
+        """The latest time that came up to this batch."""
+        return self.spark.read.schema("at long").parquet(self.path("clock", batch)).first()["at"] if batch >= 0 else None
+
+    def compact(self, batch: int, folded: int, active: int) -> None:
+        self.write("rows", batch, self.waiting(batch, folded), "all")
+        kept = _newest(self._since("totals", TOTALS, batch + 1, batch - COMPACT)).where(F.col("at") > active)
+        self.write("totals", batch, kept, "all")
+        # a batch that is replayed needs the compaction before it
+        for b in range(max(batch - 2 * COMPACT, 0), batch - COMPACT + 1):
+            delete_folder(self.spark, self.path("rows", b))
+        if batch > 2 * COMPACT:
+            delete_folder(self.spark, self.path("rows", batch - 2 * COMPACT, "all"))
+
+
+def _newest(totals: DataFrame) -> DataFrame:
+    values = ["at", "saved_at", "commits", "lines"]
+    return totals.groupBy("key").agg(F.max_by(F.struct(*values), "at").alias("t")).select("key", *(f"t.{c}" for c in values))
+
+
+def session_weight_batches(activity: DataFrame, key: str, folder: str, checkpoint: str, lateness: str = "1 day", silence_days: int = 3660) -> DataStreamWriter:
+    """``session_weight_stream`` by joins, micro-batch by micro-batch; ``newest_session_weight`` reads the totals from ``folder``.
+
+    A batch folds what is older by ``lateness`` than the latest time that came, so nothing waits for a batch after the last one. Rows
+    older than what was folded before are dropped, and rows without a time; missing numbers count as 0.
+    """
+    late = F.expr(f"unix_micros(timestamp_micros(0) + interval '{lateness}')")
+    silence = silence_days * DAY_MS * 1000
+
+    def step(rows: DataFrame, batch: int) -> None:
+        states = WeightStates(rows.sparkSession, folder)
+        lag = rows.sparkSession.range(1).select(late).first()[0]
+        before = states.clock(batch - 1)
+        done = NEVER if before is None else before - lag
+        fresh = rows.select(
+            F.col(key).cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.coalesce("is_savepoint", F.lit(False)).alias("mark"),
+            F.coalesce(F.col("commits").cast("long"), F.lit(0)).alias("commits"), F.coalesce(F.col("lines").cast("double"), F.lit(0.0)).alias("lines"),
+        )
+        # a batch may be one file, and so one task
+        states.write("rows", batch, spread(fresh.where(F.col("at") > done), "key", "at"))
+        came = rows.sparkSession.read.schema(WAITING).parquet(states.path("rows", batch)).agg(F.max("at")).first()[0]
+        latest = max((t for t in (before, came) if t is not None), default=None)
+        states.write("clock", batch, rows.sparkSession.range(1).select(F.lit(latest).cast("long").alias("at")))
+        due = NEVER if latest is None else latest - lag
+
+        held = states.totals(batch, done - silence)
+        # totals are a save-point and, at the last time, the work since
+        mark = F.struct(F.col("saved_at").alias("at"), F.lit(True).alias("mark"), F.lit(0).cast("long").alias("commits"), F.lit(0.0).alias("lines"))
+        work = F.struct(F.col("at"), F.lit(False).alias("mark"), F.col("commits"), F.col("lines"))
+        course = states.waiting(batch, done).where(F.col("at") <= due).withColumn("new", F.lit(True))
+        course = course.unionByName(held.select("key", F.inline(F.array(mark, work))).withColumn("new", F.lit(False)))
+        ends = course.groupBy("key").agg(F.max("at").alias("last"), F.max(F.when(F.col("mark"), F.col("at"))).alias("saved_at"), F.bool_or("new").alias("new"))
+        ends = ends.where("new and saved_at is not null").select("key", "last", "saved_at")
+        since = course.join(ends, "key").where(F.col("at") > F.col("saved_at")).groupBy("key").agg(F.sum("commits").alias("commits"), F.sum("lines").alias("lines"))
+        none = (F.coalesce("commits", F.lit(0)).alias("commits"), F.coalesce("lines", F.lit(0.0)).alias("lines"))
+        states.write("totals", batch, ends.join(since, "key", "left").select("key", F.col("last").alias("at"), "saved_at", *none))
+        if batch and batch % COMPACT == 0:
+            states.compact(batch, due, due - silence)
+
+    return activity.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def newest_session_weight(spark: SparkSession, folder: str) -> DataFrame:
+    """``key, at, saved_at, commits, lines`` of each key's newest totals."""
+    newest = _newest(spark.read.schema(TOTALS).parquet(f"{folder}/totals/batch=*"))
+    return newest.withColumns({c: F.timestamp_micros(c) for c in ("at", "saved_at")})
+
+
 def weigh(totals: DataFrame, now) -> DataFrame:
     hours = F.greatest((now.cast("timestamp").cast("double") - F.col("saved_at").cast("double")) / 3600, F.lit(0.0))
     weight = F.col("commits") + F.col("lines") / 60 + hours / 2
