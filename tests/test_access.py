@@ -166,6 +166,18 @@ def test_the_stream_equals_the_walk_after_any_batch(spark, tmp_path, monkeypatch
             assert {(r.repo, r.table): (r.rls, r.policies, r.secured, r.gap) for r in newest_policy_state(spark, str(tmp_path / "state")).collect()} == want, k
 
 
+def test_a_batch_of_the_stream_takes_few_jobs(spark, tmp_path):
+    """Each job has its cost, however few the events are."""
+    row = lambda ev: tuple(ev[f] for f in FIELDS)
+    for k in range(2):
+        spark.createDataFrame([row(ev) for s in range(12) for ev in history(s, 40)[20 * k : 20 * k + 20]], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = policy_state_stream(stream, str(tmp_path / "state"), str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] == 1
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(query.runId))) < 2 * 60
+
+
 SQL = """-- CREATE TABLE ghost (x);
 CREATE TABLE IF NOT EXISTS Public.Items (id int, t text default 'DROP TABLE items;');
 ALTER TABLE items ENABLE ROW LEVEL SECURITY;

@@ -198,10 +198,12 @@ def _carry(by_schema: bool):
 def _resolve(by_schema: bool, label: str):
     def work(batches):
         def rows():
-            for (g, _), of_chunk in itertools.groupby(_rows(batches), lambda r: r[:2]):
+            for (g, chunk), of_chunk in itertools.groupby(_rows(batches), lambda r: r[:2]):
                 start, names = {}, None
                 for _, _, seq, op, name, to in of_chunk:
-                    if op == "start":
+                    if chunk < 0:
+                        yield g, None, "name", to, name
+                    elif op == "start":
                         start[name] = to
                         continue
                     names = names or Names(by_schema, start, label)
@@ -267,11 +269,12 @@ def lifetimes(
 
 
 def moved_lifetimes(
-    moving: DataFrame, begun: DataFrame, group: list[str], by_schema: bool = False, chunk: int = CHUNK, label: str = ""
+    moving: DataFrame, begun: DataFrame, group: list[str], by_schema: bool = False, chunk: int = CHUNK, label: str = "", with_names: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """``lifetimes`` of the names that move or whose schema does, from all operations on them; ``begun`` is what they are at the start.
 
-    What ``to`` holds in an ``ensure`` or a ``use`` is given back beside the lifetime, as ``body``.
+    What ``to`` holds in an ``ensure`` or a ``use`` is given back beside the lifetime, as ``body``. ``with_names`` puts the names at the
+    end into the first frame too, as ``body`` of the role ``name``: who needs both then has the passes made once.
     """
     types = {f.name: f.dataType for f in moving.schema.fields}
     # the group as one string, so that the passes need not know its columns
@@ -280,7 +283,7 @@ def moved_lifetimes(
     summaries = _sorted(moving, ["g", "chunk"], ["seq"]).mapInArrow(_summaries(by_schema, label), SUMMARY)
     held = begun.select(key.alias("g"), F.lit(-1).cast("long").alias("chunk"), F.lit("held").alias("kind"), "name", F.col("entity").alias("value"))
     carried = _sorted(summaries.unionByName(held), ["g"], ["chunk", "kind"]).mapInArrow(_carry(by_schema), STARTS)
-    starts = carried.where("chunk >= 0").select("g", "chunk", F.lit(-1).cast("long").alias("seq"), F.lit("start").alias("op"), "name", F.col("entity").alias("to"))
+    starts = (carried if with_names else carried.where("chunk >= 0")).select("g", "chunk", F.lit(-1).cast("long").alias("seq"), F.lit("start").alias("op"), "name", F.col("entity").alias("to"))
     resolved = _sorted(starts.unionByName(moving), ["g", "chunk"], ["seq"]).mapInArrow(_resolve(by_schema, label), FOUND)
     back = F.from_json("g", ", ".join(f"{c} {types[c].simpleString()}" for c in group))
     parts = [back[c].alias(c) for c in group]

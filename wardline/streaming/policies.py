@@ -207,15 +207,14 @@ def _moved(settled: DataFrame, moves: DataFrame) -> DataFrame:
     begun = settled.where("op = 'held'").select("repo", "name", F.concat("name", F.lit("@")).alias("entity"), "was")
     # a lifetime's events come back with it
     ops = settled.where("event is not null").select("repo", "seq", "op", "name", F.col("event").alias("to")).unionByName(moves)
-    found, names = moved_lifetimes(ops, begun.drop("was"), ["repo"], by_schema=True)
-
-    def row(rank: int, **columns: Column) -> list[Column]:
-        values = {"rank": F.lit(rank), "seq": F.lit(0).cast("long"), "state": none, "event": none, "name": none, **columns}
-        return [F.col("repo"), F.col("entity"), *[v.alias(c) for c, v in values.items()]]
-
-    course = begun.select(row(0, state=F.col("was")))
-    course = course.unionByName(found.where("role in ('ensure', 'use')").select(row(1, seq=F.col("seq"), event=F.col("body"))))
-    course = course.unionByName(names.select(row(2, name=F.col("name"))))
+    found, _ = moved_lifetimes(ops, begun.drop("was"), ["repo"], by_schema=True, with_names=True)
+    zero, named = F.lit(0).cast("long"), F.col("role") == "name"
+    course = begun.select("repo", "entity", F.lit(0).alias("rank"), zero.alias("seq"), F.col("was").alias("state"), none.alias("event"), none.alias("name"))
+    found = found.where("role in ('ensure', 'use', 'name')").select(
+        "repo", "entity", F.when(named, 2).otherwise(1).alias("rank"), F.coalesce("seq", zero).alias("seq"), none.alias("state"),
+        F.when(~named, F.col("body")).alias("event"), F.when(named, F.col("body")).alias("name"),
+    )
+    course = course.unionByName(found)
     after = course.repartition("repo", "entity").sortWithinPartitions("repo", "entity", "rank", "seq").mapInArrow(_fold, FOLDED)
     both = begun.select("repo", "name", "was", none.alias("state")).unionByName(after.select("repo", "name", none.alias("was"), "state"))
     return both.groupBy("repo", "name").agg(F.max("was").alias("was"), F.max("state").alias("state"))
